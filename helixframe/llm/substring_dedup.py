@@ -77,7 +77,7 @@ def repeated_cells(texts: DataFrame, window: int, bits: int) -> list[bytes]:
         out = np.zeros(1 << 13, np.uint8)
         cell = table.column("cell").to_numpy()
         np.bitwise_or.at(out, (cell // DEPTH >> 3) & 0x1FFF, (1 << (cell // DEPTH & 7)).astype(np.uint8))
-        return pa.table({"r": [key[0].as_py()], "page": [key[1].as_py()], "bits": pa.array([out.tobytes()], pa.binary())})
+        return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "page": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
 
     merged = texts.mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
     pages = merged.select("cell", F.expr(f"int(cell % {DEPTH})").alias("r"), F.expr(f"int(shiftright(cell div {DEPTH}, 16))").alias("page")).groupBy("r", "page").applyInArrow(pack, "r int, page int, bits binary")
