@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare, split_join
+from .common import cut, prepare, split_join
 from .textblocks import Words, blocks, inside_rows, mix, ngrams, word_hashes, words
 
 #: Words of the phrase that stands for a window in the sketch.
@@ -50,41 +50,42 @@ def sketch_width(n_bytes: int) -> int:
     return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n_bytes) / 132 * 16))))
 
 
-def repeated_cells(texts: DataFrame, window: int, bits: int) -> list[bytes]:
-    """Of each sketch row, the cells counted at least twice, as a packed bit array.
+def _anchor_cells(texts: pa.Array, window: int, bits: int):
+    """Sparse partial sketches of blocks of texts: (cell, count), where a text counts an anchor once."""
+    for block in blocks(texts):
+        w = words(block)
+        at, anchor, row = window_anchors(word_hashes(block, w), w, window)
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        anchor, row = anchor[new], row[new]
+        order = np.lexsort((anchor, row))
+        anchor, row = anchor[order], row[order]
+        new = np.ones(len(anchor), bool)
+        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+        for r, c in enumerate(cells(anchor[new], bits)):
+            cell, n = np.unique(c, return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(cell * DEPTH + r), pa.array(n)], ["cell", "n"])
 
-    Each block of texts makes a sparse partial sketch (cell, count); the sums of all of them
-    are the sketch. Anchors count once for each row of the table.
-    """
 
-    def partial(batches):
-        for batch in batches:
-            for block in blocks(batch.column(0)):
-                w = words(block)
-                at, anchor, row = window_anchors(word_hashes(block, w), w, window)
-                new = np.ones(len(anchor), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-                anchor, row = anchor[new], row[new]
-                order = np.lexsort((anchor, row))
-                anchor, row = anchor[order], row[order]
-                new = np.ones(len(anchor), bool)
-                new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-                for r, c in enumerate(cells(anchor[new], bits)):
-                    cell, n = np.unique(c, return_counts=True)
-                    yield pa.RecordBatch.from_arrays([pa.array(cell * DEPTH + r), pa.array(n)], ["cell", "n"])
+def repeated_cells(partial: DataFrame, depth: int, bits: int) -> list[np.ndarray]:
+    """Of partial sketches (cell * depth + row, n), the cells whose sum is at least two, as a packed bit array for each row."""
 
     def pack(key, table):
         out = np.zeros(1 << 13, np.uint8)
-        cell = table.column("cell").to_numpy()
-        np.bitwise_or.at(out, (cell // DEPTH >> 3) & 0x1FFF, (1 << (cell // DEPTH & 7)).astype(np.uint8))
+        cell = table.column("cell").to_numpy() // depth
+        np.bitwise_or.at(out, (cell >> 3) & 0x1FFF, (1 << (cell & 7)).astype(np.uint8))
         return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "page": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
 
-    merged = texts.mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    pages = merged.select("cell", F.expr(f"int(cell % {DEPTH})").alias("r"), F.expr(f"int(shiftright(cell div {DEPTH}, 16))").alias("page")).groupBy("r", "page").applyInArrow(pack, "r int, page int, bits binary")
-    out = [bytearray(1 << (bits - 3)) for _ in range(DEPTH)]
-    for r, page, b in pages.toLocalIterator():  # at most DEPTH * 2**28 bits whatever the input is
-        out[r][page << 13 : (page + 1) << 13] = b
-    return [bytes(x) for x in out]
+    merged = partial.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
+    pages = merged.select("cell", F.expr(f"int(cell % {depth})").alias("r"), F.expr(f"int(shiftright(cell div {depth}, 16))").alias("page")).groupBy("r", "page").applyInArrow(pack, "r int, page int, bits binary")
+    out = [np.zeros(max(1 << 13, 1 << (bits - 3)), np.uint8) for _ in range(depth)]
+    for r, page, b in pages.toLocalIterator():  # at most depth * 2**28 bits whatever the input is
+        out[r][page << 13 : (page + 1) << 13] = np.frombuffer(bytes(b), np.uint8)
+    return out
+
+
+def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -100,41 +101,63 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     First pass: merged sparse count-min sketches of window anchors, whose estimates are never
     too low. Second pass: only windows whose anchor is estimated repeated are grouped, by
     96-bit hashes, with minima combined before the shuffle. A row whose text has an exact
-    copy with a smaller id loses all its words if they fill a window, and adds no windows.
+    copy with a smaller id loses all its words if they fill a window, and takes part in
+    neither pass; a bit array of repeated text hashes tells which rows to compare for that.
     """
     spark = docs.sparkSession
     prepare(spark)
+    send = spark.sparkContext.broadcast
     id_type = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n_bytes = slim.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    n_rows, n_bytes = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = sketch_width(n_bytes)
-    sketch = spark.sparkContext.broadcast(repeated_cells(slim.select("text"), window, bits))
+    row_bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n_rows) * 16))))
+    slim = slim.select("id", F.xxhash64("text").alias("x"), "text")
+    row_cell = F.shiftrightunsigned("x", 64 - row_bits)
+    twins = send(repeated_cells(slim.groupBy(row_cell.alias("cell")).agg(F.count("*").alias("n")), 1, row_bits)[0])
 
-    copies = slim.select("id", F.xxhash64("text").alias("x"), F.md5("text").alias("d"))
+    copies = slim.select("id", "x", F.md5("text").alias("d"))
     first = copies.groupBy("x", "d").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("x", "d", "lo")
-    later = split_join(copies, first, ["x", "d"]).where("id > lo").groupBy("id").agg(F.collect_set("d").alias("copies"))
-    marked = slim.join(later, "id", "left").select("id", "text", F.coalesce(F.array_contains("copies", F.md5("text")), F.lit(False)).alias("whole"))
+    later = cut(split_join(copies, first, ["x", "d"]).where("id > lo").select("id", "x"))
+
+    def divided(batches, repeated: bool):
+        for batch in batches:
+            hit = _set(twins.value, (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - row_bits)).astype(np.int64))
+            yield batch.filter(pa.array(hit == repeated))
+
+    maybe = slim.where("id is not null").mapInArrow(lambda b: divided(b, True), f"id {id_type}, x long, text string")
+    single = maybe.join(later, ["id", "x"], "left_anti").select("id", "x", "text")
+    both = slim.where("id is not null")
+
+    def partial(batches):
+        for batch in batches:
+            yield from _anchor_cells(batch.column(2), window, bits)
+
+    kinds = "cell long, n long"
+    counted = both.mapInArrow(lambda b: partial(divided(b, False)), kinds).union(single.mapInArrow(partial, kinds))
+    sketch = send(repeated_cells(counted, DEPTH, bits))
 
     def candidates(batches):
-        tables = [np.frombuffer(x, np.uint8) for x in sketch.value]
         for batch in batches:
             ids = batch.column(0)
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 w = words(block)
                 h = word_hashes(block, w)
                 at, anchor, row = window_anchors(h, w, window)
                 hit = np.ones(len(at), bool)
-                for t, c in zip(tables, cells(anchor, bits)):
-                    hit &= (t[c >> 3] >> (c & 7).astype(np.uint8) & 1).astype(bool)
+                for t, c in zip(sketch.value, cells(anchor, bits)):
+                    hit &= _set(t, c)
                 at, row = at[hit], row[hit]
                 if len(at):
                     one, two = ngrams(h, window)[at], ngrams(h, window, 1)[at]
                     yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(block.first + row)), pa.array((at - w.at[row]).astype(np.int32))], ["h", "c", "id", "pos"])
 
-    found = marked.where("not whole and id is not null").select("id", "text").mapInArrow(candidates, f"h long, c int, id {id_type}, pos int")
+    kinds = f"h long, c int, id {id_type}, pos int"
+    found = both.mapInArrow(lambda b: candidates(divided(b, False)), kinds).union(single.mapInArrow(candidates, kinds))
     earliest = found.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "c", "lo")
     gone = split_join(found, earliest, ["h", "c"]).where("id > lo").groupBy("id").agg(F.collect_list("pos").alias("places"))
-    placed = marked.join(gone, "id", "left").select("id", "text", "whole", "places")
+    lost = later.groupBy("id").agg(F.collect_set("x").alias("copies")).join(gone, "id", "full")
+    placed = slim.join(lost, "id", "left").select("id", "text", F.coalesce(F.array_contains("copies", F.col("x")), F.lit(False)).alias("whole"), "places")
     return placed.mapInArrow(lambda batches: _keep(batches, window), f"id {id_type}, n_words long, n_removed long, text_kept string")
 
 
