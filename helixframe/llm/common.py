@@ -10,15 +10,20 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 _ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
 
+#: Bytes of rows that a Python worker is sent at once, so that many long texts in a row don't fill it.
+BATCH_BYTES = 8 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let the Python workers import this package from where the driver has it, if they see that folder."""
+    """Let the Python workers import this package from where the driver has it, if they see that folder, and bound their batches."""
     env = spark.sparkContext.environment
     if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def cut(df: DataFrame) -> DataFrame:

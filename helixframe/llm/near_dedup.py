@@ -24,6 +24,8 @@ SKETCH = 64
 SLACK = 5.0
 #: Documents of an unresolved inverted list that meet in one block of pairs.
 GRID = 256
+#: Documents compared with one copy of the text they share as partner.
+HUB = 256
 
 
 def shingle_sets(block, size: int) -> Iterator[np.ndarray]:
@@ -106,19 +108,28 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
     # repeated rows of one id: the set that the sketches took is that of the least text, whichever it is
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
 
+    # A document that many are compared with is sent once for each HUB of them, ahead of their texts.
+    keyed = likely.join(likely.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("g")).select(F.col("a").alias("h"), "g"), F.col("a") == F.col("h"))
+    keyed = keyed.select("a", "b", "g", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("part"))
+    members = keyed.select("a", "part", F.lit(1).alias("turn"), "b").join(texts.selectExpr("id b", "text"), "b").select("a", "part", "turn", "b", "text")
+    hubs = keyed.select("a", "part").distinct().join(texts.selectExpr("id a", "text"), "a").select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("b"), "text")
+
     def exact(batches):
+        hub, own = None, np.zeros(0, np.uint64)
         for batch in batches:
-            keep = []
-            # both texts of a pair stand side by side; long ones are cut into blocks alike
-            for i in range(len(batch)):
-                one = pa.concat_arrays([batch.column(2).slice(i, 1), batch.column(3).slice(i, 1)])
-                x, y = (s for block in blocks(one) for s in shingle_sets(block, size))
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(bool(len(x)) and common * down >= (len(x) + len(y) - common) * up)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    joined = split_join(split_join(likely, texts.selectExpr("id a", "text ta"), ["a"]), texts.selectExpr("id b", "text tb"), ["b"])
-    return cut(joined.select("a", "b", "ta", "tb").mapInArrow(exact, "a long, b long"))
+            a, part, turn, b = (batch.column(i).to_numpy() for i in range(4))
+            keep = np.zeros(len(batch), bool)
+            for block in blocks(batch.column(4)):
+                for i, s in enumerate(shingle_sets(block, size), block.first):
+                    if turn[i] == 0:
+                        hub, own = (a[i], part[i]), s
+                    elif hub == (a[i], part[i]) and len(s):
+                        common = len(np.intersect1d(own, s, assume_unique=True))
+                        keep[i] = common * down >= (len(own) + len(s) - common) * up
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(keep))
+
+    rows = members.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "turn")
+    return cut(rows.mapInArrow(exact, "a long, b long"))
 
 
 def _lists(reps: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
