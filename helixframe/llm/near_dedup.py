@@ -109,7 +109,7 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
     texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
 
     # A document that many are compared with is sent once for each HUB of them, ahead of their texts.
-    keyed = likely.join(likely.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("g")).select(F.col("a").alias("h"), "g"), F.col("a") == F.col("h"))
+    keyed = split_join(likely, likely.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("g")), ["a"])
     keyed = keyed.select("a", "b", "g", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("part"))
     members = keyed.select("a", "part", F.lit(1).alias("turn"), "b").join(texts.selectExpr("id b", "text"), "b").select("a", "part", "turn", "b", "text")
     hubs = keyed.select("a", "part").distinct().join(texts.selectExpr("id a", "text"), "a").select("a", "part", F.lit(0).alias("turn"), F.col("a").alias("b"), "text")
