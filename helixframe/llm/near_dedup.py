@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bits import maybe_in
 from .common import cut, prepare, split_join
 from .graph import components
 from .textblocks import blocks, mix, ngrams, word_hashes, words
@@ -86,8 +87,11 @@ def least_estimate(similarity: float, k: int) -> float:
     return max(0.0, similarity - SLACK * math.sqrt(similarity * (1 - similarity) / k))
 
 
-def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, text_col: str, size: int, similarity: tuple[int, int], k: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar: filtered by the union sketch first, then counted exactly on the texts."""
+def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int], k: int) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar: filtered by the union sketch first, then counted exactly on the texts.
+
+    A document a that many are compared with is sent once for each HUB of them, ahead of their texts.
+    """
     up, down = similarity
     floor = least_estimate(up / down, k)
     s = reps.select("id", "n", "sketch")
@@ -104,11 +108,6 @@ def verified(pairs: DataFrame, reps: DataFrame, docs: DataFrame, id_col: str, te
             yield pa.RecordBatch.from_arrays([batch.column(t("a")), batch.column(t("b"))], ["a", "b"]).filter(pa.array(keep))
 
     likely = cut(both.select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long"))
-    involved = likely.selectExpr("explode(array(a, b)) id").distinct()
-    # repeated rows of one id: the set that the sketches took is that of the least text, whichever it is
-    texts = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).join(involved, "id", "left_semi").dropDuplicates(["id"])
-
-    # A document that many are compared with is sent once for each HUB of them, ahead of their texts.
     keyed = split_join(likely, likely.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("g")), ["a"])
     keyed = keyed.select("a", "b", "g", F.pmod(F.xxhash64("b"), F.col("g")).cast("int").alias("part"))
     members = keyed.select("a", "part", F.lit(1).alias("turn"), "b").join(texts.selectExpr("id b", "text"), "b").select("a", "part", "turn", "b", "text")
@@ -168,55 +167,84 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Null or word-free texts have the empty set and link with nothing. Rows that repeat an id
     with other texts share its component. Further columns of docs are not read.
 
-    Candidates: in each inverted list every document is compared with the list's first one.
-    What is still in several components of one list is then compared in full, in blocks of
-    GRID by GRID documents of the list; only pairs that pass the sketch filter leave a block.
+    Candidates are documents that share an inverted list. Each list has a hub: its document
+    with the most entries in the lists of all its values, as the original of many edited
+    copies has. Hubs are compared with the documents of their lists first. Pairs of other
+    documents of a hub's lists that are still in different components are then judged in
+    blocks of GRID by GRID documents, from which only edges that join components come out.
     """
     spark = docs.sparkSession
     prepare(spark)
-    up, down = similarity
     every = cut(sketches(docs, id_col, text_col, shingle, k))
     classes = every.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "n", "sketch")).alias("r"))
     reps = cut(classes.select("class", "r.id", "r.n", "r.sketch"))
     lists = cut(_lists(reps, k, similarity))
 
-    hubs = lists.groupBy("v").agg(F.min("id").alias("a"))
-    stars = split_join(lists, hubs, ["v"]).where("id > a").selectExpr("a", "id b").distinct()
-    links = verified(stars, reps, docs, id_col, text_col, shingle, similarity, k)
+    lengths = lists.groupBy("v").agg(F.count("*").alias("len"))
+    weights = split_join(lists, lengths, ["v"]).groupBy("id").agg(F.sum("len").alias("weight"))
+    hubs = split_join(lists, weights, ["id"]).groupBy("v").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+    groups = cut(split_join(lists, hubs, ["v"]).select("hub", "id").distinct())
+
+    involved = cut(groups.select("id").distinct())
+    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = cut(maybe_in(texts, "id", involved, involved.count()).join(involved, "id", "left_semi").dropDuplicates(["id"]))
+    links = verified(groups.where("hub <> id").selectExpr("hub a", "id b"), reps, texts, shingle, similarity, k)
     found = cut(components(links))
 
-    named = lists.join(found.withColumnRenamed("node", "id"), "id", "left").select("v", "id", F.coalesce("component", "id").alias("c"))
-    open_lists = named.groupBy("v").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("len"), F.min("id").alias("hub"), F.min_by("c", "id").alias("hub_c")).where("lo < hi")
-    # a list whose documents all were compared with its first one has only pairs of others left
-    rest = cut(split_join(named, open_lists, ["v"]).where("id <> hub").select("v", "id", "c", F.ceil(F.col("len") / GRID).cast("int").alias("g")))
+    named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c"))
+    mixed = named.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / GRID).cast("int").alias("g")).where("lo < hi").select("hub", "g")
+    rest = cut(split_join(named.where("hub <> id"), mixed, ["hub"]))
     if not rest.isEmpty():
-        links = links.union(verified(_grid_pairs(rest, reps, k, up / down), reps, docs, id_col, text_col, shingle, similarity, k))
-        found = cut(components(links))
+        found = cut(components(links.union(_grid_links(rest, texts, shingle, similarity))))
     by_class = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     out = every.select("id", "n", "class").join(by_class, "class", "left")
     return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def _grid_pairs(rest: DataFrame, reps: DataFrame, k: int, similarity: float) -> DataFrame:
-    """Pairs of one list and different components whose sketches pass; a pair is judged where the list's blocks meet."""
-    floor = least_estimate(similarity, k)
-    block = F.pmod(F.xxhash64("id", "v"), F.col("g")).cast("int")
-    cells = rest.join(reps.select("id", "sketch"), "id").withColumn("i", block)
-    cells = cells.select("v", "id", "c", "sketch", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
-    cells = cells.select("v", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "id", "c", "sketch", "i")
-
-    def compare(key, table):
-        ids, c, i = (table.column(n).to_numpy() for n in ("id", "c", "i"))
-        s = _matrix(table.column("sketch").combine_chunks(), k)
-        x, y = key[1].as_py(), key[2].as_py()
-        a_out, b_out = [], []
-        for a in range(len(ids)):
-            with_ = np.flatnonzero((c != c[a]) & (ids > ids[a]) & ((i != i[a]) if x != y else True))
-            if len(with_):
-                hit = with_[union_estimate(np.repeat(s[a : a + 1], len(with_), 0), s[with_]) >= floor]
-                a_out.append(np.full(len(hit), ids[a]))
-                b_out.append(ids[hit])
-        empty = np.zeros(0, np.int64)
-        return pa.table({"a": np.concatenate([empty, *a_out]), "b": np.concatenate([empty, *b_out])})
-
-    return cells.groupBy("v", "x", "y").applyInArrow(compare, "a long, b long").distinct()
+def _grid_links(rest: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
+    """Edges between components of rest (hub, id, c, g): all pairs of a hub's documents are judged on full sets, where their blocks meet."""
+    up, down = similarity
+    placed = rest.join(texts, "id").withColumn("i", F.pmod(F.xxhash64("id", "hub"), F.col("g")).cast("int"))
+    cells = placed.select("hub", "id", "c", "text", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
+    cells = cells.select("hub", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "id", "c", "text", "i")
+
+    def judge(key, table):
+        ids, c, tile = (table.column(n).to_numpy() for n in ("id", "c", "i"))
+        within = key[1].as_py() == key[2].as_py()
+        kind, usual = np.unique(c, return_counts=True)
+        common = kind[usual.argmax()]
+        joined: list[tuple[int, int]] = []
+        if len(kind) > 1:
+            sets = [s for block in blocks(table.column("text")) for s in shingle_sets(block, size)]
+            n = np.array([len(s) for s in sets])
+            at = np.concatenate([[0], np.cumsum(n)])
+            _, value = np.unique(np.concatenate(sets), return_inverse=True)
+            order = np.argsort(value, kind="stable")
+            owner = np.repeat(np.arange(len(ids)), n)[order]
+            first = np.searchsorted(value[order], np.arange(value.max() + 2)) if len(value) else np.zeros(1, np.int64)
+            root = {x: x for x in kind.tolist()}
+
+            def find(x):
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            for a in np.flatnonzero((c != common) & (n > 0)).tolist():  # the others are one component
+                v = value[at[a] : at[a + 1]]
+                begin, count = first[v], first[v + 1] - first[v]
+                step = np.zeros(len(v), np.int64)
+                np.cumsum(count[:-1], out=step[1:])
+                shared = np.bincount(owner[np.arange(int(count.sum())) - np.repeat(step - begin, count)], minlength=len(ids))
+                near = (c != c[a]) & (shared * down >= (n + n[a] - shared) * up)
+                if not within:
+                    near &= tile != tile[a]
+                for b in np.flatnonzero(near).tolist():
+                    x, y = find(c[a].item()), find(c[b].item())
+                    if x != y:
+                        root[max(x, y)] = min(x, y)
+                        joined.append((ids[a].item(), ids[b].item()))
+        a, b = zip(*joined) if joined else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return cut(cells.groupBy("hub", "x", "y").applyInArrow(judge, "a long, b long"))

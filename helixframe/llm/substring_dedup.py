@@ -2,19 +2,18 @@
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .bits import cell_of, collect, test, width
 from .common import cut, prepare, split_join
 from .textblocks import Words, blocks, inside_rows, mix, ngrams, word_hashes, words
 
 #: Words of the phrase that stands for a window in the sketch.
 ANCHOR = 8
-#: Rows of the sketch, and the bounds of their width: a bit array of at most 2**28 bits (32 MB) a row is ever broadcast.
-DEPTH, LEAST_BITS, MOST_BITS = 2, 20, 28
+#: Rows of the sketch; the width of each is bounded as bits.width() says.
+DEPTH = 2
 
 
 def window_anchors(h: np.ndarray, w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -46,8 +45,8 @@ def cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
 
 
 def sketch_width(n_bytes: int) -> int:
-    """Bits of a cell number: about 16 cells for each anchor that a text of n_bytes has (one in 22 words of 6 bytes)."""
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n_bytes) / 132 * 16))))
+    """Bits of a cell number, for the anchors that a text of n_bytes has: one in 22 words of 6 bytes."""
+    return width(n_bytes // 132)
 
 
 def _anchor_cells(texts: pa.Array, window: int, bits: int):
@@ -69,23 +68,7 @@ def _anchor_cells(texts: pa.Array, window: int, bits: int):
 
 def repeated_cells(partial: DataFrame, depth: int, bits: int) -> list[np.ndarray]:
     """Of partial sketches (cell * depth + row, n), the cells whose sum is at least two, as a packed bit array for each row."""
-
-    def pack(key, table):
-        out = np.zeros(1 << 13, np.uint8)
-        cell = table.column("cell").to_numpy() // depth
-        np.bitwise_or.at(out, (cell >> 3) & 0x1FFF, (1 << (cell & 7)).astype(np.uint8))
-        return pa.table({"r": pa.array([key[0].as_py()], pa.int32()), "page": pa.array([key[1].as_py()], pa.int32()), "bits": pa.array([out.tobytes()], pa.binary())})
-
-    merged = partial.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1")
-    pages = merged.select("cell", F.expr(f"int(cell % {depth})").alias("r"), F.expr(f"int(shiftright(cell div {depth}, 16))").alias("page")).groupBy("r", "page").applyInArrow(pack, "r int, page int, bits binary")
-    out = [np.zeros(max(1 << 13, 1 << (bits - 3)), np.uint8) for _ in range(depth)]
-    for r, page, b in pages.toLocalIterator():  # at most depth * 2**28 bits whatever the input is
-        out[r][page << 13 : (page + 1) << 13] = np.frombuffer(bytes(b), np.uint8)
-    return out
-
-
-def _set(bits: np.ndarray, cell: np.ndarray) -> np.ndarray:
-    return (bits[cell >> 3] >> (cell & 7).astype(np.uint8) & 1).astype(bool)
+    return collect(partial.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1"), depth, bits)
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -111,9 +94,9 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     n_rows, n_bytes = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
     bits = sketch_width(n_bytes)
-    row_bits = min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n_rows) * 16))))
+    row_bits = width(n_rows)
     slim = slim.select("id", F.xxhash64("text").alias("x"), "text")
-    row_cell = F.shiftrightunsigned("x", 64 - row_bits)
+    row_cell = cell_of("x", row_bits)
     twins = send(repeated_cells(slim.groupBy(row_cell.alias("cell")).agg(F.count("*").alias("n")), 1, row_bits)[0])
 
     copies = slim.select("id", "x", F.md5("text").alias("d"))
@@ -122,7 +105,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
     def divided(batches, repeated: bool):
         for batch in batches:
-            hit = _set(twins.value, (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - row_bits)).astype(np.int64))
+            hit = test(twins.value, (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - row_bits)).astype(np.int64))
             yield batch.filter(pa.array(hit == repeated))
 
     maybe = slim.where("id is not null").mapInArrow(lambda b: divided(b, True), f"id {id_type}, x long, text string")
@@ -146,7 +129,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 at, anchor, row = window_anchors(h, w, window)
                 hit = np.ones(len(at), bool)
                 for t, c in zip(sketch.value, cells(anchor, bits)):
-                    hit &= _set(t, c)
+                    hit &= test(t, c)
                 at, row = at[hit], row[hit]
                 if len(at):
                     one, two = ngrams(h, window)[at], ngrams(h, window, 1)[at]
