@@ -22,10 +22,11 @@ from .textblocks import Block, Words, blocks, mix, powers, word_hashes
 
 #: Segmentations of a text, and the exponent of the pieces' weights (0: all alike, 1: as the vocabulary ranks them).
 SAMPLES, SMOOTHING = 2, 0.5
-SIZE = 2 << 20
+SIZE = 1 << 20
 #: Units whose lattices a worker keeps (about 1 KB each).
-UNITS = 1 << 16
+UNITS = 1 << 17
 _SPACE, _LINE = 0x20, 0x0A
+_WIDTH = np.repeat(np.array([1, 2, 3, 4]), [0xC0, 0x20, 0x10, 0x10])
 _workers: dict = {}
 _compiled: dict = {}
 
@@ -37,6 +38,7 @@ class Vocabulary:
     spelling: list[bytes]
     log_weight: np.ndarray
     of_byte: np.ndarray
+    single: np.ndarray  # pieces of one byte
     prefixes: np.ndarray
     piece_at: np.ndarray
     bucket: np.ndarray  # first prefix whose hash begins with these 18 bits
@@ -44,6 +46,16 @@ class Vocabulary:
     longest: int
     one_space_run: bool
 
+    def __post_init__(self):
+        size = np.array([len(x) for x in self.spelling])
+        self.spelled = np.frombuffer(b"".join(self.spelling), np.uint8)
+        self.size, self.spelled_at = size, np.cumsum(size) - size
+
+    def spell(self, pieces: np.ndarray) -> bytes:
+        """The bytes of pieces, one after the other."""
+        at, _ = flatten(self.spelled_at[pieces], self.size[pieces])
+        return self.spelled[at].tobytes()
+
     def find(self, h: np.ndarray) -> np.ndarray:
         """The number of each hash among the prefixes, or -1."""
         at = self.bucket[h >> np.uint64(46)]
@@ -74,8 +86,11 @@ def load(path: str, smoothing: float = SMOOTHING) -> Vocabulary:
     if (of_byte < 0).any():
         raise ValueError("the model has no byte pieces, so not every text can be decoded again")
     weight[of_byte] = -smoothing * np.log1p(n)
+    single = np.full(256, -1, np.int32)
     found: dict[bytes, int] = {}
     for i in plain:
+        if len(spelling[i]) == 1:
+            single[spelling[i][0]] = i
         for k in range(1, len(spelling[i])):
             found.setdefault(spelling[i][:k], -1)
         found[spelling[i]] = i
@@ -86,7 +101,7 @@ def load(path: str, smoothing: float = SMOOTHING) -> Vocabulary:
     at_space = all(not x.strip(b" ") or b" " not in x[1:].lstrip(b" ") and (x[0] == _SPACE or b" " not in x) and b"\n" not in x for x in (spelling[i] for i in plain))
     begins = h[order] >> np.uint64(46)
     bucket = np.minimum(np.searchsorted(begins, np.arange(1 << 18, dtype=np.uint64)), len(h) - 1).astype(np.int32)
-    return Vocabulary(spelling, weight, of_byte, h[order], np.array(list(found.values()), np.int32)[order], bucket, int(np.bincount(begins.astype(np.int64)).max()), max(map(len, found)), at_space)
+    return Vocabulary(spelling, weight, of_byte, single, h[order], np.array(list(found.values()), np.int32)[order], bucket, int(np.bincount(begins.astype(np.int64)).max()), max(map(len, found)), at_space)
 
 
 def vocabulary(path: str, smoothing: float) -> Vocabulary:
@@ -103,13 +118,14 @@ class Lattices:
     to: np.ndarray
     piece: np.ndarray
     p: np.ndarray
+    upto: np.ndarray  # sum of p of a node's edges up to this one
     head: np.ndarray  # first node of each unit
 
 
 def together(x: Lattices, y: Lattices) -> Lattices:
     """The units of x, then those of y."""
     nodes, edges = len(x.edge) - 1, len(x.to)
-    return Lattices(np.concatenate([x.edge, y.edge[1:] + edges]), np.concatenate([x.to, y.to + nodes]), np.concatenate([x.piece, y.piece]), np.concatenate([x.p, y.p]), np.concatenate([x.head, y.head + nodes]))
+    return Lattices(np.concatenate([x.edge, y.edge[1:] + edges]), np.concatenate([x.to, y.to + nodes]), np.concatenate([x.piece, y.piece]), np.concatenate([x.p, y.p]), np.concatenate([x.upto, y.upto]), np.concatenate([x.head, y.head + nodes]))
 
 
 class Compiled:
@@ -122,7 +138,14 @@ class Compiled:
 
     def of(self, data: np.ndarray, w: Words) -> tuple[Lattices, np.ndarray]:
         """Lattices that have all units of a block, and each unit's first node."""
-        h, one, which, n = np.unique(word_hashes(Block(0, data, np.array([0, len(data)])), w), return_index=True, return_inverse=True, return_counts=True)
+        every = word_hashes(Block(0, data, np.array([0, len(data)])), w)
+        order = np.argsort(every)
+        new = np.ones(len(every), bool)
+        new[1:] = every[order[1:]] != every[order[:-1]]
+        which = np.empty(len(every), np.int64)
+        which[order] = np.cumsum(new) - 1
+        one = order[new]
+        h, n = every[one], np.diff(np.flatnonzero(new), append=len(every))
         unit = np.full(len(h), -1)
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
@@ -145,52 +168,60 @@ def compile_units(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.nd
     length = end - start
     head = np.zeros(len(start) + 1, np.int64)
     np.cumsum(length + 1, out=head[1:])
+    count = np.arange(int(length.sum()))
     unit = np.repeat(np.arange(len(start)), length)
-    place = np.arange(len(unit)) - np.repeat(head[:-1] - np.arange(len(start)), length)
-    byte_at = np.repeat(start, length) + place
-    node = np.repeat(head[:-1], length) + place
-    room = np.repeat(length, length) - place
+    byte_at = count + (start - head[:-1] + np.arange(len(start)))[unit]
+    node = count + unit
+    room = end[unit] - byte_at
+    lead = data[byte_at]
     up, down = powers(len(data) + 1)
     total = _totals(data, up)
-    first = np.flatnonzero((data[byte_at] & 0xC0) != 0x80)
-    active, edges = first, []
-    known = np.zeros(len(byte_at), bool)  # characters that are pieces
-    width = np.where(data[byte_at] < 0x80, 1, np.where(data[byte_at] < 0xE0, 2, np.where(data[byte_at] < 0xF0, 3, 4)))
-    for n in range(1, v.longest + 1):
+    is_first = (lead & 0xC0) != 0x80
+    known = v.single[lead] >= 0  # characters that are pieces
+    one = np.flatnonzero(known)
+    edges = [(node[one], np.ones(len(one), np.int64), v.single[lead[one]])]
+    active = np.flatnonzero(is_first)
+    width = _WIDTH[lead]
+    for n in range(2, v.longest + 1):
         active = active[room[active] >= n]
         if not len(active):
             break
         s = byte_at[active]
-        h = mix((total[s + n] - total[s]) * down[s] + np.uint64(n))
-        at = v.find(h)
+        at = v.find(mix((total[s + n] - total[s]) * down[s] + np.uint64(n)))
         hit = at >= 0
-        active, at = active[hit], at[hit]
-        whole = v.piece_at[at] >= 0
-        edges.append((node[active[whole]], np.full(int(whole.sum()), n), v.piece_at[at[whole]]))
-        known[active[whole & (n == width[active])]] = True
+        active, piece = active[hit], v.piece_at[at[hit]]
+        whole = np.flatnonzero(piece >= 0)
+        found = active[whole]
+        edges.append((node[found], np.full(len(found), n), piece[whole]))
+        if n <= 4:
+            known[found[width[found] == n]] = True
     # a character that is no piece is spelled by its bytes
-    owner = np.maximum.accumulate(np.where((data[byte_at] & 0xC0) != 0x80, np.arange(len(byte_at)), 0))
+    owner = np.maximum.accumulate(np.where(is_first, count, 0))
     spelled = np.flatnonzero(~known[owner])
-    edges.append((node[spelled], np.ones(len(spelled), np.int64), v.of_byte[data[byte_at[spelled]]]))
-    origin, step, piece = (np.concatenate(z) for z in zip(*edges))
+    edges.append((node[spelled], np.ones(len(spelled), np.int64), v.of_byte[lead[spelled]]))
+    origin, step, piece = (np.concatenate(z) for z in zip(*reversed(edges)))  # long pieces first, which are the likelier ones
     order = np.argsort(origin, kind="stable")
     origin, step, piece = origin[order], step[order], piece[order]
-    edge = np.searchsorted(origin, np.arange(head[-1] + 1))
+    edge = np.zeros(head[-1] + 1, np.int64)
+    np.cumsum(np.bincount(origin, minlength=head[-1]), out=edge[1:])
     to = origin + step
     weight = v.log_weight[piece]
     # sums over all paths from a node to its unit's end, from the end backwards
     ahead = np.zeros(int(head[-1]))
-    left = np.repeat(length, length + 1) - (np.arange(head[-1]) - np.repeat(head[:-1], length + 1))
-    far = left[origin]
-    turn = np.argsort(far.astype(np.uint16) if left.max(initial=0) < 1 << 16 else far, kind="stable")
-    cuts = np.searchsorted(far[turn], np.arange(1, int(left.max(initial=0)) + 2))
+    most = int(length.max(initial=0))
+    far = np.repeat(head[1:] - 1, length + 1)[origin] - origin
+    turn = np.argsort(far.astype(np.uint16) if most < 1 << 16 else far, kind="stable")
+    cuts = np.searchsorted(far[turn], np.arange(1, most + 2))
     for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
         if a < b:
             e = turn[a:b]
             new = np.flatnonzero(np.concatenate([[True], origin[e][1:] != origin[e][:-1]]))
             ahead[origin[e][new]] = np.logaddexp.reduceat(weight[e] + ahead[to[e]], new)
     p = np.exp(weight + ahead[to] - ahead[origin])
-    return Lattices(edge, to, piece, p, head[:-1])
+    # sums within nodes: only single edges' place in their node counts, so a node's own total is taken off
+    upto = np.cumsum(p)
+    upto -= np.repeat(np.concatenate([[0.0], upto])[edge[:-1]], np.diff(edge)) if len(edge) > 1 else 0
+    return Lattices(edge, to, piece, p, upto, head[:-1])
 
 
 def _totals(data: np.ndarray, up: np.ndarray) -> np.ndarray:
@@ -201,10 +232,18 @@ def _totals(data: np.ndarray, up: np.ndarray) -> np.ndarray:
     return total
 
 
-def noise(key: np.ndarray, place: np.ndarray, edge: np.ndarray) -> np.ndarray:
-    """Unit exponentials that depend on a descent's key, a byte place of its text and an edge's number there."""
-    x = mix(mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) + edge.astype(np.uint64))
-    return -np.log(((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53)
+def node_key(key: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """What a node's draws depend on: a descent's key and a byte place of its text."""
+    return mix(key + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+
+def uniform(x: np.ndarray) -> np.ndarray:
+    return ((x >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def exponential(x: np.ndarray, which: int | np.ndarray) -> np.ndarray:
+    """Unit exponentials, another one for each which."""
+    return -np.log(uniform(mix(x + np.asarray(which).astype(np.uint64) * np.uint64(0xD1342543DE82EF95))))
 
 
 @dataclass
@@ -223,38 +262,37 @@ class Descent:
 
 def flatten(first: np.ndarray, count: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The numbers first[i]..first[i] + count[i] - 1 for all i, and where each i begins."""
-    begin = np.zeros(len(count), np.int64)
-    np.cumsum(count[:-1], out=begin[1:])
+    begin = np.cumsum(count) - count
     return np.arange(int(count.sum())) - np.repeat(begin - first, count), begin
 
 
 def descend(lat: Lattices, row: np.ndarray, place: np.ndarray, node: np.ndarray, key: np.ndarray, base: np.ndarray, n_rows: int) -> Descent:
-    """From the given nodes (one a unit, in order) to the units' ends, each time along the highest child. base: each row's log-probability before."""
+    """From the given nodes (one a unit, in order) to the units' ends, each time along the highest child. base: each row's log-probability before.
+
+    With E = exp(-perturbed value), children race as exponentials of rates p. So the highest
+    child is child c with chance p[c], and given that, the lead over the others' best is an
+    exponential of the rate of all others: two draws for each node, however many edges it has.
+    """
     parts = []
-    active = np.arange(len(node))
-    now, here = node.copy(), place.copy()
+    active = np.argsort(node)  # equal units side by side, so that their edges are read from near places
+    now, here = node[active], place[active]
     while len(active):
         count = lat.edge[now + 1] - lat.edge[now]
         go = count > 0
         active, now, here, count = active[go], now[go], here[go], count[go]
         if not len(active):
             break
-        single = count == 1
         chosen, gap = lat.edge[now].copy(), np.full(len(now), np.inf)
-        many = np.flatnonzero(~single)
+        many = np.flatnonzero(count > 1)
         if len(many):
-            e, begin = flatten(lat.edge[now[many]], count[many])
-            c = count[many]
-            r = np.repeat(row[active[many]], c)
-            value = noise(key[r], np.repeat(here[many], c), e - np.repeat(lat.edge[now[many]], c)) / lat.p[e]
-            least = np.minimum.reduceat(value, begin)
-            is_least = value == np.repeat(least, c)
-            hit = np.flatnonzero(is_least)
-            group = np.repeat(np.arange(len(many)), c)[hit]
-            one = np.concatenate([[True], group[1:] != group[:-1]])
-            chosen[many] = e[hit[one]]
-            value[hit[one]] = np.inf
-            gap[many] = np.minimum.reduceat(value, begin) - least
+            x = node_key(key[row[active[many]]], here[many])
+            u, e, last = uniform(x), chosen[many], chosen[many] + count[many] - 1
+            behind = np.flatnonzero((lat.upto[e] <= u) & (e < last))
+            while len(behind):
+                e[behind] += 1
+                behind = behind[(lat.upto[e[behind]] <= u[behind]) & (e[behind] < last[behind])]
+            chosen[many] = e
+            gap[many] = exponential(x, 1) / np.maximum(1 - lat.p[e], 1e-300)
         parts.append((active, here, now, chosen, gap))
         to = lat.to[chosen]
         here = here + (to - now)
@@ -290,13 +328,29 @@ def others(lat: Lattices, d: Descent, nodes: np.ndarray, key: np.ndarray, low: n
     count = lat.edge[n + 1] - lat.edge[n]
     e, begin = flatten(lat.edge[n], count)
     r = d.row[nodes]
-    value = noise(np.repeat(key[r], count), np.repeat(d.place[nodes], count), e - np.repeat(lat.edge[n], count)) / lat.p[e]
-    least = np.repeat(np.minimum.reduceat(value, begin), count)
+    x = node_key(key[r], d.place[nodes])
     free = e != np.repeat(d.edge[nodes], count)
-    i = np.repeat(nodes, count)[free]
+    # which of the others is best, by its rate; each of the rest comes after it as if the race began there
+    share = np.where(free, lat.p[e], 0.0)
+    upto = np.cumsum(share)
+    before = np.concatenate([[0.0], upto])[begin]
+    total = np.add.reduceat(share, begin)
+    cross = before + uniform(mix(x + np.uint64(0x632BE59BD9B4E019))) * total
+    i = np.repeat(np.arange(len(n)), count)
+    first = np.full(len(n), -1)
+    past = np.flatnonzero(free & (upto > cross[i]))
+    group, at = np.unique(i[past], return_index=True)
+    first[group] = past[at]
+    lost = np.flatnonzero(first < 0)  # the sum's last digit
+    for k in lost.tolist():
+        first[k] = np.flatnonzero((i == k) & free)[-1]
+    lead = np.exp(d.gap[nodes])
+    gap = lead[i] + exponential(x[i], 2 + e - lat.edge[n][i]) / np.maximum(share, 1e-300)
+    gap[first] = lead
+    keep = np.flatnonzero(free)
     with np.errstate(divide="ignore"):
-        log_e = np.logaddexp(np.repeat(low[r], count)[free], np.log((value - least)[free]) - d.before[i])
-    return d.row[i], log_e, i, e[free]
+        log_e = np.logaddexp(low[r][i[keep]], np.log(gap[keep]) - d.before[nodes][i[keep]])
+    return r[i[keep]], log_e, nodes[i[keep]], e[keep]
 
 
 def best_nodes(d: Descent, low: np.ndarray, k: int) -> np.ndarray:
@@ -349,7 +403,7 @@ def sample_block(v: Vocabulary, block: Block, keys: np.ndarray, k: int) -> list[
     text_at = np.zeros(n_rows + 1, np.int64)
     text_at[:] = np.append(w.start, len(data))[w.at]
     place = w.start - text_at[row]
-    low = np.log(noise(mix(keys + np.uint64(1)), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64)))  # log E of each text's root
+    low = np.log(exponential(mix(keys + np.uint64(1)), 0))  # log E of each text's root
     key = mix(keys + np.uint64(2))
     d = descend(lat, row, place, node, key, np.zeros(n_rows), n_rows)
     every = [d]
@@ -431,7 +485,7 @@ def _path(lat: Lattices, every: list[Descent], origin, s: int, x: int):
 
 def decode(v: Vocabulary, pieces: list[int]) -> str:
     """The text of a segmentation: its pieces' bytes without the first space."""
-    return b"".join(map(v.spelling.__getitem__, pieces))[1:].decode()
+    return v.spell(np.asarray(pieces, np.int64))[1:].decode()
 
 
 _SCHEMA = "id {}, sample int, pieces array<int>, log_prob double, perturbed double, log_inclusion double"
@@ -489,7 +543,7 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
     def run(batches):
         for ids, texts, rows in _sampled(batches, model_path, samples, smoothing):
             v = vocabulary(model_path, smoothing)
-            out = [(i, k, len(x[0]), x[1], x[2], x[3], hashlib.sha256(x[0].astype("<i4").tobytes()).hexdigest(), b"".join(map(v.spelling.__getitem__, x[0].tolist()))[1:] == texts(i)) for i, r in enumerate(rows) for k, x in enumerate(r)]
+            out = [(i, k, len(x[0]), x[1], x[2], x[3], hashlib.sha256(x[0].astype("<i4").tobytes()).hexdigest(), v.spell(x[0])[1:] == texts(i)) for i, r in enumerate(rows) for k, x in enumerate(r)]
             c = list(zip(*out)) or [[]] * 8
             kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(c[0], pa.int64())), *(pa.array(x, k) for x, k in zip(c[1:], kinds))], ["id", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "pieces_sha256", "decodes"])
