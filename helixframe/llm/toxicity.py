@@ -24,7 +24,7 @@ from .token_counts import Lengths
 ORDER, SPAN, DECAY = 4, 6, 0.6
 LANDMARKS, ROUNDS = 240, 4
 #: Rows of each label that the machine is fitted on at most; the sample is by a hash of the id.
-SAMPLE = {1: 1200, 0: 2400}
+SAMPLE = {1: 1000, 0: 2000}
 THRESHOLD = 0.7
 CACHE = 1 << 20
 
@@ -161,8 +161,8 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return v
 
 
-def fit(docs: list[list[bytes]], toxic: np.ndarray, calibrate: np.ndarray, n_landmarks: int = LANDMARKS) -> Machine:
-    """Fit on the distinct tokens of labelled texts.
+def fit(tokens: list[bytes], rows: list[np.ndarray], toxic: np.ndarray, calibrate: np.ndarray, n_landmarks: int = LANDMARKS) -> Machine:
+    """Fit on labelled texts, each given by the numbers of its distinct tokens.
 
     A text is toxic if one of its tokens is, so the tokens that make it so are found along
     with the machine. Tokens that toxic texts have and clean ones lack, oftener than chance
@@ -172,16 +172,12 @@ def fit(docs: list[list[bytes]], toxic: np.ndarray, calibrate: np.ndarray, n_lan
     inserted. Texts marked calibrate only fit the probability; near copies of an earlier text
     are left out. Without both labels every text gets 0.
     """
-    fresh = unlike(docs)
-    docs, toxic, calibrate = [d for d, f in zip(docs, fresh) if f], toxic[fresh], calibrate[fresh]
+    fresh = unlike(tokens, rows)
+    rows, toxic, calibrate = [d for d, f in zip(rows, fresh) if f], toxic[fresh], calibrate[fresh]
     y = toxic.astype(bool)
     train = ~calibrate
-    if y[train].all() or not y[train].any():
+    if not train.any() or y[train].all() or not y[train].any():
         return Machine(np.zeros(1 << 5 * ORDER, np.float32), 0.0, 0.0, -30.0, [])
-    vocabulary: dict[bytes, int] = {}
-    docs = [{core(t) for t in d} - {b""} for d in docs]
-    rows = [np.array(sorted({vocabulary.setdefault(t, len(vocabulary)) for t in d}), np.int64) for d in docs]
-    tokens = list(vocabulary)
     seen = np.zeros((2, 1 << 5 * ORDER), np.float32)
     for d, label in zip(np.flatnonzero(train), y[train]):
         own = [tokens[i] for i in rows[d]]
@@ -237,12 +233,14 @@ def core(token: bytes) -> bytes:
     return token.strip(bytes(np.flatnonzero(_EDGE).astype(np.uint8)))
 
 
-def unlike(docs: list[list[bytes]], bands: int = 4) -> np.ndarray:
+def unlike(tokens: list[bytes], rows: list[np.ndarray], bands: int = 4) -> np.ndarray:
     """Which texts share with no earlier one the two least hashes of any band of their long tokens."""
-    seen, out = set(), np.ones(len(docs), bool)
-    for i, d in enumerate(docs):
-        h = np.sort(mix(np.array([int.from_bytes(t[:16].ljust(16), "little") % (2**64 - 59) for t in d if len(t) >= 7], np.uint64)))
-        keys = {(b, *h[h % np.uint64(bands) == b][:2].tolist()) for b in range(bands)} if len(h) >= 16 else set()
+    h = mix(np.array([int.from_bytes(t[:16].ljust(16), "little") % (2**64 - 59) for t in tokens], np.uint64))
+    long = np.array([len(t) >= 7 for t in tokens], bool)
+    seen, out = set(), np.ones(len(rows), bool)
+    for i, r in enumerate(rows):
+        own = np.sort(h[r[long[r]]])
+        keys = {(b, *own[own % np.uint64(bands) == b][:2].tolist()) for b in range(bands)} if len(own) >= 16 else set()
         keys = {k for k in keys if len(k) == 3}
         out[i] = not keys & seen
         seen |= keys
@@ -279,8 +277,11 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float
     return float(v[0]), float(v[1])
 
 
-def training_tokens(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> tuple[list[list[bytes]], np.ndarray, np.ndarray]:
-    """Distinct tokens of a bounded sample of labelled texts that are not held out, their labels, and which calibrate."""
+def training_tokens(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray]:
+    """Distinct tokens of a bounded sample of labelled texts that are not held out, the texts by their tokens, their labels, and which calibrate.
+
+    Rows arrive one partition at a time and are kept as token numbers only. Texts with equal tokens count once.
+    """
     pick = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     pick = pick.withColumn("r", F.xxhash64(F.lit("sample"), "doc_id"))
     picked = [pick.where(F.col("toxic") == k).orderBy("r", "doc_id").limit(n) for k, n in sample.items()]
@@ -291,14 +292,22 @@ def training_tokens(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
             out = []
             for block in blocks(batch.column(2)):
                 w, data = words(block), block.data.tobytes()
-                out += [sorted(set(units(data, w, w.at[i], w.at[i + 1]))) for i in range(len(block))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.list_(pa.binary()))], ["r", "toxic", "tokens"])
-
-    rows = sorted(both.mapInArrow(run, "r long, toxic int, tokens array<binary>").collect(), key=lambda r: (r.r, r.tokens))
-    texts = {}
-    for r in rows:  # a text that has copies counts once
-        texts.setdefault(tuple(bytes(t) for t in r.tokens), r)
-    return [list(t) for t in texts], np.array([r.toxic for r in texts.values()], np.int64), np.array([r.r % 4 == 0 for r in texts.values()], bool)
+                out += [b"\n".join(sorted({core(t) for t in units(data, w, w.at[i], w.at[i + 1])} - {b""})) for i in range(len(block))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["r", "toxic", "tokens"])
+
+    number: dict[bytes, int] = {}
+    texts: dict[bytes, tuple] = {}
+    for r in both.mapInArrow(run, "r long, toxic int, tokens binary").toLocalIterator():
+        own = np.fromiter((number.setdefault(t, len(number)) for t in bytes(r.tokens).split(b"\n") if t), np.int32)
+        same = np.sort(own).tobytes()
+        if same not in texts or (r.r, r.toxic) < texts[same][:2]:
+            texts[same] = (r.r, r.toxic, own)
+    found = sorted(texts.values(), key=lambda x: (x[0], x[1], len(x[2])))
+    tokens = sorted(number)
+    place = np.empty(len(tokens), np.int32)
+    for i, t in enumerate(tokens):
+        place[number[t]] = i
+    return tokens, [np.sort(place[own]) for _, _, own in found], np.array([x[1] for x in found], np.int64), np.array([x[0] % 4 == 0 for x in found], bool)
 
 
 def held_out(id_col: str):
