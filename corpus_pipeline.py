@@ -12,7 +12,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from helixframe.llm import line_dedup, mixing, near_dedup, piece_sampling, toxicity
-from helixframe.llm.common import cut, read
+from helixframe.llm.common import read, shared_folder
 from helixframe.llm.queries import tokenizer
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -74,8 +74,7 @@ STAGES = [("toxicity", reject_toxic), ("line_dedup", drop_repeated_lines), ("nea
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents; each stage's table is written to the shared folder and read again."""
     docs = read(spark, sf_dir, "documents")
-    cut(spark.range(0).toDF("x"))  # names the shared folder where the session has none
-    folder = posixpath.join(spark.sparkContext.getCheckpointDir(), f"stages-{uuid.uuid4().hex}")
+    folder = posixpath.join(shared_folder(spark), f"stages-{uuid.uuid4().hex}")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .common import cut, split_join
+from .common import cut, split_join, stored
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -17,7 +17,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     Null ends and loops are left out. Edges that never change end the loop.
     """
     kept = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
-    kept = cut(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    kept, remove = stored(kept.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     last = None
     for _ in range(most_rounds):
         both = kept.union(kept.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -27,11 +27,15 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
         # small star: the node and its neighbours below go to the least of those
         small_least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = split_join(large, small_least, ["a"]).selectExpr("explode(array(struct(a, m), struct(b as a, m))) e").selectExpr("e.a", "e.m as b").where("a <> b").distinct()
-        kept = cut(small)
+        (kept, following) = stored(small)
+        remove()
+        remove = following
         now = kept.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if tuple(now) == last:
             break
         last = tuple(now)
     else:
         raise RuntimeError(f"components did not settle in {most_rounds} rounds")
+    kept = cut(kept)
+    remove()
     return kept.select(F.col("a").alias("node"), F.col("b").alias("component")).union(kept.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())
