@@ -166,7 +166,7 @@ def rules() -> list[Rule]:
     n = 2
     out = [Rule(label, priority, word, "(?<![^ ])" + form.format(f"(?:{name})") + "(?![^ ])") for label, word, name in split(_NAMES) for priority, _, form in _FORMS]
     # names that mean nothing else stand alone as well
-    out += [Rule(label, 50, word, f"(?<![^ ])(?:{name})(?![^ ])") for label, word, name in split(_NAMES) if label.startswith("cc-by")]
+    out += [Rule(label, 50, word, f"(?<![^ ])(?:{name})(?![^ ])") for label, word, name in split(_NAMES) if label.startswith(("cc-by", "gpl-", "lgpl-", "agpl-"))]
     n = 3
     out += [Rule(label, int(p), word, f"(?<![^ ])(?:{regex})(?![^ ])") for label, p, word, regex in split(_SIGNATURES)]
     return sorted(out, key=lambda r: -r.priority)
