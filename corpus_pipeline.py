@@ -27,7 +27,7 @@ def _columns(df: DataFrame) -> DataFrame:
 def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose toxicity reaches the threshold go. The machine is trained on sf_dir's labelled documents.
 
-    Scores depend on texts only, so all rows of a doc_id that holds a toxic text go together.
+    Scores depend on a row's text only, so each row goes or stays by itself.
     """
     machine = toxicity.train(read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels"))
     struct = docs.select(F.struct(*COLUMNS).alias("id"), "text")

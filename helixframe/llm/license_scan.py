@@ -195,13 +195,14 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of the joined words. score is 1 with a base phrase, else the best priority / 100, else 0.
     There is no shuffle; equal rows give equal results and further columns are not read.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    lower = F.lower(text)
+    d = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    d = d.withColumn("low", F.lower("text"))  # a column of its own, so that it is made once for all tests
+    text, lower = F.col("text"), F.col("low")
     gate = F.lit(False)
     for g in _GATES:
         gate = gate | lower.contains(g)
     gate = gate | lower.contains("as is") | F.rlike(lower, F.lit(GATE.rsplit("|", 1)[1]))
-    d = docs.select(F.col(id_col).alias("id"), F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(gate, text).alias("t"))
+    d = d.select("id", F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(gate, text).alias("t"))
     d = d.withColumn("w", F.when(F.col("t").isNotNull(), F.regexp_extract_all(ascii_lower(F.col("t")), F.lit(_WORD), F.lit(0))))
     d = d.withColumn("s", F.array_join("w", " "))
 
