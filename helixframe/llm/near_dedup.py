@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bits import maybe_in
-from .common import cut, prepare, split_join
+from .common import cut, prepare, release, split_join
 from .graph import components
 from .textblocks import blocks, mix, ngrams, word_hashes, words
 
@@ -57,6 +57,7 @@ def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) ->
                     cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sk.append(s[:k].tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sk, pa.binary())], ["id", "n", "class", "sketch"])
+        release()
 
     prepare(docs.sparkSession)
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, class binary, sketch binary")
@@ -106,6 +107,7 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, sim
                 part = batch.slice(i, 2048)
                 keep[i : i + 2048] = union_estimate(_matrix(part.column(t("sa")), k), _matrix(part.column(t("sb")), k)) >= floor
             yield pa.RecordBatch.from_arrays([batch.column(t("a")), batch.column(t("b"))], ["a", "b"]).filter(pa.array(keep))
+        release()
 
     likely = cut(both.select("a", "b", "sa", "sb").mapInArrow(estimate, "a long, b long"))
     keyed = split_join(likely, likely.groupBy("a").agg(F.ceil(F.count("*") / HUB).alias("g")), ["a"])
@@ -126,6 +128,7 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, sim
                         common = len(np.intersect1d(own, s, assume_unique=True))
                         keep[i] = common * down >= (len(own) + len(s) - common) * up
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(keep))
+        release()
 
     rows = members.unionByName(hubs).repartition("a", "part").sortWithinPartitions("a", "part", "turn")
     return cut(rows.mapInArrow(exact, "a long, b long"))

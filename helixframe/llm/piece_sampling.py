@@ -17,14 +17,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare
+from .common import prepare, release
 from .textblocks import Block, Words, blocks, mix, powers, word_hashes
 
 #: Segmentations of a text, and the exponent of the pieces' weights (0: all alike, 1: as the vocabulary ranks them).
 SAMPLES, SMOOTHING = 2, 0.5
 SIZE = 1 << 20
 #: Units whose lattices a worker keeps (about 1 KB each).
-UNITS = 1 << 17
+UNITS = 1 << 15
 _SPACE, _LINE = 0x20, 0x0A
 _WIDTH = np.repeat(np.array([1, 2, 3, 4]), [0xC0, 0x20, 0x10, 0x10])
 _workers: dict = {}
@@ -125,7 +125,7 @@ class Lattices:
 def together(x: Lattices, y: Lattices) -> Lattices:
     """The units of x, then those of y."""
     nodes, edges = len(x.edge) - 1, len(x.to)
-    return Lattices(np.concatenate([x.edge, y.edge[1:] + edges]), np.concatenate([x.to, y.to + nodes]), np.concatenate([x.piece, y.piece]), np.concatenate([x.p, y.p]), np.concatenate([x.upto, y.upto]), np.concatenate([x.head, y.head + nodes]))
+    return Lattices(np.concatenate([x.edge, y.edge[1:] + np.int32(edges)]), np.concatenate([x.to, y.to + np.int32(nodes)]), np.concatenate([x.piece, y.piece]), np.concatenate([x.p, y.p]), np.concatenate([x.upto, y.upto]), np.concatenate([x.head, y.head + nodes]))
 
 
 class Compiled:
@@ -202,9 +202,9 @@ def compile_units(v: Vocabulary, data: np.ndarray, start: np.ndarray, end: np.nd
     origin, step, piece = (np.concatenate(z) for z in zip(*reversed(edges)))  # long pieces first, which are the likelier ones
     order = np.argsort(origin, kind="stable")
     origin, step, piece = origin[order], step[order], piece[order]
-    edge = np.zeros(head[-1] + 1, np.int64)
+    edge = np.zeros(head[-1] + 1, np.int32)
     np.cumsum(np.bincount(origin, minlength=head[-1]), out=edge[1:])
-    to = origin + step
+    to = (origin + step).astype(np.int32)
     weight = v.log_weight[piece]
     # sums over all paths from a node to its unit's end, from the end backwards
     ahead = np.zeros(int(head[-1]))
@@ -286,7 +286,8 @@ def descend(lat: Lattices, row: np.ndarray, place: np.ndarray, node: np.ndarray,
         many = np.flatnonzero(count > 1)
         if len(many):
             x = node_key(key[row[active[many]]], here[many])
-            u, e, last = uniform(x), chosen[many], chosen[many] + count[many] - 1
+            u, e = uniform(x), chosen[many]
+            last = e + count[many] - 1
             behind = np.flatnonzero((lat.upto[e] <= u) & (e < last))
             while len(behind):
                 e[behind] += 1
@@ -563,3 +564,4 @@ def _sampled(batches, model_path: str, samples: int, smoothing: float):
         keys = batch.column(2).to_numpy().view(np.uint64)
         for block in blocks(batch.column(1), SIZE):
             yield batch.column(0).slice(block.first, len(block)), block.text, sample_block(v, block, keys[block.first : block.first + len(block)], samples)
+    release()

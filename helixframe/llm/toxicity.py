@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .common import prepare
+from .common import prepare, release
 from .textblocks import Words, blocks, mix, word_hashes, words
 from .token_counts import Lengths
 
@@ -26,7 +26,7 @@ LANDMARKS, ROUNDS = 240, 4
 #: Rows of each label that the machine is fitted on at most; the sample is by a hash of the id.
 SAMPLE = {1: 1000, 0: 2000}
 THRESHOLD = 0.7
-CACHE = 1 << 20
+CACHE = 1 << 19
 
 _BOUND = 31
 _LETTER = np.zeros(256, np.uint8)
@@ -294,6 +294,7 @@ def training_tokens(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
                 w, data = words(block), block.data.tobytes()
                 out += [b"\n".join(sorted({core(t) for t in units(data, w, w.at[i], w.at[i + 1])} - {b""})) for i in range(len(block))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["r", "toxic", "tokens"])
+        release()
 
     number: dict[bytes, int] = {}
     texts: dict[bytes, tuple] = {}
@@ -374,3 +375,4 @@ def _score(batches, machine: Machine, key: str):
                     best[i] = max(best[i], (weigh(apart, machine.weights) + machine.bias).max())
             out.append(machine.probability(best))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out))], ["id", "score"])
+    release()
