@@ -23,8 +23,8 @@ from .textblocks import Block, Words, blocks, mix, powers, word_hashes
 #: Segmentations of a text, and the exponent of the pieces' weights (0: all alike, 1: as the vocabulary ranks them).
 SAMPLES, SMOOTHING = 2, 0.5
 SIZE = 1 << 20
-#: Units whose lattices a worker keeps (about 1 KB each).
-UNITS = 1 << 15
+#: Units whose lattices a worker keeps (about 0.5 KB each).
+UNITS = 1 << 17
 _SPACE, _LINE = 0x20, 0x0A
 _WIDTH = np.repeat(np.array([1, 2, 3, 4]), [0xC0, 0x20, 0x10, 0x10])
 _workers: dict = {}
@@ -354,12 +354,12 @@ def others(lat: Lattices, d: Descent, nodes: np.ndarray, key: np.ndarray, low: n
     return r[i[keep]], log_e, nodes[i[keep]], e[keep]
 
 
-def best_nodes(d: Descent, low: np.ndarray, k: int) -> np.ndarray:
+def best_nodes(d: Descent, k: int) -> np.ndarray:
     """Each row's k nodes whose best edge not taken has the least E; the k least edges of a row are all at these."""
     full = np.flatnonzero(np.diff(d.at))
     if not len(full):
         return np.zeros(0, np.int64)
-    log_e = np.logaddexp(low[d.row], d.gap - d.before)
+    log_e = d.gap - d.before  # in the order of E within a row, to which each adds the same
     out = []
     for _ in range(k):
         least = np.full(len(d.at) - 1, np.inf)
@@ -409,7 +409,7 @@ def sample_block(v: Vocabulary, block: Block, keys: np.ndarray, k: int) -> list[
     d = descend(lat, row, place, node, key, np.zeros(n_rows), n_rows)
     every = [d]
     # frontier: row, log E, descent, node's number in it, edge
-    frontier = _rows(others(lat, d, best_nodes(d, low, k), key, low), 0)
+    frontier = _rows(others(lat, d, best_nodes(d, k), key, low), 0)
     found: list[list] = [[(0, low[i])] for i in range(n_rows)]
     origin = [(np.full(n_rows, -1), np.zeros(n_rows, np.int64), np.zeros(n_rows, np.int64))]
     kappa = np.full(n_rows, np.inf)
@@ -442,7 +442,7 @@ def sample_block(v: Vocabulary, block: Block, keys: np.ndarray, k: int) -> list[
         key = mix(keys + np.uint64(2 + s))
         d = descend(lat, u_row[order], u_place[order], u_node[order], key, base, n_rows)
         every.append(d)
-        frontier = np.concatenate([frontier, _rows(others(lat, d, best_nodes(d, low_s, k), key, low_s), s)])
+        frontier = np.concatenate([frontier, _rows(others(lat, d, best_nodes(d, k), key, low_s), s)])
         for x in r.tolist():
             found[x].append((s, low_s[x]))
     out = []
