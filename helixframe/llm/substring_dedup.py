@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bits import cell_of, collect, test, width
-from .common import cut, prepare, split_join
+from .common import cut, prepare, release, split_join
 from .textblocks import Words, blocks, inside_rows, mix, ngrams, word_hashes, words
 
 #: Words of the phrase that stands for a window in the sketch.
@@ -115,6 +115,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     def partial(batches):
         for batch in batches:
             yield from _anchor_cells(batch.column(2), window, bits)
+        release()
 
     kinds = "cell long, n long"
     counted = both.mapInArrow(lambda b: partial(divided(b, False)), kinds).union(single.mapInArrow(partial, kinds))
@@ -134,6 +135,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
                 if len(at):
                     one, two = ngrams(h, window)[at], ngrams(h, window, 1)[at]
                     yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(block.first + row)), pa.array((at - w.at[row]).astype(np.int32))], ["h", "c", "id", "pos"])
+        release()
 
     kinds = f"h long, c int, id {id_type}, pos int"
     found = both.mapInArrow(lambda b: candidates(divided(b, False)), kinds).union(single.mapInArrow(candidates, kinds))
@@ -169,3 +171,4 @@ def _keep(batches, window: int):
                 n_words.append(n)
                 n_removed.append(int(gone.sum()))
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(kept, pa.string())], ["id", "n_words", "n_removed", "text_kept"])
+    release()
