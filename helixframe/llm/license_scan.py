@@ -151,10 +151,12 @@ proprietary | 70 | confidential | (?:proprietary and confidential|confidential a
 proprietary | 70 | express written | without the express(?:ed)? written (?:permission|consent) of
 """
 
+_VERBS = "licensed|released|distributed|available|provided|published|covered|issued|offered|dual licensed"
+
 # What a name stands in, with its priority. The last needs the word itself in the name or beside it.
 _FORMS = (
     (100, "spdx", r"spdx licen[sc]e identifier {}"),
-    (80, "under", r"(?:licensed|released|distributed|available|provided|published|covered|issued|offered|dual licensed)(?: [^ ]+){{0,3}}? under (?:the )?(?:terms of )?(?:the )?{}(?: (?:open source )?licen[sc]e)?(?: version [0-9](?: [0-9])?)?"),
+    (80, "under", rf"(?:{_VERBS})(?: [^ ]+){{{{0,3}}}}? under (?:the )?(?:terms of )?(?:the )?{{}}(?: (?:open source )?licen[sc]e)?(?: version [0-9](?: [0-9])?)?"),
     (65, "licen", r"licen[sc]e (?:is |type |under )?(?:the )?{}"),
     (60, "licen", r"{}(?: (?:open source |public )?licen[sc]e)(?: version [0-9](?: [0-9])?)?"),
 )
@@ -172,9 +174,12 @@ def rules() -> list[Rule]:
     return sorted(out, key=lambda r: -r.priority)
 
 
-#: A text in which none of these occurs, nor _CC, has no rule's keyword and no base phrase.
-_CC = r"cc[\x00-\x2F\x3A-\x60\x7B-\x7F]+by"
-_GATES = ("licen", "spdx", "copyright", "confidential", "public", "permission", "redistribution", "advertising", "neither", "gnu", "gpl", "mozilla", "opensource", "creative", "eclipse", "boost", "apache", "unencumbered", "scripts", "express", "fuck", "d under", "available under")
+#: Every match of a rule and every base phrase has one of these in its text, or "as is", _CC or _UNDER, whatever stands between its words.
+_GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_CC = rf"cc{_GAP}by"
+#: What all rules with "under" begin with, as it stands in the raw text; the verbs are their own words.
+_UNDER = rf"(?:{_VERBS.replace(' ', _GAP)})(?:{_GAP}{_WORD}){{0,3}}{_GAP}under"
+_GATES = ("licen", "spdx", "copyright", "confidential", "public", "permission", "redistribution", "advertising", "neither", "gnu", "gpl", "mozilla", "opensource", "creative", "eclipse", "boost", "apache", "unencumbered", "scripts", "express", "fuck")
 
 
 def _literal(table: list[Rule]):
@@ -201,7 +206,7 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gate = F.lit(False)
     for g in _GATES:
         gate = gate | lower.contains(g)
-    gate = gate | lower.contains("as is") | F.rlike(lower, F.lit(_CC))
+    gate = gate | lower.contains("as is") | F.rlike(lower, F.lit(_CC)) | (lower.contains("under") & F.rlike(lower, F.lit(_UNDER)))
     d = d.select("id", F.regexp_count(text, F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")).cast("long").alias("n_words"), F.when(gate, text).alias("t"))
     d = d.withColumn("w", F.when(F.col("t").isNotNull(), F.regexp_extract_all(ascii_lower(F.col("t")), F.lit(_WORD), F.lit(0))))
     d = d.withColumn("s", F.array_join("w", " "))

@@ -56,6 +56,18 @@ def test_a_contained_detection_of_lower_priority_goes(spark):
     assert len(license_scan.rules()) >= 200 and all(re.compile(x.regex) for x in license_scan.rules())
 
 
+def test_the_gate_lets_every_notice_with_under_through(spark):
+    texts = ["released\nunder the MIT terms", "Released  under MIT", "Released to everyone under the BSD 3-clause terms", "Distributed (freely) under ISC", "Available, under MIT", "PUBLISHED\r\n * under\tthe terms of the ISC"]
+    texts += [f"x {v}{a}{b}under{a}the{a}MIT y" for v in license_scan._VERBS.split("|") for a in (" ", "\n", "\n# ", " -- ") for b in ("", f"to{a}all,{a}é{a}")]
+    texts += ["released to each and every one under MIT", "thunder over MIT"]
+    found = {r.id: r for r in license_scan.license_scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    table = license_scan.rules()
+    for i, t in enumerate(texts):
+        joined = " ".join(re.findall(license_scan._WORD, t.lower()))
+        expected = max((r.priority for r in table if re.search(r.regex, joined)), default=0)
+        assert expected == (0 if i >= len(texts) - 2 else 80) and found[i].score == expected / 100 and bool(found[i].labels) == (expected > 0), t
+
+
 # --- tokens
 
 TEXTS = ["Hello  World", "don't stop<|endoftext|>now", "<|startoftext|> x <|ENDOFTEXT|>", "é é ﬁ Å", "a b c\x85d", "日本語 テキスト🙂", "", None, "123 4.5 x1y2", "I'm we'll '", "ǅ İ ß ΑΣ", "\t\n\x0b\x0c\r\x1c\x1d x", "z" * 5000, "ab " * 4000, "́a ́"]
