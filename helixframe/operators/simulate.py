@@ -9,6 +9,7 @@ from .pool import in_range
 from .rng import pick, uniform
 
 LEAST_FRAGMENT, MOST_FRAGMENT = 300.0, 1500
+REDRAWS = 10
 JITTER = 20
 
 
@@ -52,22 +53,28 @@ def tiles(haps: DataFrame, read_length: int, seed: int = 42) -> DataFrame:
 
     haps: event_id, total_len, breakpoints, n_tiles, lengths, near_breakpoints, segs (array of
     hap_offset, len, chrom). A length comes from the empirical ones within [read_length, 1500].
-    Starts are uniform, near a random breakpoint if asked for so that the fragment crosses it;
-    those that touch new sequence only, or whose ends lie in it, are not valid.
+    Starts are uniform, near a random breakpoint if asked for so that the fragment crosses it.
+    Uniform ones on haplotypes with new sequence are drawn again up to REDRAWS times while the
+    fragment touches new sequence only. Fragments whose ends lie in it are not valid.
     """
     # an event's draws are made in one array before it is exploded, so that no filter computes them again
     draw = lambda what, i: uniform(F.col("event_id"), F.concat(F.lit(f"{seed}:{what}:"), i.cast("string")))
-    attempts = F.transform(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n_tiles") - 1), lambda i: F.struct(i.alias("attempt"), draw("len", i).alias("u_len"), draw("bp", i).alias("u_bp"), draw("start", i).alias("u_start")))
+    near = F.col("near_breakpoints") & (F.size("breakpoints") > 0)
+    again = ~near & F.exists("segs", lambda s: s["chrom"].isNull())
+    starts = lambda i: F.when(again, F.array(draw("start", i), *[draw(f"start{k}", i) for k in range(1, REDRAWS + 1)])).otherwise(F.array(draw("start", i)))
+    attempts = F.transform(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n_tiles") - 1), lambda i: F.struct(i.alias("attempt"), draw("len", i).alias("u_len"), draw("bp", i).alias("u_bp"), starts(i).alias("u_starts")))
     allowed = in_range(F.col("lengths"), read_length, MOST_FRAGMENT)
     tries = haps.where("n_tiles > 0").select("event_id", "total_len", "breakpoints", "n_tiles", "near_breakpoints", "segs", allowed.alias("allowed"), F.explode(attempts).alias("t"))
     tries = tries.select("*", "t.*").withColumn("frag_len", pick(F.col("allowed"), F.col("u_len")))
     bp = pick(F.col("breakpoints"), F.col("u_bp"))
     last = F.col("total_len") - F.col("frag_len")
-    near = F.col("near_breakpoints") & (F.size("breakpoints") > 0)
     lo = F.when(near, F.greatest(bp - F.col("frag_len") + 1, F.lit(0))).otherwise(F.lit(0))
     hi = F.when(near, F.least(bp - 1, last)).otherwise(last)
     placed = tries.withColumn("lo", lo).withColumn("hi", hi).where("frag_len <= total_len and lo <= hi")
-    placed = placed.withColumn("hap_start", F.col("lo") + F.least(F.floor(F.col("u_start") * (F.col("hi") - F.col("lo") + 1)), F.col("hi") - F.col("lo")))
+    at = F.transform("u_starts", lambda u: F.col("lo") + F.least(F.floor(u * (F.col("hi") - F.col("lo") + 1)), F.col("hi") - F.col("lo")))
+    touches = lambda p: F.exists("segs", lambda s: s["chrom"].isNotNull() & (p < s["hap_offset"] + s["len"]) & (p + F.col("frag_len") > s["hap_offset"]))
+    # where none touches the reference the attempt has no start
+    placed = placed.withColumn("starts", at).withColumn("hap_start", F.get(F.filter("starts", touches), F.lit(0)))
     known = lambda p: F.exists("segs", lambda s: s["chrom"].isNotNull() & (s["hap_offset"] <= p) & (p < s["hap_offset"] + s["len"]))
     valid = placed.where(known(F.col("hap_start")) & known(F.col("hap_start") + F.col("frag_len") - 1))
     w = Window.partitionBy("event_id").orderBy("attempt")

@@ -196,6 +196,21 @@ def test_suppression_rates(spark):
     assert rate(2100, 2500, "target") == 1 and rate(2100, 2500, "other") == 0 and rate(2100, 2500, "tie") == 0
 
 
+@pytest.mark.parametrize("new", [5000, 20000])
+def test_long_insertions_get_all_their_fragments(spark, new):
+    n, flank, total = 150, 2000, 4000 + new
+    segs = [(0, flank, "chr1"), (flank, new, None), (flank + new, flank, "chr1")]
+    haps = spark.createDataFrame([(i, total, [flank, flank + new], n, [400], False, segs) for i in range(4)], "event_id long, total_len long, breakpoints array<long>, n_tiles long, lengths array<long>, near_breakpoints boolean, segs array<struct<hap_offset:long,len:long,chrom:string>>")
+    got = simulate.tiles(haps, 150).collect()
+    assert all(sum(r.event_id == i for r in got) == n for i in range(4))
+    for p in (x for r in got for x in (r.hap_start, r.hap_start + r.frag_len - 1)):
+        assert 0 <= p < flank or flank + new <= p < total
+    # without new sequence there is one draw, as before
+    plain = haps.withColumn("segs", F.transform("segs", lambda s: s.withField("chrom", F.lit("chr1"))))
+    u = rng.uniform(F.col("event_id"), F.concat(F.lit("42:start:"), F.col("attempt").cast("string")))
+    assert simulate.tiles(plain, 150).where(F.col("hap_start") != F.floor(u * (total - 400 + 1))).count() == 0
+
+
 def test_last_of_repeated_names(spark):
     rows = [("dup", 10, 0), ("keep", 20, 1), ("dup", 90, 2)]
     got = simulate.without_repeats(spark.createDataFrame(rows, "name string, ref_start long, k long"), "k").collect()
