@@ -72,14 +72,20 @@ def mapping_quality(aln: DataFrame, order: list[str], n: int = HEAD["mapq"]) ->
     return s.select(F.lit("mapping_quality").alias("check"), "mean", (F.col("mean") > LEAST_MAPQ).alias("pass"))
 
 
+def covering(aln: DataFrame, places: DataFrame) -> DataFrame:
+    """Rows of aln whose span on the reference, up to its last aligned block's end, meets a place (g_chrom, g_start, g_end); each as often as it is in aln."""
+    end = F.array_max(F.transform(pileup.aligned_blocks(F.col("cigar"), F.col("pos")), lambda b: b["ref"] + b["len"]))
+    spans = aln.withColumn("__row", F.monotonically_increasing_id()).withColumn("__end", end)
+    met = intervals.overlap_join(spans, places, ("chrom", "pos", "__end"), ("g_chrom", "g_start", "g_end"))
+    return met.dropDuplicates(["__row"]).select(*aln.columns)
+
+
 def run(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], flank: int = 5000, min_flank_depth: float = 1.0) -> DataFrame:
     """(event, check, expected, observed, pass) of all checks."""
     text = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("N/A"))
     names = truth.select("event_id", event_label(*(F.col(c) for c in ("sv_type", "chrom", "start", "end"))).alias("event"))
     snp_windows = truth.where("sv_type = 'SNP'").select(F.col("chrom").alias("g_chrom"), F.col("start").alias("g_start"), (F.col("start") + 1).alias("g_end"))
-    spans = aln.withColumn("a_end", F.col("pos") + 1000)
-    near = intervals.overlap_join(spans, snp_windows.distinct(), ("chrom", "pos", "a_end"), ("g_chrom", "g_start", "g_end")).select(*aln.columns).distinct()
-    pile = pileup.counts(pileup.bases(near, ["name"]))
+    pile = pileup.counts(pileup.bases(covering(aln, snp_windows.distinct()), ["name"]))
     parts = [
         coverage(truth, reads, flank, min_flank_depth).select("event", "check", text(F.col("expected")).alias("expected"), text(F.col("ratio")).alias("observed"), "pass"),
         split_reads(truth, reads).join(names, "event_id").select("event", "check", F.lit("> 0").alias("expected"), F.col("n").cast("string").alias("observed"), "pass"),

@@ -277,6 +277,18 @@ def test_a_whole_run(spark, reference):
 # --- validation
 
 
+def test_allele_fractions_of_long_and_equal_alignments(spark):
+    truth = spark.createDataFrame([(1, "SNP", "c", 5000, 5001, 0.5, "A", "T"), (2, "SNP", "c", 5002, 5003, 0.5, "A", "T")], "event_id long, sv_type string, chrom string, start long, end long, vaf double, ref_allele string, alt_allele string")
+    reads = spark.createDataFrame([("c", 0, 50, False)], "chrom string, ref_start long, ref_end long, has_sa boolean")
+    long = [(f"l{i}", 0, "c", 10, 60, cigar, 0, 0, "T" * n, "I" * n, i) for i, (cigar, n) in enumerate([("6000M", 6000), ("5S10M4900N200M", 215), ("10M4900D200M", 210)])]
+    same = [("s", 0, "c", 4990, 60, "50M", 0, 0, "A" * 50, "I" * 50, 9)] * 3
+    aln = spark.createDataFrame(long + same, "name string, flag int, chrom string, pos long, mapq int, cigar string, mate_pos long, tlen int, seq string, qual string, ord long")
+    got = validate.run(truth, reads, aln, ["ord"]).where("check = 'allele_fraction'").collect()
+    assert [(r.observed, r["pass"]) for r in got] == [("0.500", True)] * 2
+    pile = pileup.counts(pileup.bases(validate.covering(aln, spark.createDataFrame([("c", 5000, 5001), ("c", 5002, 5003)], "g_chrom string, g_start long, g_end long")), ["name"]))
+    assert [(r.n_a, r.n_t) for r in pile.where("p = 5000").collect()] == [(3, 3)]
+
+
 def test_validation(spark):
     truth = spark.createDataFrame([(1, "DEL", "c", 10000, 11000, 0.5, None, None), (2, "SNP", "c", 500, 501, 0.5, "A", "T")], "event_id long, sv_type string, chrom string, start long, end long, vaf double, ref_allele string, alt_allele string")
     reads = spark.range(20000).select(F.lit("c").alias("chrom"), F.col("id").alias("ref_start"), (F.col("id") + 1).alias("ref_end"), (F.col("id") == 10200).alias("has_sa"))
