@@ -64,7 +64,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Two distinct sampled segmentations of every text, with their inclusion scores; pieces as a digest, and whether they decode to the text."""
+    """Two distinct sampled segmentations of every text, with their inclusion scores; pieces, their digest, and whether they decode to the text."""
     return piece_sampling.encode_and_decode(docs, tokenizer("piece_bpe_32k.model")).withColumnRenamed("id", "doc_id")
 
 

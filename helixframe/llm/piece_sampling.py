@@ -510,9 +510,7 @@ def sample_pieces(docs: DataFrame, model_path: str, id_col: str = "doc_id", text
         for ids, texts, rows in _sampled(batches, model_path, samples, smoothing):
             who = [i for i, r in enumerate(rows) for _ in r]
             flat = [x for r in rows for x in r]
-            n = np.cumsum([0, *(len(x[0]) for x in flat)])
-            pieces = pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *(x[0] for x in flat)])))
-            numbers = [pa.array([k for r in rows for k in range(len(r))], pa.int32()), pieces, *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3))]
+            numbers = [pa.array([k for r in rows for k in range(len(r))], pa.int32()), _lists(rows), *(pa.array([x[c] for x in flat], pa.float64()) for c in (1, 2, 3))]
             yield pa.RecordBatch.from_arrays([ids.take(pa.array(who, pa.int64())), *numbers], ["id", "sample", "pieces", "log_prob", "perturbed", "log_inclusion"])
 
     slim = _keyed(docs, id_col, text_col, seed)
@@ -532,10 +530,10 @@ def decode_pieces(encoded: DataFrame, model_path: str, pieces_col: str = "pieces
 
 
 def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", samples: int = SAMPLES, smoothing: float = SMOOTHING, seed: int = 0) -> DataFrame:
-    """(id, sample, n_tokens, log_prob, perturbed, log_inclusion, pieces_sha256, decodes): sample_pieces and decode_pieces at once.
+    """(id, sample, n_tokens, log_prob, perturbed, log_inclusion, pieces, pieces_sha256, decodes): sample_pieces, and decode_pieces compared with the text, at once.
 
-    For tables whose pieces need not leave the workers: pieces_sha256 is that of the piece
-    numbers as little-endian 32-bit integers, decodes whether they spell the text again.
+    pieces_sha256 is that of the piece numbers as little-endian 32-bit integers, decodes
+    whether they spell the text again.
     """
     import hashlib
 
@@ -547,10 +545,18 @@ def encode_and_decode(docs: DataFrame, model_path: str, id_col: str = "doc_id",
             out = [(i, k, len(x[0]), x[1], x[2], x[3], hashlib.sha256(x[0].astype("<i4").tobytes()).hexdigest(), v.spell(x[0])[1:] == texts(i)) for i, r in enumerate(rows) for k, x in enumerate(r)]
             c = list(zip(*out)) or [[]] * 8
             kinds = [pa.int32(), pa.int64(), pa.float64(), pa.float64(), pa.float64(), pa.string(), pa.bool_()]
-            yield pa.RecordBatch.from_arrays([ids.take(pa.array(c[0], pa.int64())), *(pa.array(x, k) for x, k in zip(c[1:], kinds))], ["id", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "pieces_sha256", "decodes"])
+            columns = [ids.take(pa.array(c[0], pa.int64())), *(pa.array(x, k) for x, k in zip(c[1:], kinds))]
+            yield pa.RecordBatch.from_arrays([*columns[:6], _lists(rows), *columns[6:]], ["id", "sample", "n_tokens", "log_prob", "perturbed", "log_inclusion", "pieces", "pieces_sha256", "decodes"])
 
     slim = _keyed(docs, id_col, text_col, seed)
-    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, pieces_sha256 string, decodes boolean")
+    return slim.mapInArrow(run, f"id {dict(slim.dtypes)['id']}, sample int, n_tokens long, log_prob double, perturbed double, log_inclusion double, pieces array<int>, pieces_sha256 string, decodes boolean")
+
+
+def _lists(rows) -> pa.ListArray:
+    """The pieces of all rows' samples, one list each."""
+    flat = [x[0] for r in rows for x in r]
+    n = np.cumsum([0, *(len(x) for x in flat)])
+    return pa.ListArray.from_arrays(pa.array(n, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *flat]), pa.int32()))
 
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str, seed: int) -> DataFrame:

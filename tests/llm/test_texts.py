@@ -239,6 +239,20 @@ def test_samples_follow_the_lattice(vocabulary, text):
     assert abs(whole - 1) < 0.03  # the weighted samples sum to one on average
 
 
+def test_op9_and_the_pipeline_return_the_pieces(spark, docs, corpus, tmp_path):
+    import corpus_pipeline as P
+    from helixframe.llm import queries
+
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    path, texts = tokenizer("piece_bpe_32k.model"), {r[0]: r[1] or "" for r in corpus}
+    sampled = sorted((r.id, r.sample, r.pieces) for r in piece_sampling.sample_pieces(docs, path).collect())
+    for out in (queries.op9_piece_sampling(spark, str(tmp_path)), P.encode(spark, docs, str(tmp_path))):
+        got = piece_sampling.decode_pieces(out, path).collect()
+        assert sorted((r.doc_id, r.sample, r.pieces) for r in got) == sampled
+        assert all(r.decoded == texts[r.doc_id] and r.decodes and r.n_tokens == len(r.pieces) for r in got)
+        assert all(r.pieces_sha256 == hashlib.sha256(np.array(r.pieces, "<i4").tobytes()).hexdigest() for r in got)
+
+
 def test_pieces_do_not_depend_on_other_rows(spark, docs, corpus, odd_columns, empty):
     path = tokenizer("piece_bpe_32k.model")
     a = {(r.id, r.sample): (r.pieces, r.log_prob) for r in piece_sampling.sample_pieces(docs, path).collect()}
