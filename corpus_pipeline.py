@@ -41,7 +41,7 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates stays, that of the smallest doc_id: five-word shingles, similarity 0.8."""
+    """One document of each group of near duplicates stays, that of the smallest doc_id: five-word shingles, similarity 0.8. Documents without an id stay."""
     found = near_dedup.near_duplicates(docs)
     gone = found.where("id <> component_id").select(F.col("id").alias("doc_id")).distinct()
     return docs.select(*COLUMNS).join(gone, "doc_id", "left_anti")
@@ -53,11 +53,14 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Documents that the mix does not reach, or that have no words, are not in it.
     """
     keyed = docs.select(*COLUMNS)
-    plan = mixing.mixed(keyed).where("taken > 0").groupBy("id", "h").agg(F.collect_list(F.struct("cycle", "taken")).alias("uses"), F.first("size").alias("size"))
-    # equal rows have equal plans and share them; a document is used at most three times
-    copies = keyed.groupBy(*COLUMNS).agg(F.count("*").alias("__copies"), F.xxhash64(F.lit(0), F.first("doc_id"), F.first("text")).alias("h"))
-    joined = copies.join(plan.withColumnRenamed("id", "doc_id"), ["doc_id", "h"])
-    used = joined.select(*COLUMNS, "size", F.explode("uses").alias("use"))
+    plan = mixing.mixed(keyed).where("taken > 0").groupBy(F.col("id").alias("p_id"), F.col("h").alias("p_h"), F.col("source").alias("p_source")).agg(F.sort_array(F.collect_list(F.struct("cycle", "taken")), False).alias("uses"), F.count_if(F.col("cycle") > 0).alias("after_0"), F.count_if(F.col("cycle") > 1).alias("after_1"), F.first("size").alias("size"))
+    # rows with equal id, text and source share their plans, and each has at most one use in a cycle; a document is used at most three times
+    copies = keyed.groupBy("doc_id", "text", "source").agg(F.sort_array(F.collect_list(F.struct("lang"))).alias("rows")).withColumn("h", F.xxhash64(F.lit(0), "doc_id", "text"))
+    joined = copies.join(plan, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("h") == F.col("p_h")) & F.col("source").eqNullSafe(F.col("p_source")))
+    # the uses come from the last cycle to the first; those of one cycle go to the rows in order
+    begin = lambda u: F.when(u["cycle"] == 0, F.col("after_0")).when(u["cycle"] == 1, F.col("after_1")).otherwise(0).cast("int")
+    each = F.transform("uses", lambda u, i: F.struct(u["taken"].alias("taken"), F.get("rows", i - begin(u))["lang"].alias("lang")))
+    used = joined.withColumn("each", each).select("doc_id", "text", "source", "size", F.explode("each").alias("use")).withColumn("lang", F.col("use.lang"))
     words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
     cut_text = F.when(F.col("use.taken") >= F.col("size"), F.col("text")).otherwise(F.array_join(F.slice(words, 1, F.col("use.taken").cast("int")), " "))
     return _columns(used.withColumn("text", cut_text))

@@ -168,7 +168,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     (up, down) = similarity; component_id is the smallest id reachable. Rows with equal sets
     form a class that its smallest id stands for, so copies are never expanded into pairs.
     Null or word-free texts have the empty set and link with nothing. Rows that repeat an id
-    with other texts share its component. Further columns of docs are not read.
+    with other texts share its component. Rows with a null id link with nothing and have a null
+    component_id. Further columns of docs are not read.
 
     Candidates are documents that share an inverted list. Each list has a hub: its document
     with the most entries in the lists of all its values, as the original of many edited
@@ -179,7 +180,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     spark = docs.sparkSession
     prepare(spark)
     every = cut(sketches(docs, id_col, text_col, shingle, k))
-    classes = every.where("class is not null").groupBy("class").agg(F.min(F.struct("id", "n", "sketch")).alias("r"))
+    classes = every.where("class is not null and id is not null").groupBy("class").agg(F.min(F.struct("id", "n", "sketch")).alias("r"))
     reps = cut(classes.select("class", "r.id", "r.n", "r.sketch"))
     lists = cut(_lists(reps, k, similarity))
 
@@ -201,7 +202,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = cut(components(links.union(_grid_links(rest, texts, shingle, similarity))))
     by_class = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
     out = every.select("id", "n", "class").join(by_class, "class", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "id").alias("component_id"))
+    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
 
 
 def _grid_links(rest: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:

@@ -351,6 +351,29 @@ def test_held_out(spark):
 # --- the pipeline, stage by stage
 
 
+def test_null_ids_go_through_all_stages(spark, word, tmp_path):
+    import corpus_pipeline as P
+
+    rows = [(i, word(i, 30 + i), "en", ["a", "b"][i % 2], 0) for i in range(12)]
+    rows += [(None, word(100 + i, 90), "en", ["a", "b", None][i % 3], 0) for i in range(6)]
+    rows += [(None, word(200, 80), lang, source, 0) for lang, source in [("en", None), ("en", None), ("de", None), (None, None), ("en", "b"), ("en", "a")]]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    sf = str(tmp_path)
+    table = spark.read.parquet(f"{sf}/documents.parquet")
+    for stage in (P.reject_toxic, P.drop_repeated_lines, P.drop_near_duplicates):
+        assert stage(spark, table, sf).where("doc_id is null").count() == 12
+    got = P.mix_sources(spark, table, sf).collect()
+    plan = [r for r in mixing.mixed(table).collect() if r.taken]
+    assert any(r.id is None for r in plan)
+    assert sorted((r.doc_id or -1, r.source or "", len(r.text.split())) for r in got) == sorted((r.id or -1, r.source or "", r.taken) for r in plan)
+    # equal texts keep their own languages: each row at most once in each of three cycles
+    own = Counter((r.lang, r.source) for r in got if r.doc_id is None and r.text == word(200, 80))
+    have = Counter((x[2], x[3]) for x in rows if x[1] == word(200, 80))
+    assert set(own) <= set(have) and all(own[k] <= 3 * have[k] for k in own) and {k[0] for k in own} == {"en", "de", None}
+    assert any(r.doc_id is None for r in P.run(spark, sf).collect())
+
+
 def test_pipeline(spark, word, tmp_path, trained):
     import corpus_pipeline as P
     from test_dedup import components, lines, shingles
