@@ -144,7 +144,8 @@ def followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     Ranges end at approximate quantiles of id, so their number is that of shuffle partitions
     and their sizes are alike however ids are spread; the largest id's range is followed by
     the smallest id. Rows that share an id come in the order of a hash of the text. Rows with
-    a null id come first; across the end only rows with an id follow.
+    a null id come first, in the range of the smallest id; across the end only rows with an id
+    follow. If no row has an id, the first row in the order of the hashes follows the last.
     """
     spark = docs.sparkSession
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -155,10 +156,13 @@ def followed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     steps = F.array(*[F.lit(1 << k) for k in reversed(range(max(1, len(cuts).bit_length())))])
     # how many cuts are at most id, by binary search
     bucket = F.aggregate(steps, F.lit(0), lambda lo, s: F.when((lo + s <= len(cuts)) & (F.coalesce(F.get(bounds, lo + s - 1), F.lit(2**63 - 1)) <= F.col("id")), lo + s).otherwise(lo))
-    rows = slim.withColumn("bucket", F.when(F.col("id").isNull(), 0).otherwise(bucket))
+    rows = slim.withColumn("bucket", bucket)
     firsts = [(r.bucket, r.id) for r in rows.where("id is not null").groupBy("bucket").agg(F.min("id").alias("id")).orderBy("bucket").collect()]  # one row for each partition
     after = spark.createDataFrame([(b, firsts[(i + 1) % len(firsts)][1]) for i, (b, _) in enumerate(firsts)], "before int, id long")
     tails = slim.join(F.broadcast(after), "id").select("id", "text", F.col("before").alias("bucket"))
+    if not firsts:
+        tails = slim.orderBy(F.xxhash64("text")).limit(1).select("id", "text", F.lit(0).alias("bucket"))
+    rows = rows.withColumn("bucket", F.when(F.col("id").isNull(), firsts[0][0] if firsts else 0).otherwise(F.col("bucket")))
     both = rows.withColumn("tail", F.lit(0)).unionByName(tails.withColumn("tail", F.lit(1)))
     both = both.select("bucket", "tail", "id", F.xxhash64("text").alias("h"), "text")
     return both.repartitionByRange(n, "bucket").sortWithinPartitions("bucket", "tail", "id", "h")

@@ -178,6 +178,17 @@ def test_edit_likeness(spark, corpus, docs):
     assert sum(r.near_edited > r.near_next for r in long) >= 0.9 * len(long)
 
 
+@pytest.mark.parametrize("ids", [[None], [None, None, None], [None, 5], [None, 5, 5, 5], [None, None, 1, 2, 3], [None, 1, 1, 1, 1, 1, 1, 2]])
+def test_rows_without_an_id_have_a_next_row(spark, ids):
+    rows = [(i, f"text {k} of the table") for k, i in enumerate(ids)]
+    got = fingerprints.edit_likeness(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r.id or 0, r.n_chars) for r in got) == sorted((i or 0, len(t)) for i, t in rows)
+    if ids == [None, 5]:
+        nexts = {r.id: r.edited_sha256 for r in got}
+        edit = lambda t, u: hashlib.sha256((t[: len(t) - len(t) // 4] + u[: len(t) // 4]).encode()).hexdigest()
+        assert nexts == {None: edit(rows[0][1], rows[1][1]), 5: edit(rows[1][1], rows[1][1])}
+
+
 def test_edit_likeness_of_few_rows(spark, empty):
     assert fingerprints.edit_likeness(empty).count() == 0
     one = fingerprints.edit_likeness(spark.createDataFrame([(4, "some text here")], "doc_id long, text string")).first()
