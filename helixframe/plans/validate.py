@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from ..functions.reads import DUPLICATE, event_label, flagged, globally_counted
+from ..functions.reads import DUPLICATE, event_label, flagged, globally_counted, proper_pair
 from ..operators import intervals, pileup, pool
 
 COVERAGE_TOLERANCE, FRACTION_TOLERANCE = 0.3, 0.15
@@ -58,7 +58,9 @@ def allele_fractions(truth: DataFrame, pile: DataFrame) -> DataFrame:
 
 
 def insert_size(aln: DataFrame, order: list[str], n: int = HEAD["insert"]) -> DataFrame:
-    s = pool.alignment_stats(pool.head(aln.where(globally_counted(F.col("flag"))), order, n), 0)
+    """(check, mean, sd, pass) of the first n usable insert sizes."""
+    usable = globally_counted(F.col("flag")) & proper_pair(F.col("flag")) & (F.col("tlen") > 0)
+    s = pool.alignment_stats(pool.head(aln.where(usable), order, n), 0)
     return s.select(F.lit("insert_size").alias("check"), F.col("insert_mean").alias("mean"), F.col("insert_sd").alias("sd"), (F.col("insert_mean").between(*INSERT_MEAN) & F.col("insert_sd").between(*INSERT_SD)).alias("pass"))
 
 

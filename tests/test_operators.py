@@ -289,6 +289,11 @@ def test_allele_fractions_of_long_and_equal_alignments(spark):
     assert [(r.n_a, r.n_t) for r in pile.where("p = 5000").collect()] == [(3, 3)]
 
 
+def test_insert_sizes_are_counted_and_not_records(spark):
+    aln = spark.range(40).select(F.when(F.col("id") % 2 == 0, 99).otherwise(147).alias("flag"), F.when(F.col("id") % 2 == 0, F.col("id") + 100).otherwise(-100).alias("tlen"), F.lit("A").alias("seq"), "id")
+    assert validate.insert_size(aln, ["id"], 10).first()["mean"] == 109
+
+
 def test_validation(spark):
     truth = spark.createDataFrame([(1, "DEL", "c", 10000, 11000, 0.5, None, None), (2, "SNP", "c", 500, 501, 0.5, "A", "T")], "event_id long, sv_type string, chrom string, start long, end long, vaf double, ref_allele string, alt_allele string")
     reads = spark.range(20000).select(F.lit("c").alias("chrom"), F.col("id").alias("ref_start"), (F.col("id") + 1).alias("ref_end"), (F.col("id") == 10200).alias("has_sa"))
