@@ -54,14 +54,28 @@ def overlap_share(start: Column, end: Column, lo: Column, hi: Column) -> Column:
     return F.when(relation(start, end, lo, hi) == "inside", 1.0).otherwise(shared / F.greatest(end - start, F.lit(1)).cast("double"))
 
 
-def merged(intervals: DataFrame, on=("chrom", "start", "end")) -> DataFrame:
-    """Union of the intervals of each chromosome; touching ones join."""
+def merged(intervals: DataFrame, on=("chrom", "start", "end"), width: int = 1 << 20) -> DataFrame:
+    """Union of the intervals of each chromosome; touching ones join.
+
+    Intervals are ordered within bins of their starts. How far the bins before reach, and how
+    many unions they begin, comes from a table of one row a bin, so no chromosome is ordered in
+    one task.
+    """
     c, s, e = on
-    before = Window.partitionBy(c).orderBy(s, e).rowsBetween(Window.unboundedPreceding, -1)
-    upto = Window.partitionBy(c).orderBy(s, e).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    marked = intervals.select(c, s, e).withColumn("__new", F.coalesce((F.col(s) > F.max(e).over(before)).cast("int"), F.lit(1)))
-    island = marked.withColumn("__island", F.sum("__new").over(upto))
-    return island.groupBy(c, "__island").agg(F.min(s).alias(s), F.max(e).alias(e), F.count("*").alias("n")).drop("__island")
+    rows = intervals.select(c, s, e).withColumn("__bin", F.floor(F.col(s) / width))
+    reach = rows.groupBy(c, "__bin").agg(F.max(e).alias("__most"))
+    earlier = Window.partitionBy(c).orderBy("__bin").rowsBetween(Window.unboundedPreceding, -1)
+    reach = reach.select(c, "__bin", F.max("__most").over(earlier).alias("__most"))
+    before = Window.partitionBy(c, "__bin").orderBy(s, e).rowsBetween(Window.unboundedPreceding, -1)
+    upto = Window.partitionBy(c, "__bin").orderBy(s, e).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    marked = rows.join(reach, [c, "__bin"])
+    marked = marked.withColumn("__new", F.coalesce((F.col(s) > F.greatest("__most", F.max(e).over(before))).cast("int"), F.lit(1))).withColumn("__island", F.sum("__new").over(upto))
+    # a bin's part of a union, then the union of such parts
+    part = marked.groupBy(c, "__bin", "__island").agg(F.min(s).alias(s), F.max(e).alias(e), F.count("*").alias("n"), F.max("__new").alias("__new"))
+    begun = part.groupBy(c, "__bin").agg(F.sum("__new").alias("__begun"))
+    begun = begun.select(c, "__bin", F.coalesce(F.sum("__begun").over(earlier), F.lit(0)).alias("__begun"))
+    named = part.join(begun, [c, "__bin"]).withColumn("__island", F.col("__begun") + F.col("__island"))
+    return named.groupBy(c, "__island").agg(F.min(s).alias(s), F.max(e).alias(e), F.sum("n").alias("n")).drop("__island")
 
 
 def scan_bounds(events: DataFrame, regions: DataFrame, flank: int) -> DataFrame:
@@ -86,8 +100,9 @@ def coverage_at(reads: DataFrame, points: DataFrame, key: str, window: int = 200
     n = F.greatest(F.least(span, F.lit(samples)), F.lit(1))
     step = F.when(n > 1, F.floor(span / n)).otherwise(1)
     places = points.select(key, F.col("chrom").alias("p_chrom"), lo.alias("lo"), n.alias("n"), step.alias("step"))
-    places = places.select(key, "p_chrom", "n", F.explode(F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("n") - 1), lambda i: F.col("lo") + i * F.col("step"))).alias("p"))
-    places = places.withColumn("p_end", F.col("p") + 1)
-    hit = overlap_join(reads.select("chrom", "ref_start", "ref_end"), places, ("chrom", "ref_start", "ref_end"), ("p_chrom", "p", "p_end"), width)
-    total = hit.groupBy(key, "n").agg((F.count("*") / F.first("n")).alias("coverage")).drop("n")
+    # a fragment meets a window once; how many of its places lie in the fragment is arithmetic
+    places = places.withColumn("p_end", F.col("lo") + (F.col("n") - 1) * F.col("step") + 1)
+    hit = overlap_join(reads.select("chrom", "ref_start", "ref_end"), places, ("chrom", "ref_start", "ref_end"), ("p_chrom", "lo", "p_end"), width)
+    before = lambda c: F.greatest(F.lit(0), F.least(F.col("n"), F.ceil((F.col(c) - F.col("lo")) / F.col("step"))))
+    total = hit.groupBy(key, "n").agg(F.sum(before("ref_end") - before("ref_start")).alias("met")).select(key, (F.col("met") / F.col("n")).alias("coverage"))
     return points.select(key).join(total, key, "left").select(key, F.coalesce("coverage", F.lit(0.0)).alias("coverage"))

@@ -4,9 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from .intervals import overlap_join
+
+
+#: Positions that one task of a pileup holds counts of, whatever the depth, and that one row of sites covers.
+BIN, SITES = 1024, 64
+
 
 def aligned_blocks(cigar: Column, pos: Column) -> Column:
     """An array of (ref, seq, len): the stretches of M, = and X, by one pass over the CIGAR's operations in the row."""
+    number = F.substring(cigar, F.lit(1), F.length(cigar) - 1).cast("bigint")
+    whole = F.array(F.struct(pos.cast("bigint").alias("ref"), F.lit(0).cast("bigint").alias("seq"), number.alias("len")))
     ops = F.transform(F.regexp_extract_all(cigar, F.lit("([0-9]+)([MIDNSHP=X])"), F.lit(0)), lambda x: F.struct(F.expr("1").alias("_"), F.substring(x, -1, 1).alias("op"), F.regexp_replace(x, "[^0-9]", "").cast("bigint").alias("n")))
     start = F.struct(pos.cast("bigint").alias("ref"), F.lit(0).cast("bigint").alias("seq"), F.expr("cast(array() as array<struct<ref:bigint,seq:bigint,len:bigint>>)").alias("out"))
 
@@ -15,20 +23,74 @@ def aligned_blocks(cigar: Column, pos: Column) -> Column:
         block = F.array(F.struct(a["ref"].alias("ref"), a["seq"].alias("seq"), x["n"].alias("len")))
         return F.struct((a["ref"] + F.when(both | ref_only, x["n"]).otherwise(0)).alias("ref"), (a["seq"] + F.when(both | seq_only, x["n"]).otherwise(0)).alias("seq"), F.when(both, F.concat(a["out"], block)).otherwise(a["out"]).alias("out"))
 
-    return F.aggregate(ops, start, step)["out"]
+    return F.when(cigar.rlike("^[0-9]+[M=X]$"), whole).otherwise(F.aggregate(ops, start, step)["out"])
+
+
+def blocks(aln: DataFrame, keep: list[str]) -> DataFrame:
+    """One row for each aligned block: keep, chrom, ref (0-based, of its first base), bases, quals. Blocks are cut at the sequence's end."""
+    each = aln.select(*keep, "chrom", "seq", "qual", F.explode(aligned_blocks(F.col("cigar"), F.col("pos"))).alias("b"))
+    part = lambda c: F.substring(F.col(c), (F.col("b.seq") + 1).cast("int"), F.col("b.len").cast("int"))
+    return each.select(*keep, "chrom", F.col("b.ref").alias("ref"), F.upper(part("seq")).alias("bases"), part("qual").alias("quals"))
+
+
+def _cut(blocks_: DataFrame, keep: list[str], width: int) -> DataFrame:
+    """Blocks cut at multiples of width: keep, chrom, bin, ref, bases."""
+    n = F.length("bases")
+    each = blocks_.select(*keep, "chrom", "ref", "bases", F.explode(F.when(n > 0, F.sequence(F.floor(F.col("ref") / width), F.floor((F.col("ref") + n - 1) / width)))).alias("bin"))
+    lo = F.greatest("ref", F.col("bin") * width)
+    hi = F.least(F.col("ref") + n, (F.col("bin") + 1) * width)
+    return each.select(*keep, "chrom", "bin", lo.alias("ref"), F.substring("bases", (lo - F.col("ref") + 1).cast("int"), (hi - lo).cast("int")).alias("bases"))
 
 
 def bases(aln: DataFrame, keep: list[str]) -> DataFrame:
     """One row for each aligned base: keep, chrom, p (0-based), base, q. Filter alignments to regions before."""
-    blocks = aln.select(*keep, "chrom", "seq", "qual", F.explode(aligned_blocks(F.col("cigar"), F.col("pos"))).alias("b"))
-    each = blocks.select(*keep, "chrom", "seq", "qual", "b", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("b.len") - 1)).alias("i"))
-    at = (F.col("b.seq") + F.col("i") + 1).cast("int")
-    return each.select(*keep, "chrom", (F.col("b.ref") + F.col("i")).alias("p"), F.upper(F.substring(F.col("seq"), at, F.lit(1))).alias("base"), (F.ascii(F.substring(F.col("qual"), at, F.lit(1))) - 33).alias("q"))
+    each = blocks(aln, keep).select(*keep, "chrom", "ref", "bases", "quals", F.explode(F.when(F.length("bases") > 0, F.sequence(F.lit(1), F.length("bases")))).alias("i"))
+    return each.select(*keep, "chrom", (F.col("ref") + F.col("i") - 1).alias("p"), F.substring(F.col("bases"), F.col("i"), F.lit(1)).alias("base"), (F.ascii(F.substring(F.col("quals"), F.col("i"), F.lit(1))) - 33).alias("q"))
+
+
+def _counted(each: DataFrame, *keys: str) -> DataFrame:
+    n = [F.count_if(F.col("base") == b).alias("n_" + b.lower()) for b in "ACGT"]
+    return each.where(F.col("base").isin("A", "C", "G", "T")).groupBy(*keys).agg(*n)
 
 
 def counts(each: DataFrame) -> DataFrame:
     """(chrom, p, n_a, n_c, n_g, n_t): bases by position; other symbols don't count."""
-    return each.where(F.col("base").isin("A", "C", "G", "T")).groupBy("chrom", "p").agg(*[F.count_if(F.col("base") == b).alias("n_" + b.lower()) for b in "ACGT"])
+    return _counted(each, "chrom", "p")
+
+
+def piled(aln: DataFrame, width: int = BIN) -> DataFrame:
+    """counts() of all aligned bases. Blocks, not bases, are shuffled, by (chrom, bin); each position is then counted where its blocks are."""
+    dealt = _cut(blocks(aln, []), [], width).repartition("chrom", "bin")
+    each = dealt.select("chrom", "bin", "ref", F.posexplode(F.split("bases", "")).alias("i", "base"))
+    each = each.select("chrom", "bin", (F.col("ref") + F.col("i")).alias("p"), "base")
+    return _counted(each, "chrom", "bin", "p").drop("bin")
+
+
+def at_sites(aln: DataFrame, sites: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, chrom, p, base and the other columns of sites (chrom, p, ...): the bases that alignments have at the sites.
+
+    Blocks meet the sites of a bin as one array, so bases elsewhere never become rows.
+    """
+    more = [c for c in sites.columns if c != "chrom"]
+    binned = sites.groupBy("chrom", F.floor(F.col("p") / SITES).alias("bin")).agg(F.collect_list(F.struct(*more)).alias("sites"))
+    met = _cut(blocks(aln, keep), keep, SITES).join(binned, ["chrom", "bin"])
+    inside = F.filter("sites", lambda s: (s["p"] >= F.col("ref")) & (s["p"] < F.col("ref") + F.length("bases")))
+    each = met.select(*keep, "chrom", "ref", "bases", F.explode(inside).alias("s")).select(*keep, "chrom", "s.*", "ref", "bases")
+    return each.withColumn("base", F.substring("bases", (F.col("p") - F.col("ref") + 1).cast("int"), F.lit(1))).drop("ref", "bases")
+
+
+def piled_at(aln: DataFrame, sites: DataFrame) -> DataFrame:
+    """counts() at the given sites (chrom, p) only."""
+    return counts(at_sites(aln, sites.select("chrom", "p").distinct(), []))
+
+
+def good_bases(aln: DataFrame, regions: DataFrame, key: str, least_quality: int = 20) -> DataFrame:
+    """(key, n): aligned bases of at least least_quality in each region (key, g_chrom, g_start, g_end); regions without any are left out."""
+    b = blocks(aln, []).withColumn("stop", F.col("ref") + F.length("bases")).select("chrom", "ref", "stop", "quals")
+    j = overlap_join(b, regions, ("chrom", "ref", "stop"), ("g_chrom", "g_start", "g_end"))
+    lo, hi = F.greatest("ref", "g_start"), F.least("stop", "g_end")
+    inside = F.substring("quals", (lo - F.col("ref") + 1).cast("int"), (hi - lo).cast("int"))
+    return j.groupBy(key).agg(F.sum(F.regexp_count(inside, F.lit(f"[\\x{33 + least_quality:02X}-~]"))).alias("n"))
 
 
 def het_sites(pile: DataFrame, least: int = 10, lo: float = 0.2, hi: float = 0.8) -> DataFrame:
@@ -46,7 +108,11 @@ def read_votes(each: DataFrame, sites: DataFrame, other_alleles: str = "listed")
     sites: chrom, p, target, other. other_alleles "listed" counts the site's other allele
     only, "any" every base but N, as sites known beforehand are counted.
     """
-    j = each.join(sites, ["chrom", "p"])
+    return votes(each.join(sites, ["chrom", "p"]), other_alleles)
+
+
+def votes(j: DataFrame, other_alleles: str = "listed") -> DataFrame:
+    """read_votes() of bases that already stand beside their sites, as at_sites() gives them."""
     other = F.col("base") == F.col("other") if other_alleles == "listed" else ~F.col("base").isin("N") & (F.col("base") != F.col("target"))
     v = j.groupBy("name").agg(F.count_if(F.col("base") == F.col("target")).alias("target_n"), F.count_if(other).alias("other_n")).where("target_n + other_n > 0")
     return v.withColumn("side", F.when(F.col("target_n") > F.col("other_n"), "target").when(F.col("target_n") < F.col("other_n"), "other").otherwise("tie"))

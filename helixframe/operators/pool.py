@@ -19,16 +19,18 @@ def last_by(df: DataFrame, keys: list[str], order: list[str], first: bool = Fals
 
 
 def paired(aln: DataFrame, order: list[str]) -> DataFrame:
-    """Read pairs by name: the last record of each name and segment counts, pairs are turned to sequencing orientation."""
-    sides = {}
-    for x, bit in ((1, FIRST), (2, LAST)):
-        own = last_by(aln.where(flagged(F.col("flag"), bit)), ["name"], order)
-        seq, qual = orient(F.col("seq"), F.col("qual"), flagged(F.col("flag"), REVERSE))
-        sides[x] = own.select("name", seq.alias(f"seq{x}"), qual.alias(f"qual{x}"), F.col("chrom").alias(f"chrom{x}"), F.col("pos").alias(f"pos{x}"), F.col("tlen").alias(f"tlen{x}"), F.length("seq").alias(f"len{x}"))
-    j = sides[1].join(sides[2], "name")
-    end = pair_end(*(F.col(c) for c in ("pos1", "len1", "tlen1", "pos2", "len2", "tlen2")))
-    start = F.least("pos1", "pos2")
-    return j.select("name", "seq1", "qual1", "seq2", "qual2", start.alias("ref_start"), end.alias("ref_end"), (end - start).alias("insert_size"), F.col("chrom1").alias("chrom"))
+    """Read pairs by name: the last record of each name and segment counts, pairs are turned to sequencing orientation.
+
+    Both segments come from one pass and one shuffle by name; of records that order alike the
+    largest by position and bases counts.
+    """
+    last = lambda bit: F.max(F.when(flagged(F.col("flag"), bit), F.struct(*order, F.struct("chrom", "pos", "tlen", "flag", "seq", "qual").alias("__read"))))
+    both = aln.groupBy("name").agg(last(FIRST).alias("a"), last(LAST).alias("b")).where("a is not null and b is not null").select("name", "a.__read", F.col("b.__read").alias("__mate"))
+    one, two = (lambda c, r=r: F.col(f"{r}.{c}") for r in ("__read", "__mate"))
+    (seq1, qual1), (seq2, qual2) = (orient(r("seq"), r("qual"), flagged(r("flag"), REVERSE)) for r in (one, two))
+    end = pair_end(*(f for r in (one, two) for f in (r("pos"), F.length(r("seq")), r("tlen"))))
+    start = F.least(one("pos"), two("pos"))
+    return both.select("name", seq1.alias("seq1"), qual1.alias("qual1"), seq2.alias("seq2"), qual2.alias("qual2"), start.alias("ref_start"), end.alias("ref_end"), (end - start).alias("insert_size"), one("chrom").alias("chrom"))
 
 
 def rescued(aln: DataFrame, region: DataFrame, order: list[str]) -> DataFrame:

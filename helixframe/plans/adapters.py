@@ -71,8 +71,15 @@ _NEEDS = {"aln": ["reads"], "pairs": ["reads"], "exons": ["bed"]}
 _TABLES = ("lineitem", "part", "events", "documents")
 
 
+def table(spark: SparkSession, path: str) -> DataFrame:
+    """A table; one of fewer files than the session has cores is dealt to all of them, since one row group is one task."""
+    df = spark.read.parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
+
+
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in _TABLES if f"{{{t}}}" in VIEWS[name]}
+    tables = {t: table(spark, f"{sf_dir}/{t}.parquet") for t in _TABLES if f"{{{t}}}" in VIEWS[name]}
     below = {n: view(spark, sf_dir, n) for n in _NEEDS.get(name, [])}
     text = VIEWS[name].replace("{g}", "").replace('"end"', "`end`")
     for n in below:

@@ -23,31 +23,33 @@ _RANK = """rk AS (SELECT chrom, p, tot, list_sort([{'n': -n_a, 'i': 0, 'b': 'A'}
  het AS (SELECT chrom, p, r[1].b AS allele1, r[2].b AS allele2 FROM rk WHERE tot >= 10 AND -r[1].n / tot BETWEEN 0.2 AND 0.8 AND -r[2].n / tot BETWEEN 0.2 AND 0.8)"""
 
 
-def _bases(v):
-    a = v.aln.where(R.primary(F.col("flag"), F.col("mapq"), 20))
-    return pileup.bases(a, ["name"])
+def _aln(v):
+    return v.aln.where(R.primary(F.col("flag"), F.col("mapq"), 20))
+
+
+def _pile(v):
+    return pileup.piled(_aln(v))
 
 
 @q("agg_pileup", f"WITH {_WALK} SELECT * FROM pile")
 def _(v):
-    return pileup.counts(_bases(v))
+    return _pile(v)
 
 
 @q("win_cigar_offset", f"WITH {_WALK} SELECT name, read_num, CAST(rs AS BIGINT) AS ref_at, CAST(ss AS BIGINT) AS seq_at, n FROM wk WHERE o IN ('M', '=', 'X')")
 def _(v):
-    a = v.aln.where(R.primary(F.col("flag"), F.col("mapq"), 20))
-    b = a.select("name", "read_num", F.explode(pileup.aligned_blocks(F.col("cigar"), F.col("pos"))).alias("b"))
+    b = _aln(v).select("name", "read_num", F.explode(pileup.aligned_blocks(F.col("cigar"), F.col("pos"))).alias("b"))
     return b.select("name", "read_num", F.col("b.ref").alias("ref_at"), F.col("b.seq").alias("seq_at"), F.col("b.len").alias("n"))
 
 
 @q("agg_het_call", f"WITH {_WALK}, {_RANK} SELECT * FROM het")
 def _(v):
-    return pileup.het_sites(pileup.counts(_bases(v)))
+    return pileup.het_sites(_pile(v))
 
 
 @q("topk_alleles", f"WITH {_WALK}, {_RANK} SELECT chrom, p, r[1].b AS first_base, r[2].b AS second_base FROM rk")
 def _(v):
-    p = pileup.counts(_bases(v))
+    p = _pile(v)
     r = F.slice(F.array_sort(F.array(*[F.struct((-F.col("n_" + b)).alias("n"), F.lit(i).alias("i"), F.lit(b.upper()).alias("b")) for i, b in enumerate("acgt")])), 1, 2)
     return p.select("chrom", "p", F.get(r, F.lit(0))["b"].alias("first_base"), F.get(r, F.lit(1))["b"].alias("second_base"))
 
@@ -58,13 +60,13 @@ _VOTE = "vt AS (SELECT name, count_if(base = target) AS target_n, count_if(base
 
 
 def _targets(v):
-    het = pileup.het_sites(pileup.counts(_bases(v)))
+    het = pileup.het_sites(_pile(v))
     u = rng.uniform(F.concat("chrom", F.lit(":"), F.col("p").cast("string")), "42:target")
     return het.select("chrom", "p", F.when(u < 0.5, F.col("allele1")).otherwise(F.col("allele2")).alias("target"), F.when(u < 0.5, F.col("allele2")).otherwise(F.col("allele1")).alias("other"))
 
 
 def _votes(v):
-    return pileup.read_votes(_bases(v), _targets(v))
+    return pileup.votes(pileup.at_sites(_aln(v), _targets(v), ["name"]))
 
 
 @q("hap_target_pick", f"WITH {_WALK}, {_RANK}, {_PICK} SELECT * FROM tg")
@@ -74,7 +76,7 @@ def _(v):
 
 @q("join_variant_pos", f"WITH {_WALK}, {_RANK}, {_PICK} SELECT name, chrom, p, base FROM bs JOIN tg USING (chrom, p)")
 def _(v):
-    return _bases(v).join(_targets(v), ["chrom", "p"]).select("name", "chrom", "p", "base")
+    return pileup.at_sites(_aln(v), _targets(v), ["name"]).select("name", "chrom", "p", "base")
 
 
 @q("agg_hap_vote", f"WITH {_WALK}, {_RANK}, {_PICK}, {_VOTE} SELECT name, target_n, other_n, CASE WHEN target_n > other_n THEN 'target' WHEN target_n < other_n THEN 'other' ELSE 'tie' END AS side FROM vt")
@@ -94,22 +96,21 @@ def _(v):
     snp = v.sv.where("sv_type = 'SNP'").select("chrom", F.col("start").alias("p"), (F.col("start") + 1).alias("p_end"), F.col("ref_allele").alias("ref"), F.col("alt_allele").alias("alt"))
     dup = v.sv.where("sv_type = 'DUP'").select("event_id", F.col("chrom").alias("g_chrom"), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
     sites = I.overlap_join(snp, dup, ("chrom", "p", "p_end"), ("g_chrom", "g_start", "g_end")).select("event_id", "chrom", "p", "ref", "alt")
-    b = pileup.allele_balance(pileup.counts(_bases(v)), sites, ["event_id"])
+    b = pileup.allele_balance(pileup.piled_at(_aln(v), snp), sites, ["event_id"])
     return b.select("event_id", "n_sites", *[F.round(c, 6).alias(c) for c in ("mean", "median", "max_deviation")])
 
 
 @q("agg_mean_depth", f"""WITH {_WALK}, good AS (SELECT chrom, p, count(*) AS d FROM bs WHERE q >= 20 GROUP BY ALL) SELECT s.event_id, round(coalesce(sum(d), 0)::DOUBLE / (s."end" - s.start), 6) AS depth FROM sv s LEFT JOIN good g ON g.chrom = s.chrom AND g.p >= s.start AND g.p < s."end" WHERE s.sv_type = 'DUP' GROUP BY s.event_id, s.start, s."end" """)
 def _(v):
-    per = _bases(v).where("q >= 20").groupBy("chrom", "p").agg(F.count("*").alias("d")).withColumn("p_end", F.col("p") + 1)
     dup = v.sv.where("sv_type = 'DUP'").select("event_id", F.col("chrom").alias("g_chrom"), F.col("start").alias("g_start"), F.col("end").alias("g_end"))
-    t = I.overlap_join(per, dup, ("chrom", "p", "p_end"), ("g_chrom", "g_start", "g_end")).groupBy("event_id").agg(F.sum("d").alias("d"))
-    return dup.join(t, "event_id", "left").select("event_id", F.round(F.coalesce("d", F.lit(0)) / (F.col("g_end") - F.col("g_start")), 6).alias("depth"))
+    t = pileup.good_bases(_aln(v), dup, "event_id")
+    return dup.join(t, "event_id", "left").select("event_id", F.round(F.coalesce("n", F.lit(0)) / (F.col("g_end") - F.col("g_start")), 6).alias("depth"))
 
 
 @q("chk_af", f"""WITH {_WALK} SELECT event_id, round(CASE WHEN d > 0 THEN own::DOUBLE / d END, 6) AS observed, coalesce(d, 0) AS depth, CASE WHEN coalesce(d, 0) = 0 THEN false WHEN d < 5 THEN true ELSE abs(own::DOUBLE / d - vaf) < 0.15 END AS pass
  FROM (SELECT event_id, vaf, n_a + n_c + n_g + n_t AS d, CASE alt_allele WHEN 'A' THEN n_a WHEN 'C' THEN n_c WHEN 'G' THEN n_g ELSE n_t END AS own FROM sv s LEFT JOIN pile ON pile.chrom = s.chrom AND pile.p = s.start WHERE sv_type = 'SNP')""")
 def _(v):
-    c = V.allele_fractions(v.sv, pileup.counts(_bases(v)))
+    c = V.allele_fractions(v.sv, pileup.piled_at(_aln(v), v.sv.where("sv_type = 'SNP'").select("chrom", F.col("start").alias("p"))))
     return c.select("event_id", F.round("observed", 6).alias("observed"), "depth", "pass")
 
 

@@ -86,8 +86,7 @@ def run(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], fl
     """(event, check, expected, observed, pass) of all checks."""
     text = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("N/A"))
     names = truth.select("event_id", event_label(*(F.col(c) for c in ("sv_type", "chrom", "start", "end"))).alias("event"))
-    snp_windows = truth.where("sv_type = 'SNP'").select(F.col("chrom").alias("g_chrom"), F.col("start").alias("g_start"), (F.col("start") + 1).alias("g_end"))
-    pile = pileup.counts(pileup.bases(covering(aln, snp_windows.distinct()), ["name"]))
+    pile = pileup.piled_at(aln, truth.where("sv_type = 'SNP'").select("chrom", F.col("start").alias("p")))
     parts = [
         coverage(truth, reads, flank, min_flank_depth).select("event", "check", text(F.col("expected")).alias("expected"), text(F.col("ratio")).alias("observed"), "pass"),
         split_reads(truth, reads).join(names, "event_id").select("event", "check", F.lit("> 0").alias("expected"), F.col("n").cast("string").alias("observed"), "pass"),
