@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.sequence import complement, revcomp
+from .intervals import overlap_join
 
 FLANK = 2000
 CHUNK = 32
@@ -101,12 +102,32 @@ def to_reference(points: DataFrame, segs: DataFrame) -> DataFrame:
 
 
 def applied(segs: DataFrame, variants: DataFrame) -> DataFrame:
-    """Segments with alleles (chrom, p, allele) put in place; the complement on reversed ones, none in new sequence."""
-    each = segs.where("chrom is not null and len > 0").select("event_id", "seg", "chrom", "reverse", F.posexplode(F.split("sequence", "")).alias("i", "b"), "ref_start", "ref_end").where("b <> ''")
-    each = each.withColumn("p", F.when(F.col("reverse"), F.col("ref_end") - 1 - F.col("i")).otherwise(F.col("ref_start") + F.col("i")))
-    j = each.join(variants, ["chrom", "p"], "left").withColumn("b", F.when(F.col("allele").isNull(), F.col("b")).when(F.col("reverse"), complement(F.col("allele"))).otherwise(F.col("allele")))
-    text = j.groupBy("event_id", "seg").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("i", "b"))), lambda x: x["b"]), "").alias("changed"), F.count_if(F.col("allele").isNotNull()).alias("n_variants"))
-    return segs.join(text, ["event_id", "seg"], "left").withColumn("sequence", F.coalesce("changed", "sequence")).withColumn("n_variants", F.coalesce("n_variants", F.lit(0))).drop("changed")
+    """Segments with alleles (chrom, p, allele) put in place; the complement on reversed ones, none in new sequence.
+
+    variants may have event_id, then each counts for its event only. A segment's variants
+    come to it as one sorted array; its bases stay one string.
+    """
+    own = "event_id" in variants.columns
+    n = F.length("sequence")
+    lo = F.when(F.col("reverse"), F.col("ref_end") - n).otherwise(F.col("ref_start"))
+    spans = segs.where("chrom is not null and len > 0").select("event_id", "seg", "chrom", "reverse", lo.alias("lo"), (lo + n).alias("hi"))
+    places = variants.select(F.col("chrom").alias("v_chrom"), F.col("p").alias("v_lo"), (F.col("p") + 1).alias("v_hi"), "allele", *([F.col("event_id").alias("v_event")] if own else [])).distinct()
+    hit = overlap_join(spans, places, ("chrom", "lo", "hi"), ("v_chrom", "v_lo", "v_hi"))
+    if own:
+        hit = hit.where("event_id = v_event")
+    at = F.when(F.col("reverse"), F.col("hi") - 1 - F.col("v_lo")).otherwise(F.col("v_lo") - F.col("lo"))
+    base = F.when(F.col("reverse"), complement(F.col("allele"))).otherwise(F.col("allele"))
+    edits = hit.groupBy("event_id", "seg").agg(F.sort_array(F.collect_list(F.struct(at.cast("int").alias("at"), base.alias("base")))).alias("edits"))
+    begin = F.struct(F.lit(0).alias("done"), F.lit("").alias("out"))
+
+    def put(a, e):
+        between = F.substring(F.col("sequence"), a["done"] + 1, e["at"] - a["done"])
+        after = F.struct((e["at"] + 1).alias("done"), F.concat(a["out"], between, e["base"]).alias("out"))
+        return F.when(e["at"] < a["done"], a).otherwise(after)
+
+    whole = F.aggregate("edits", begin, put, lambda a: F.concat(a["out"], F.substring(F.col("sequence"), a["done"] + 1, F.length("sequence"))))
+    out = segs.join(edits, ["event_id", "seg"], "left").withColumn("sequence", F.when(F.col("edits").isNull(), F.col("sequence")).otherwise(whole))
+    return out.withColumn("n_variants", F.coalesce(F.size("edits"), F.lit(0)).cast("bigint")).withColumn("n_variants", F.greatest("n_variants", F.lit(0))).drop("edits")
 
 
 def overlaps_reference(start: Column, length: Column, segs: Column) -> Column:

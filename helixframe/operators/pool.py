@@ -51,18 +51,44 @@ def rescued(aln: DataFrame, region: DataFrame, order: list[str]) -> DataFrame:
 
 
 def fragment_lengths(pairs: DataFrame, keys: list[str], default: tuple[float, float] = (400.0, 80.0)) -> DataFrame:
-    """(keys, n, mean, stddev, lengths): the usable insert sizes, sorted; the default mean and deviation without any."""
+    """(keys, n, mean, stddev, lengths): the usable insert sizes; the default mean and deviation without any.
+
+    lengths is their histogram in order: (len, n, upto), upto counting the sizes up to this
+    one. Sizes are below 10,000, so that is the most entries a key has, however many pairs.
+    """
     size = F.abs("insert_size")
-    ok = F.when(usable_insert(F.col("insert_size")), size)
-    g = pairs.groupBy(*keys).agg(F.count(ok).alias("n"), F.avg(ok).alias("mean"), F.stddev_pop(ok).alias("stddev"), F.sort_array(F.collect_list(ok)).alias("lengths"))
-    return g.withColumn("mean", F.coalesce("mean", F.lit(default[0]))).withColumn("stddev", F.coalesce("stddev", F.lit(default[1])))
+    counted = pairs.where(usable_insert(F.col("insert_size"))).groupBy(*keys, size.cast("bigint").alias("len")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("len").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    entry = F.struct("len", "n", F.sum("n").over(upto).alias("upto")).alias("entry")
+    g = counted.select(*keys, entry).groupBy(*keys).agg(F.sum("entry.n").alias("n"), (F.sum(F.col("entry.len") * F.col("entry.n")) / F.sum("entry.n")).alias("mean"), F.sort_array(F.collect_list("entry")).alias("lengths"))
+    around = F.aggregate("lengths", F.lit(0.0), lambda a, x: a + x["n"] * F.pow(x["len"] - F.col("mean"), F.lit(2.0)))
+    g = pairs.select(*keys).distinct().join(g.withColumn("stddev", F.sqrt(around / F.col("n"))), keys, "left")
+    none = F.expr("cast(array() as array<struct<len:bigint,n:bigint,upto:bigint>>)")
+    return g.select(*keys, F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("mean", F.lit(default[0])).alias("mean"), F.coalesce("stddev", F.lit(default[1])).alias("stddev"), F.coalesce("lengths", none).alias("lengths"))
+
+
+def histogram(values: Column) -> Column:
+    """A sorted array of single lengths in the form of fragment_lengths."""
+    return F.transform(values, lambda x, i: F.struct(x.cast("bigint").alias("len"), F.lit(1).cast("bigint").alias("n"), (i + 1).cast("bigint").alias("upto")))
 
 
 def in_range(lengths: Column, lo: int, hi: int) -> Column:
-    """The lengths from lo to hi; without any, the ends of the range."""
-    ok = F.filter(lengths, lambda x: (x >= lo) & (x <= hi))
-    nearest = F.greatest(F.lit(lo), F.least(F.lit(hi), F.coalesce(F.array_max(lengths), F.lit(400))))
-    return F.when(F.size(ok) > 0, ok).otherwise(F.array(nearest))
+    """The histogram's lengths from lo to hi; without any, the end of the range nearest to the longest."""
+    ok = F.filter(lengths, lambda x: (x["len"] >= lo) & (x["len"] <= hi))
+    longest = F.coalesce(F.get(lengths, F.size(lengths) - 1)["len"], F.lit(400).cast("bigint"))
+    one = F.lit(1).cast("bigint")
+    nearest = F.array(F.struct(F.greatest(F.lit(lo), F.least(F.lit(hi), longest)).cast("bigint").alias("len"), one.alias("n"), one.alias("upto")))
+    return F.when(F.size(ok) > 0, ok).otherwise(nearest)
+
+
+def drawn(lengths: Column, u: Column) -> Column:
+    """The length at place floor(u * number) of all those that a histogram counts, by binary search."""
+    base = F.get(lengths, F.lit(0))["upto"] - F.get(lengths, F.lit(0))["n"]
+    total = F.get(lengths, F.size(lengths) - 1)["upto"] - base
+    k = base + F.least(F.floor(u * total), total - 1)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(14))])
+    at = F.aggregate(steps, F.lit(0), lambda a, s: F.when((a + s < F.size(lengths)) & (F.coalesce(F.get(lengths, a + s - 1)["upto"], F.lit(2**62)) <= k), a + s).otherwise(a))
+    return F.get(lengths, at)["len"]
 
 
 def head(df: DataFrame, order: list[str], n: int) -> DataFrame:

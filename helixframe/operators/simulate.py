@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .intervals import overlap_share, relation
-from .pool import in_range
+from .pool import drawn, histogram, in_range
 from .rng import pick, uniform
 
 LEAST_FRAGMENT, MOST_FRAGMENT = 300.0, 1500
@@ -51,8 +51,8 @@ def tile_count(coverage: Column, vaf: Column, mean_fragment: Column, total_len:
 def tiles(haps: DataFrame, read_length: int, seed: int = 42) -> DataFrame:
     """(event_id, attempt, frag_len, hap_start): the first n_tiles valid ones of twice as many attempts.
 
-    haps: event_id, total_len, breakpoints, n_tiles, lengths, near_breakpoints, segs (array of
-    hap_offset, len, chrom). A length comes from the empirical ones within [read_length, 1500].
+    haps: event_id, total_len, breakpoints, n_tiles, lengths (a histogram as pool.fragment_lengths
+    makes it, or sorted lengths), near_breakpoints, segs (array of hap_offset, len, chrom). A length comes from the empirical ones within [read_length, 1500].
     Starts are uniform, near a random breakpoint if asked for so that the fragment crosses it.
     Uniform ones on haplotypes with new sequence are drawn again up to REDRAWS times while the
     fragment touches new sequence only. Fragments whose ends lie in it are not valid.
@@ -62,11 +62,11 @@ def tiles(haps: DataFrame, read_length: int, seed: int = 42) -> DataFrame:
     near = F.col("near_breakpoints") & (F.size("breakpoints") > 0)
     again = ~near & F.exists("segs", lambda s: s["chrom"].isNull())
     starts = lambda i: F.when(again, F.array(draw("start", i), *[draw(f"start{k}", i) for k in range(1, REDRAWS + 1)])).otherwise(F.array(draw("start", i)))
-    attempts = F.transform(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n_tiles") - 1), lambda i: F.struct(i.alias("attempt"), draw("len", i).alias("u_len"), draw("bp", i).alias("u_bp"), starts(i).alias("u_starts")))
-    allowed = in_range(F.col("lengths"), read_length, MOST_FRAGMENT)
-    tries = haps.where("n_tiles > 0").select("event_id", "total_len", "breakpoints", "n_tiles", "near_breakpoints", "segs", allowed.alias("allowed"), F.explode(attempts).alias("t"))
-    tries = tries.select("*", "t.*").withColumn("frag_len", pick(F.col("allowed"), F.col("u_len")))
-    bp = pick(F.col("breakpoints"), F.col("u_bp"))
+    attempts = F.transform(F.sequence(F.lit(0).cast("bigint"), 2 * F.col("n_tiles") - 1), lambda i: F.struct(i.alias("attempt"), drawn(F.col("allowed"), draw("len", i)).alias("frag_len"), pick(F.col("breakpoints"), draw("bp", i)).alias("bp"), starts(i).alias("u_starts")))
+    allowed = in_range(_lengths(haps), read_length, MOST_FRAGMENT)
+    tries = haps.where("n_tiles > 0").withColumn("allowed", allowed).select("event_id", "total_len", "breakpoints", "n_tiles", "near_breakpoints", "segs", F.explode(attempts).alias("t"))
+    tries = tries.select("*", "t.*")
+    bp = F.col("bp")
     last = F.col("total_len") - F.col("frag_len")
     lo = F.when(near, F.greatest(bp - F.col("frag_len") + 1, F.lit(0))).otherwise(F.lit(0))
     hi = F.when(near, F.least(bp - 1, last)).otherwise(last)
@@ -81,6 +81,12 @@ def tiles(haps: DataFrame, read_length: int, seed: int = 42) -> DataFrame:
     return valid.withColumn("k", F.row_number().over(w)).where("k <= n_tiles").select("event_id", "attempt", "frag_len", "hap_start")
 
 
+def _lengths(df: DataFrame, name: str = "lengths") -> Column:
+    """A column of lengths as a histogram; plain sorted lengths are taken too."""
+    plain = not dict(df.dtypes)[name].startswith("array<struct")
+    return histogram(F.col(name)) if plain else F.col(name)
+
+
 def depth_copies(pairs: DataFrame, seed: int = 42) -> DataFrame:
     """Pairs of a duplication that get a copy: at least half inside it, by allele fraction or by their haplotype's side."""
     shared = F.least("ref_end", "sv_hi") - F.greatest("ref_start", "sv_lo")
@@ -94,7 +100,7 @@ def jittered(copies: DataFrame, lengths: str = "lengths", read_length: int = 50,
     """Copies with a start moved by up to JITTER bases, not below 0, and a length drawn anew."""
     u = lambda what: uniform(F.col("name"), F.concat(F.lit(f"{seed}:"), F.col("event_id").cast("string"), F.lit(f":{what}")))
     shift = F.least(F.floor(u("jitter") * (2 * JITTER + 1)), F.lit(2 * JITTER)) - JITTER
-    return copies.withColumn("new_start", F.greatest(F.col("ref_start") + shift, F.lit(0))).withColumn("new_len", pick(in_range(F.col(lengths), read_length, MOST_FRAGMENT), u("len")))
+    return copies.withColumn("new_start", F.greatest(F.col("ref_start") + shift, F.lit(0))).withColumn("new_len", drawn(in_range(_lengths(copies, lengths), read_length, MOST_FRAGMENT), u("len")))
 
 
 def pair_geometry(frags: DataFrame, read_length: int) -> DataFrame:

@@ -239,7 +239,7 @@ def _(v):
     g = v.sv.select("event_id", F.col("chrom").alias("g_chrom"), F.col("start").alias("g_start"), (F.col("start") + 300).alias("g_end"))
     j = I.overlap_join(v.pairs.select("chrom", "ref_start", "ref_end", "insert_size"), g, ("chrom", "ref_start", "ref_end"), _SV_ON)
     f = P.fragment_lengths(j, ["event_id"])
-    return f.select("event_id", "n", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), F.get("lengths", F.lit(0)).alias("lo"), F.array_max("lengths").alias("hi"))
+    return f.select("event_id", "n", F.round("mean", 6).alias("mean"), F.round("stddev", 6).alias("stddev"), F.get("lengths", F.lit(0))["len"].alias("lo"), F.get("lengths", F.size("lengths") - 1)["len"].alias("hi"))
 
 
 @q("agg_cov_at", """WITH p AS (SELECT event_id, chrom, greatest(start - 1000, 0) AS lo, start + 1000 - greatest(start - 1000, 0) AS span FROM sv), x AS (SELECT event_id, chrom, greatest(least(span, 50), 1) AS n, unnest(list_transform(range(0, greatest(least(span, 50), 1)), lambda i: lo + i * CASE WHEN least(span, 50) > 1 THEN span // least(span, 50) ELSE 1 END)) AS p FROM p)

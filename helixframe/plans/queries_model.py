@@ -316,7 +316,7 @@ _ULEN = _U.format(k="event_id", s="'42:len'")
 
 @q("samp_cdf", f"WITH l AS (SELECT event_id, list_sort(list(r.insert_size)) AS ls FROM pairs r JOIN sv s ON r.chrom = s.chrom AND r.ref_start < s.start + 300 AND s.start < r.ref_end GROUP BY event_id) SELECT event_id, ls[CAST(least(floor({_ULEN} * len(ls)), len(ls) - 1) AS INT) + 1] AS x FROM l")
 def _(v):
-    return _lengths(v).select("event_id", rng.pick(F.col("lengths"), rng.uniform(F.col("event_id"), "42:len")).alias("x"))
+    return _lengths(v).select("event_id", P.drawn(F.col("lengths"), rng.uniform(F.col("event_id"), "42:len")).alias("x"))
 
 
 def _lengths(v):
@@ -326,7 +326,7 @@ def _lengths(v):
 
 @q("samp_cdf_range", f"WITH l AS (SELECT event_id, list_sort(list(r.insert_size)) AS al FROM pairs r JOIN sv s ON r.chrom = s.chrom AND r.ref_start < s.start + 300 AND s.start < r.ref_end GROUP BY event_id), f AS (SELECT event_id, CASE WHEN len(list_filter(al, lambda x: x BETWEEN 200 AND 400)) > 0 THEN list_filter(al, lambda x: x BETWEEN 200 AND 400) ELSE [greatest(200, least(400, list_max(al)))] END AS ls FROM l) SELECT event_id, ls[CAST(least(floor({_ULEN} * len(ls)), len(ls) - 1) AS INT) + 1] AS x FROM f")
 def _(v):
-    return _lengths(v).select("event_id", rng.pick(P.in_range(F.col("lengths"), 200, 400), rng.uniform(F.col("event_id"), "42:len")).alias("x"))
+    return _lengths(v).select("event_id", P.drawn(P.in_range(F.col("lengths"), 200, 400), rng.uniform(F.col("event_id"), "42:len")).alias("x"))
 
 
 @q("agg_frag_normal", "SELECT CAST(i AS BIGINT) AS i, round(greatest(50, 400 + 80 * sqrt(-2 * ln(greatest(" + _U.format(k="i", s="'0:u'") + ", 1e-12))) * cos(6.283185307179586 * " + _U.format(k="i", s="'0:v'") + ")), 4) AS x FROM range(10000) t(i)")
@@ -421,17 +421,25 @@ def _(v):
     return Q.chosen_level(wanted, Q.bins(Q.histograms(obs))).select("read_num", "cycle", "base", "prev_bin", "level")
 
 
+def _fragments(v):
+    h = H.haplotypes(H.with_sequences(H.segments(v.sv), v.ref))
+    f = _tiles(v).join(h.select("event_id", "sequence"), "event_id")
+    return f.select("event_id", F.concat(F.lit("ev"), "event_id", F.lit("_"), "attempt").alias("name"), F.substring(F.col("sequence"), (F.col("hap_start") + 1).cast("int"), F.col("frag_len").cast("int")).alias("fragment"))
+
+
 @q("syn_read")
 def _(v):
-    """Emitted read pairs of all tiled fragments; their bases are tested by statistics."""
+    """Emitted read pairs of all tiled fragments, by one profile of all pairs; their bases are tested by statistics."""
     from ..operators import emission
 
-    obs = Q.bins(Q.histograms(_obs(v))).collect()
-    profile = [(r.level, r.read_num, r.cycle, r.base, r.prev_bin, [(x.q, x.n) for x in r.run]) for r in obs]
-    h = H.haplotypes(H.with_sequences(H.segments(v.sv), v.ref))
-    f = _tiles(v).join(h.select("event_id", "sequence"), "event_id")
-    f = f.select("event_id", F.concat(F.lit("ev"), "event_id", F.lit("_"), "attempt").alias("name"), F.substring(F.col("sequence"), (F.col("hap_start") + 1).cast("int"), F.col("frag_len").cast("int")).alias("fragment"))
-    return emission.emitted(f, profile, 50)
+    bins = Q.bins(Q.histograms(_obs(v))).collect()
+    profile = [(r.level, r.read_num, r.cycle, r.base, r.prev_bin, [(x.q, x.n) for x in r.run]) for r in bins]
+    return emission.emitted(_fragments(v), profile, 50)
+
 
+@q("syn_read_seq", f"WITH {_TILE} SELECT event_id, concat('ev', event_id, '_', attempt) AS name, substr(sequence, CAST(hap_start + 1 AS INT), 50) AS seq1, translate(reverse(substr(sequence, CAST(hap_start + frag_len - 49 AS INT), 50)), 'ACGT', 'TGCA') AS seq2 FROM til JOIN hp USING (event_id)")
+def _(v):
+    """Both reads as their haplotype has them, without errors."""
+    from ..operators import emission
 
-q("syn_read_seq")(lambda v: QUERIES["syn_read"][0](v.spark, v.sf_dir).select("event_id", "name", "seq1", "seq2"))
+    return emission.emitted(_fragments(v), [], 50, errors=False).select("event_id", "name", "seq1", "seq2")

@@ -42,7 +42,7 @@ def test_query(spark, duck, name):
 
 
 def test_every_query_has_sql_or_is_known_not_to():
-    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"syn_read", "syn_read_seq"}
+    assert set(catalog.queries()) - set(catalog.oracle_sql()) == {"syn_read"}
 
 
 def test_emitted_reads(spark):

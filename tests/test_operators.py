@@ -274,6 +274,85 @@ def test_a_whole_run(spark, reference):
         plan.Config(allele_fraction=0)
 
 
+def made_pairs(whole, n, lo, hi, seed=3):
+    r = random.Random(seed)
+    rows = []
+    for i in range(n):
+        s = r.randrange(lo, hi)
+        e = s + r.randint(250, 400)
+        f = whole["chr1"][s:e].ljust(50, "A")
+        rows.append((f"p{i}", f[:50], "I" * 50, turned(f[-50:]), "I" * 50, s, e, e - s, "chr1"))
+    return rows
+
+
+PAIRS = "name string, seq1 string, qual1 string, seq2 string, qual2 string, ref_start long, ref_end long, insert_size long, chrom string"
+
+
+def test_junction_duplications_get_depth_copies_with_their_alleles(spark, reference):
+    whole, chunks = reference
+    rows = made_pairs(whole, 1200, 500, 5000)
+    table = spark.createDataFrame(rows, PAIRS)
+    events = spark.createDataFrame([event(1, "DUP", 2000, 3500)], EVENT)
+    votes = spark.createDataFrame([(1, r[0], "target" if i % 2 else "other") for i, r in enumerate(rows)], "event_id long, name string, side string")
+    other = {"A": "C", "C": "G", "G": "T", "T": "A"}
+    alleles = [(1, "chr1", p, other[whole["chr1"][p]]) for p in range(2100, 3400, 10)]
+    out = plan.run(events, table, chunks, plan.Config(read_length=50, flank=1000, dup_model="junction"), votes, spark.createDataFrame(alleles, "event_id long, chrom string, p long, allele string"))
+    got = out["pairs"].collect()
+    copies = [r for r in got if "_dup_depth_" in r.name]
+    inside = [r for i, r in enumerate(rows) if i % 2 and 2 * (min(r[6], 3500) - max(r[5], 2000)) >= r[6] - r[5]]
+    assert {r.name for r in copies} == {f"ev0001_dup_depth_{r[0]}" for r in inside} and all(r.disposition == "chimeric" for r in copies)
+    assert out["dispositions"].where("disposition = 'suppressed'").count() == 0
+    changed = list(whole["chr1"])
+    for _, _, p, b in alleles:
+        changed[p] = b
+    changed = "".join(changed)
+    exact = sum(r.seq1 in changed for r in copies)
+    assert exact >= 0.8 * len(copies) and sum(r.seq1 in whole["chr1"] for r in copies) < 0.3 * len(copies)
+
+
+def test_a_run_checks_its_events(spark, reference):
+    whole, chunks = reference
+    table = spark.createDataFrame(made_pairs(whole, 20, 500, 5000), PAIRS)
+    run = lambda rows, **more: plan.run(spark.createDataFrame(rows, EVENT), table, chunks, plan.Config(read_length=50, flank=1000, **more))
+    with pytest.raises(plan.EventError, match="overlaps event 2"):
+        run([event(1, "DEL", 2000, 3000), event(2, "INV", 2500, 3500)])
+    with pytest.raises(plan.EventError, match="outside"):
+        run([event(1, "BND", 1000, 1000, chrom_b="chr2", bp_b=9000, inverted=False)])
+    with pytest.raises(plan.EventError, match="overlaps event 2"):
+        run([event(1, "BND", 1000, 1000, chrom_b="chr1", bp_b=2500, inverted=False), event(2, "DEL", 2000, 3000)])
+    with pytest.raises(plan.EventError, match="no events"):
+        run([])
+    assert run([event(1, "DEL", 2000, 3000), event(2, "INV", 2500, 3500)], allow_overlap=True)["dispositions"].count() > 0
+
+
+def test_events_have_their_own_errors_and_profiles(spark):
+    """Equal fragments of two events get other draws, and each event the qualities of its own pairs."""
+    frags = spark.createDataFrame([(e, f"ev{e:04d}_hap_{i:06d}", "ACGT" * 20) for e in (1, 2, 3) for i in range(40)], "event_id long, name string, fragment string")
+    runs = [(e, level, r, c, None, None, [(q, 20), (q + 2, 20)]) for e, q in ((1, 10), (2, 10), (3, 30)) for level in ("cycle",) for r in (1, 2) for c in range(50)]
+    bins = spark.createDataFrame(runs, "event_id long, level string, read_num int, cycle int, base int, prev_bin int, run array<struct<q:int,n:long>>")
+    got = {r.name: r for r in emission.emitted(frags, bins, 50).collect()}
+    assert len(got) == 120
+    assert all(got[f"ev0001_hap_{i:06d}"].qual1 != got[f"ev0002_hap_{i:06d}"].qual1 for i in range(40))
+    assert {q for i in range(40) for q in got[f"ev0003_hap_{i:06d}"].qual2} == {"?", "A"} and {q for i in range(40) for q in got[f"ev0001_hap_{i:06d}"].qual1} == {"+", "-"}
+    again = {r.name: r for r in emission.emitted(frags.repartition(7), bins.repartition(3), 50).collect()}
+    assert got == again
+    few = emission.emitted(frags, bins, 50).where("event_id = 1").collect()
+    assert {r.name: r.seq1 for r in few} == {n: r.seq1 for n, r in got.items() if r.event_id == 1}
+
+
+def test_emission_without_errors_and_with_indels():
+    keys = np.arange(300, dtype=np.uint64) * np.uint64(977)
+    template = b"ACGTTGCANACCGGTT" * 5
+    bases, quals = emission.emit_many([template] * 300, 1, 60, emission.Profile([]), keys, errors=False)
+    assert all(r.tobytes() == template[:60] for r in bases) and (quals == 20).all()
+    low = emission.Profile([("cycle", 1, c, None, None, [(3, 1)]) for c in range(60)])
+    plain, _ = emission.emit_many([template] * 300, 1, 60, low, keys)
+    mixed, _ = emission.emit_many([template] * 300, 1, 60, low, keys, indel_rate=0.5)
+    same = lambda rows, a, b: np.mean(rows[:, a:b] == np.frombuffer(template[a:b], np.uint8))
+    assert abs(same(plain, 0, 8) - 0.5) < 0.06 and same(mixed, 40, 60) < same(plain, 40, 60) - 0.1
+    assert (plain[:, 8] == ord("N")).all()
+
+
 # --- validation
 
 
