@@ -111,10 +111,10 @@ def read_votes(each: DataFrame, sites: DataFrame, other_alleles: str = "listed")
     return votes(each.join(sites, ["chrom", "p"]), other_alleles)
 
 
-def votes(j: DataFrame, other_alleles: str = "listed") -> DataFrame:
-    """read_votes() of bases that already stand beside their sites, as at_sites() gives them."""
+def votes(j: DataFrame, other_alleles: str = "listed", by: list[str] | None = None) -> DataFrame:
+    """read_votes() of bases that already stand beside their sites, as at_sites() gives them, for each name or each of by."""
     other = F.col("base") == F.col("other") if other_alleles == "listed" else ~F.col("base").isin("N") & (F.col("base") != F.col("target"))
-    v = j.groupBy("name").agg(F.count_if(F.col("base") == F.col("target")).alias("target_n"), F.count_if(other).alias("other_n")).where("target_n + other_n > 0")
+    v = j.groupBy(*(by or ["name"])).agg(F.count_if(F.col("base") == F.col("target")).alias("target_n"), F.count_if(other).alias("other_n")).where("target_n + other_n > 0")
     return v.withColumn("side", F.when(F.col("target_n") > F.col("other_n"), "target").when(F.col("target_n") < F.col("other_n"), "other").otherwise("tie"))
 
 

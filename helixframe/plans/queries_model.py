@@ -285,7 +285,14 @@ def _(v):
     return sinks.event_summary(M.suppression(_pool(v).withColumn("side", F.lit(None).cast("string"))))
 
 
-q("sink_readme", QUERIES["agg_event_stats"][1])(lambda v: QUERIES["agg_event_stats"][0](v.spark, v.sf_dir))
+@q("sink_readme", f"""WITH {_SUP}, d AS (SELECT event_id, CASE WHEN sv_type <> 'BND' AND NOT (r.ref_end <= hap_lo OR r.ref_start >= hap_hi) AND {_USUP} <= vaf * {_SHARE} THEN 'suppressed' ELSE 'kept' END AS x FROM pr r), n AS (SELECT event_id, count_if(x = 'kept') AS kept, count_if(x = 'suppressed') AS gone FROM d GROUP BY event_id)
+ SELECT s.event_id, concat('| ', s.event_id, ' | ', s.sv_type, ' ', s.chrom, ':', s.start, '-', s."end", ' (', s.gene, ') | ', printf('%.3f', s.vaf), ' | ', coalesce(kept, 0), ' | 0 | ', coalesce(gone, 0), ' |') AS line FROM sv s LEFT JOIN n ON n.event_id = s.event_id""")
+def _(v):
+    from ..sources import sinks
+
+    judged = M.suppression(_pool(v).withColumn("side", F.lit(None).cast("string")))
+    return sinks.run_log_rows(v.sv.withColumn("allele_fraction", F.col("vaf")), judged)
+
 
 _COPY = f"sv_type = 'DUP' AND least(r.ref_end, sv_hi) - greatest(r.ref_start, sv_lo) > 0 AND 2 * (least(r.ref_end, sv_hi) - greatest(r.ref_start, sv_lo)) >= greatest(r.ref_end - r.ref_start, 1) AND {_UCOPY} < CASE WHEN hap = 1 THEN least(2 * vaf, 1) ELSE greatest(2 * vaf - 1, 0) END"
 
@@ -443,3 +450,46 @@ def _(v):
     from ..operators import emission
 
     return emission.emitted(_fragments(v), [], 50, errors=False).select("event_id", "name", "seq1", "seq2")
+
+
+# --- checks of a whole result, and calls against the truth
+
+_CALLS = "cl AS (SELECT event_id AS call_id, concat('chr', event_id % 5 + 1) AS chrom, start + event_id * 37 % 1300 - 650 AS start, \"end\" + event_id * 53 % 1300 - 650 + CASE WHEN event_id % 7 = 0 THEN 2000 ELSE 0 END AS stop FROM sv WHERE sv_type = 'DEL' AND event_id % 5 <> 0)"
+_MATCH = f"""{_CALLS}, cand AS (SELECT s.event_id, c.call_id, abs(s.start - c.start) AS start_distance, abs(s."end" - c.stop) AS end_distance, least(s."end" - s.start, c.stop - c.start)::DOUBLE / greatest(s."end" - s.start, c.stop - c.start) AS size_ratio FROM sv s JOIN cl c ON s.sv_type = 'DEL' AND c.chrom = s.chrom AND abs(s.start - c.start) <= 500 AND abs(s."end" - c.stop) <= 500),
+ rk AS (SELECT *, row_number() OVER (PARTITION BY event_id ORDER BY start_distance + end_distance, call_id) AS of_truth, row_number() OVER (PARTITION BY call_id ORDER BY start_distance + end_distance, event_id) AS of_call FROM cand WHERE size_ratio >= 0.5), mt AS (SELECT event_id, call_id, start_distance, end_distance, size_ratio FROM rk WHERE of_truth = 1 AND of_call = 1)"""
+
+
+def _calls(v):
+    d = v.sv.where("sv_type = 'DEL' and event_id % 5 <> 0")
+    return d.selectExpr("event_id call_id", "concat('chr', event_id % 5 + 1) chrom", "start + event_id * 37 % 1300 - 650 start", "`end` + event_id * 53 % 1300 - 650 + CASE WHEN event_id % 7 = 0 THEN 2000 ELSE 0 END `end`")
+
+
+@q("join_truth_call", f"WITH {_MATCH} SELECT event_id, call_id, start_distance, end_distance, round(size_ratio, 9) AS size_ratio FROM mt")
+def _(v):
+    m = V.matched_calls(v.sv.where("sv_type = 'DEL'"), _calls(v))
+    return m.withColumn("size_ratio", F.round("size_ratio", 9))
+
+
+@q("agg_prf", f"""WITH {_MATCH}, n AS (SELECT (SELECT count(*) FROM mt) AS tp, (SELECT count(*) FROM cl) - (SELECT count(*) FROM mt) AS fp, (SELECT count(*) FROM sv WHERE sv_type = 'DEL') - (SELECT count(*) FROM mt) AS fn)
+ SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM n""")
+def _(v):
+    s = V.call_score(v.sv.where("sv_type = 'DEL'"), _calls(v))
+    return s.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")])
+
+
+def _driver_sql() -> str:
+    from .queries_intervals import QUERIES as I_Q, _COVER
+
+    def one(name: str, sql: str) -> str:
+        return f"SELECT '{name}' AS \"check\", count(*) AS total, count(CASE WHEN pass THEN 1 END) AS passed FROM ({sql})"
+
+    usable = "SELECT avg(tlen) BETWEEN 50 AND 1000 AND stddev_pop(tlen) BETWEEN 5 AND 300 AS pass FROM (SELECT tlen FROM aln WHERE (flag & 2308) = 0 AND (flag & 2) <> 0 AND (flag & 8) = 0 AND (flag & 192) <> 0 AND tlen > 0 ORDER BY chrom, pos, name, read_num LIMIT 50000)"
+    parts = [("coverage", _COVER), ("split_reads", I_Q["chk_split"][1]), ("allele_fraction", QUERIES["chk_af"][1]), ("insert_size", usable), ("duplicate_rate", I_Q["chk_dup"][1]), ("mapping_quality", I_Q["chk_mapq"][1])]
+    return " UNION ALL ".join(one(*p) for p in parts)
+
+
+@q("chk_driver", _driver_sql())
+def _(v):
+    """Which checks run for which events, and how many of each pass."""
+    c = V.run(v.sv, v.reads, v.aln, ["chrom", "pos", "name", "read_num"], min_flank_depth=0.0)
+    return c.groupBy("check").agg(F.count("*").alias("total"), F.count_if("pass").alias("passed"))

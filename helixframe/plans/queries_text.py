@@ -328,18 +328,39 @@ def _(v):
     return haplotype.reference_slices(w, v.ref).select("event_id", F.md5(F.col("sequence").cast("binary")).alias("h"))
 
 
+@q("src_ref_cache", f"""WITH {_WHOLE} SELECT event_id, k, md5(substr(s, CAST(start + 1 AS INT), 100)) AS h FROM sv JOIN whole USING (chrom) CROSS JOIN (VALUES (0), (1), (2)) t(k)""")
+def _(v):
+    """Regions asked for again and again: each distinct one is cut from the reference once."""
+    asked = v.sv.select("event_id", F.explode(F.array(*map(F.lit, range(3)))).alias("k"), "chrom", F.col("start").alias("ref_start"), (F.col("start") + 100).alias("ref_end"))
+    return haplotype.reference_slices(asked, v.ref).select("event_id", "k", F.md5(F.col("sequence").cast("binary")).alias("h"))
+
+
 @q("flt_ref_allele", f"WITH {_WHOLE} SELECT event_id, substr(s, CAST(start + 1 AS INT), CAST(length(ref_allele) AS INT)) = upper(ref_allele) AS ok FROM sv JOIN whole USING (chrom) WHERE sv_type = 'SNP'")
 def _(v):
     w = v.sv.where("sv_type = 'SNP'").select("event_id", "chrom", F.col("start").alias("ref_start"), (F.col("start") + F.length("ref_allele")).alias("ref_end"), "ref_allele")
     return haplotype.reference_slices(w, v.ref).select("event_id", (F.col("sequence") == F.upper("ref_allele")).alias("ok"))
 
 
+@q("flt_af_arg", "SELECT event_id, x > 0 AND x <= 1 AS ok FROM (SELECT event_id, CAST(event_id % 25 - 3 AS DOUBLE) / 20 AS x FROM sv)")
+def _(v):
+    from .simulate import allowed_fraction
+
+    return v.sv.select("event_id", allowed_fraction((F.col("event_id") % 25 - 3).cast("double") / 20).alias("ok"))
+
+
+@q("fn_days_to_ymd", "SELECT event_id, CAST(year(d) AS INT) AS year, CAST(month(d) AS INT) AS month, CAST(day(d) AS INT) AS day, strftime(d, '%Y%m%d') AS stamp FROM (SELECT event_id, DATE '1970-01-01' + CAST(event_id * 37 % 60000 AS INT) AS d FROM sv)")
+def _(v):
+    year, month, day, stamp = sinks.calendar((F.col("event_id") * 37 % 60000).cast("int"))
+    return v.sv.select("event_id", year.alias("year"), month.alias("month"), day.alias("day"), stamp.alias("stamp"))
+
+
 @q("flt_coord", """WITH len AS (SELECT chrom, sum(length(seq)) AS n FROM ref GROUP BY chrom) SELECT event_id, "end" > n - 5000 OR start >= n - 5000 AS outside FROM sv JOIN len USING (chrom)""")
 def _(v):
     from .simulate import violations
 
     n = v.ref.groupBy("chrom").agg((F.sum(F.length("seq")) - 5000).alias("length"))
-    bad = violations(v.sv.where("sv_type <> 'SNP'").unionByName(v.sv.where("sv_type = 'SNP'").withColumn("ref_allele", F.lit(""))), n, v.ref, allow_overlap=True).where("problem = 'outside its chromosome'").select("event_id").distinct()
+    sv = v.sv.drop("chrom_b", "bp_b")  # an event's own place only
+    bad = violations(sv.where("sv_type <> 'SNP'").unionByName(sv.where("sv_type = 'SNP'").withColumn("ref_allele", F.lit(""))), n, v.ref, allow_overlap=True).where("problem = 'outside its chromosome'").select("event_id").distinct()
     return v.sv.select("event_id").join(bad.withColumn("outside", F.lit(True)), "event_id", "left").select("event_id", F.coalesce("outside", F.lit(False)).alias("outside"))
 
 

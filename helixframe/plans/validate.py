@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
-from ..functions.reads import DUPLICATE, event_label, flagged, globally_counted, proper_pair
+from ..functions.reads import DUPLICATE, event_label, flagged, globally_counted, primary, proper_pair
 from ..operators import intervals, pileup, pool
 
 COVERAGE_TOLERANCE, FRACTION_TOLERANCE = 0.3, 0.15
@@ -82,11 +82,11 @@ def covering(aln: DataFrame, places: DataFrame) -> DataFrame:
     return met.dropDuplicates(["__row"]).select(*aln.columns)
 
 
-def run(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], flank: int = 5000, min_flank_depth: float = 1.0) -> DataFrame:
-    """(event, check, expected, observed, pass) of all checks."""
+def run(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], flank: int = 5000, min_flank_depth: float = 1.0, min_mapq: int = 20) -> DataFrame:
+    """(event, check, expected, observed, pass) of all checks: those of each event by its type, and the global ones."""
     text = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("N/A"))
     names = truth.select("event_id", event_label(*(F.col(c) for c in ("sv_type", "chrom", "start", "end"))).alias("event"))
-    pile = pileup.piled_at(aln, truth.where("sv_type = 'SNP'").select("chrom", F.col("start").alias("p")))
+    pile = pileup.piled_at(aln.where(primary(F.col("flag"), F.col("mapq"), min_mapq)), truth.where("sv_type = 'SNP'").select("chrom", F.col("start").alias("p")))
     parts = [
         coverage(truth, reads, flank, min_flank_depth).select("event", "check", text(F.col("expected")).alias("expected"), text(F.col("ratio")).alias("observed"), "pass"),
         split_reads(truth, reads).join(names, "event_id").select("event", "check", F.lit("> 0").alias("expected"), F.col("n").cast("string").alias("observed"), "pass"),
@@ -105,6 +105,46 @@ def summary(checks: DataFrame) -> DataFrame:
     return checks.agg(F.count("*").alias("total"), F.count_if("pass").alias("passed"), F.count_if(~F.col("pass")).alias("failed"))
 
 
+class NoChecks(RuntimeError):
+    pass
+
+
+def passed(checks: DataFrame) -> bool:
+    """Whether every check passes; that none ran is an error."""
+    n = summary(checks).first()
+    if not n.total:
+        raise NoChecks("no check could be run")
+    return n.failed == 0
+
+
+def matched_calls(truth: DataFrame, calls: DataFrame, most: int = 500, least_ratio: float = 0.5) -> DataFrame:
+    """(event_id, call_id, start_distance, end_distance, size_ratio): truth events (event_id, chrom, start, end) and calls (call_id, chrom, start, end) that match.
+
+    Both ends lie within most bases and the shorter is at least least_ratio of the longer. Of
+    several candidates the nearest by both ends counts, ties by id; a match is best for both
+    sides, so each event and each call has one at most.
+    """
+    t = truth.select("event_id", "chrom", "start", "end", (F.col("start") - most).alias("lo"), (F.col("start") + most + 1).alias("hi"))
+    c = calls.select("call_id", F.col("chrom").alias("c_chrom"), F.col("start").alias("c_start"), F.col("end").alias("c_end")).withColumn("c_next", F.col("c_start") + 1)
+    j = intervals.overlap_join(t, c, ("chrom", "lo", "hi"), ("c_chrom", "c_start", "c_next"))
+    size, own = F.col("end") - F.col("start"), F.col("c_end") - F.col("c_start")
+    j = j.select("event_id", "call_id", F.abs(F.col("start") - F.col("c_start")).alias("start_distance"), F.abs(F.col("end") - F.col("c_end")).alias("end_distance"), (F.least(size, own) / F.greatest(size, own, F.lit(1))).cast("double").alias("size_ratio"))
+    j = j.where((F.col("end_distance") <= most) & (F.col("size_ratio") >= least_ratio)).withColumn("far", F.col("start_distance") + F.col("end_distance"))
+    best = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy("far", other))
+    j = j.withColumn("of_truth", best("event_id", "call_id")).withColumn("of_call", best("call_id", "event_id"))
+    return j.where("of_truth = 1 and of_call = 1").drop("far", "of_truth", "of_call")
+
+
+def call_score(truth: DataFrame, calls: DataFrame, most: int = 500, least_ratio: float = 0.5) -> DataFrame:
+    """(tp, fp, fn, recall, precision, f1) of one row; shares without a base are 0."""
+    n = lambda df, name: df.agg(F.count("*").alias(name))
+    one = n(matched_calls(truth, calls, most, least_ratio), "tp").join(n(truth, "t")).join(n(calls, "c"))  # one row each
+    one = one.select("tp", (F.col("c") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"))
+    share = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
+    tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
+    return one.select("tp", "fp", "fn", share(tp, tp + fn).alias("recall"), share(tp, tp + fp).alias("precision"), share(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
 def score(true_positive: int, false_positive: int, false_negative: int) -> dict[str, float]:
     """Recall, precision and F1 of counts; 0 where undefined."""
     share = lambda a, b: a / b if b else 0.0

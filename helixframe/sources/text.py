@@ -9,9 +9,16 @@ from ..functions.sequence import is_dna
 
 
 def lines(spark: SparkSession, path: str) -> DataFrame:
-    """(line_no, line): plain or gzip files; numbers follow the order within files, which decides what comes first."""
-    raw = spark.read.text(path).select(F.col("value").alias("line"), F.monotonically_increasing_id().alias("line_no"))
-    return raw.select("line_no", "line")
+    """(line_no, line, file): plain or gzip files; line numbers rise along each file, with gaps.
+
+    A line's number is its split's first byte plus its place among the task's lines. A split
+    has no more lines than bytes, and only a file's last split shares its task with others, so
+    the order within a file is right however Spark deals the splits.
+    """
+    at = F.col("_metadata.file_block_start")
+    place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    raw = spark.read.text(path).select(F.col("value").alias("line"), (F.when(at > 0, at + 1).otherwise(0) + place).alias("line_no"), F.col("_metadata.file_path").alias("file"))
+    return raw.select("line_no", "line", "file")
 
 
 def _field(i: int, by: str = "\t") -> Column:
@@ -136,19 +143,30 @@ def snp_list(text: DataFrame, one_based: bool = False) -> DataFrame:
     return body.select(f(0).alias("chrom"), (f(1).try_cast("bigint") - int(one_based)).alias("p"), F.upper(f(2)).alias("ref"), F.upper(f(3)).alias("alt")).where("p is not null")
 
 
-def fasta_chunks(text: DataFrame, chunk: int = 32) -> DataFrame:
-    """(chrom, chunk_id, seq) of a FASTA file's lines.
+def fasta_chunks(text: DataFrame, chunk: int = 32, width: int = 1 << 20) -> DataFrame:
+    """(chrom, chunk_id, seq) of a FASTA file's lines (line_no, line, and file where there are several).
 
-    Header lines, one for each chromosome, are broadcast to find the chromosome of the others.
-    Each line's place is the length of its chromosome's lines before it, summed within the
-    chromosome; a file's lines are about as many as a chromosome has bases / 60.
+    Lines are ordered within stretches of width line numbers. Which chromosome a stretch begins
+    in, and how many of its bases came before, is carried from a table of one row a stretch, so
+    no chromosome is ordered in one task.
     """
-    named = text.where(F.col("line").startswith(">")).select("line_no", F.get(F.split(F.substring("line", 2, 1000), r"\s+"), F.lit(0)).alias("chrom"))
-    named = named.select("chrom", F.col("line_no").alias("after"), F.coalesce(F.lead("line_no").over(Window.orderBy("line_no")), F.lit(2**63 - 1)).alias("before"))
-    body = text.where(~F.col("line").startswith(">")).withColumn("line", F.upper(F.trim("line")))
-    t = body.join(F.broadcast(named), (F.col("line_no") > F.col("after")) & (F.col("line_no") < F.col("before")))
-    at = F.coalesce(F.sum(F.length("line")).over(Window.partitionBy("chrom").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    t = t.withColumn("at", at).where(F.length("line") > 0)
+    rows = text if "file" in text.columns else text.withColumn("file", F.lit(""))
+    head = F.col("line").startswith(">")
+    rows = rows.select("file", "line_no", F.floor(F.col("line_no") / width).alias("part"), F.when(head, F.get(F.split(F.substring("line", 2, 1000), r"\s+"), F.lit(0))).alias("named"), F.when(~head, F.upper(F.trim("line"))).alias("body"))
+    rows = rows.withColumn("n", F.coalesce(F.length("body"), F.lit(0)).cast("bigint"))
+    upto = Window.partitionBy("file", "part").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    # bases of the stretch up to each line, and those up to its last header
+    rows = rows.withColumn("sum", F.sum("n").over(upto))
+    rows = rows.withColumn("last", F.last(F.when(F.col("named").isNotNull(), F.struct("named", "sum")), True).over(upto))
+    parts = rows.groupBy("file", "part").agg(F.sum("n").alias("n"), F.max_by("last", "line_no").alias("last"))
+    before = Window.partitionBy("file").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("begin", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    parts = parts.withColumn("held", F.last(F.when(F.col("last").isNotNull(), F.struct(F.col("last.named").alias("named"), (F.col("begin") + F.col("last.sum")).alias("sum"))), True).over(before))
+    t = rows.join(parts.select("file", "part", "begin", "held"), ["file", "part"]).where("n > 0")
+    here = F.col("last").isNotNull()
+    chrom = F.when(here, F.col("last.named")).otherwise(F.col("held.named"))
+    at = F.col("begin") + F.col("sum") - F.col("n") - F.when(here, F.col("begin") + F.col("last.sum")).otherwise(F.col("held.sum"))
+    t = t.select(chrom.alias("chrom"), at.alias("at"), F.col("body").alias("line")).where("chrom is not null")
     first, last = F.floor(F.col("at") / chunk), F.floor((F.col("at") + F.length("line") - 1) / chunk)
     p = t.select("chrom", "at", "line", F.explode(F.sequence(first, last)).alias("chunk_id"))
     lo = F.greatest(F.col("chunk_id") * chunk - F.col("at"), F.lit(0))

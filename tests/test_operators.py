@@ -453,3 +453,105 @@ def test_bam(spark, tmp_path, size):
     got = spark.read.format("bam").option("rangebytes", str(size)).load(str(path)).collect()
     assert sorted((r.name, r.flag, r.chrom, r.pos, r.seq, r.sa) for r in got) == sorted((n, f, ["chr1", "chr2"][c], p, s, sa) for n, f, c, p, s, sa in records)
     assert got[0].cigar == f"{len(got[0].seq)}M" and set(got[0].qual) == {"?"}
+
+
+# --- whole runs over files
+
+
+def sam_lines(whole, n, lo, hi, gone=None):
+    r = random.Random(11)
+    out = ["@HD\tVN:1.6"]
+    for i in range(n):
+        s = r.randrange(lo, hi)
+        e = s + r.randint(250, 400)
+        if gone and s < gone[1] and gone[0] < e and i % 2:
+            continue
+        a, b = whole["chr1"][s : s + 50], whole["chr1"][e - 50 : e]
+        out.append(f"p{i}\t99\tchr1\t{s + 1}\t60\t50M\t=\t{e - 49}\t{e - s}\t{a}\t{'I' * 50}")
+        out.append(f"p{i}\t147\tchr1\t{e - 49}\t60\t50M\t=\t{s + 1}\t{s - e}\t{b}\t{'I' * 50}" + ("\tSA:Z:chr1,1,+,5M,1,0;" if i % 40 == 0 else ""))
+    return "\n".join(out) + "\n"
+
+
+def test_simulate_and_validate_files(spark, reference, tmp_path, capsys):
+    from helixframe import app
+
+    whole, _ = reference
+    (tmp_path / "in.sam").write_text(sam_lines(whole, 1500, 100, 5500))
+    (tmp_path / "ref.fa").write_text("".join(f">{c} made up\n" + "".join(s[i : i + 70].lower() + "\n" for i in range(0, len(s), 70)) for c, s in whole.items()))
+    (tmp_path / "in.vcf").write_text("##fileformat=VCFv4.3\nchr1\t4000\tx\tN\t<INV>\t50\tPASS\tSVTYPE=INV;END=4400;SIM_VAF=0.4\n")
+    out = tmp_path / "out"
+    args = ["simulate", "--bam", str(tmp_path / "in.sam"), "--reference", str(tmp_path / "ref.fa"), "--event", "del:chr1:2000-3000;af=het", "--vcf", str(tmp_path / "in.vcf"), "--output", str(out), "--flank", "800", "--partitions", "2"]
+    assert app.main(args, spark) == 0
+    truth = [x.split("\t") for x in (out / "truth.vcf").read_text().splitlines() if not x.startswith("#")]
+    assert [(r[0], r[1], r[4]) for r in truth] == [("chr1", "2000", "<DEL>"), ("chr1", "4000", "<INV>")]
+    assert 0.2 < float(truth[0][7].split("SIM_VAF=")[1].split(";")[0]) < 0.8
+    names = {n: [x for x in spark.read.text(str(out / n)).collect() if x[0].startswith("@")] for n in ("R1", "R2")}
+    assert len(names["R1"]) == len(names["R2"]) > 300 and any("ev0001_hap_" in x[0] for x in names["R1"])
+    log = (out / "README.md").read_text()
+    assert "| 1 | DEL chr1:2000-3000" in log and f"{len(names['R1'])} read pairs" in log
+    assert (out / "events.bed").read_text().splitlines()[0] == "chr1\t1200\t3800" and "sim.bam" in (out / "align.sh").read_text()
+    assert app.main([*args[:5], "--event", "del:chr1:5000-9000", "--output", str(out)], spark) == 1
+    assert app.main(["simulate", "--bam", "x.cram", "--reference", "r", "--event", "del:chr1:1-5", "--output", "o"], spark) == 1
+    assert "samtools view" in capsys.readouterr().err
+
+    (tmp_path / "sim.sam").write_text(sam_lines(whole, 3000, 100, 5500, gone=(2000, 3000)))
+    (tmp_path / "truth.vcf").write_text("\n".join("\t".join(r) for r in truth[:1]) + "\n")
+    check = ["validate", "--bam", str(tmp_path / "sim.sam"), "--truth", str(tmp_path / "truth.vcf"), "--flank", "1000", "--json"]
+    assert app.main(check, spark) == 0
+    assert len(capsys.readouterr().out.splitlines()) == 5
+    (tmp_path / "plain.sam").write_text(sam_lines(whole, 3000, 100, 5500))
+    assert app.main([*check[:2], str(tmp_path / "plain.sam"), *check[3:]], spark) == 1
+
+
+def test_fasta_of_many_stretches(spark, tmp_path):
+    r = random.Random(2)
+    whole = {f"c{i}": "".join(r.choice("ACGTN") for _ in range(n)) for i, n in enumerate((500, 0, 3, 97, 1200))}
+    for name, keys in (("a.fa", ["c0", "c1", "c2"]), ("b.fa", ["c3", "c4"])):
+        (tmp_path / name).write_text("".join(f">{c} x\n" + "".join(whole[c][i : i + 60] + "\n\n" for i in range(0, len(whole[c]), 60)) for c in keys))
+    lines = text.lines(spark, str(tmp_path / "*.fa"))
+    for width in (50, 300, 1 << 20):
+        got = {}
+        for x in sorted(text.fasta_chunks(lines, width=width).collect(), key=lambda x: x.chunk_id):
+            got[x.chrom] = got.get(x.chrom, "") + x.seq
+        assert got == {c: s for c, s in whole.items() if s}
+
+
+def test_lines_of_split_files_are_in_order(spark, tmp_path):
+    body = [f"{i:06d} " + "x" * (i % 50) for i in range(20000)]
+    (tmp_path / "a.txt").write_text("\n".join(body))
+    (tmp_path / "b.txt").write_text("\n".join(body[:10]))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "40000")
+    try:
+        rows = text.lines(spark, str(tmp_path)).collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    for name, n in (("a.txt", 20000), ("b.txt", 10)):
+        own = [r for r in rows if r.file.endswith(name)]
+        assert len({r.line_no for r in own}) == len(own) == n and [r.line for r in sorted(own, key=lambda r: r.line_no)] == body[:n]
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_merges_across_bins(spark, seed):
+    r = random.Random(seed)
+    rows = [(c, s, s + r.choice([1, 5, 40, 400])) for c in ("a", "b") for s in (r.randrange(0, 3000) for _ in range(60))]
+    expected = []
+    for c, s, e in sorted(rows):
+        if expected and expected[-1][0] == c and s <= expected[-1][2]:
+            expected[-1] = (c, expected[-1][1], max(e, expected[-1][2]), expected[-1][3] + 1)
+        else:
+            expected.append((c, s, e, 1))
+    got = intervals.merged(spark.createDataFrame(rows, "chrom string, start long, end long"), width=100).select("chrom", "start", "end", "n").collect()
+    assert sorted(map(tuple, got)) == expected
+
+
+def test_calls_match_once_each(spark):
+    truth = spark.createDataFrame([(1, "c", 1000, 2000), (2, "c", 1100, 2100), (3, "c", 9000, 9400)], "event_id long, chrom string, start long, end long")
+    calls = spark.createDataFrame([(10, "c", 1010, 2010), (11, "c", 1400, 2400), (12, "c", 9000, 9900), (13, "d", 1000, 2000)], "call_id long, chrom string, start long, end long")
+    got = validate.matched_calls(truth, calls).collect()
+    assert [(r.event_id, r.call_id) for r in got] == [(1, 10)]
+    s = validate.call_score(truth, calls).first()
+    assert (s.tp, s.fp, s.fn) == (1, 3, 2) and s.recall == pytest.approx(1 / 3) and s.precision == 0.25
+    assert validate.call_score(truth.limit(0), calls.limit(0)).first().f1 == 0
+    with pytest.raises(validate.NoChecks):
+        validate.passed(spark.createDataFrame([], "event string, pass boolean"))
