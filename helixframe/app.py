@@ -99,6 +99,11 @@ def write_text(spark: SparkSession, path: str, lines) -> None:
         out.close()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
     if not a.event and not a.vcf:
         raise InputError("no events: give --event or --vcf")
@@ -113,10 +118,13 @@ def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
     gvcf = text.het_snps(text.lines(spark, a.gvcf)) if a.gvcf else None
     votes, alleles = haplotype_evidence(aln.where(primary(F.col("flag"), F.col("mapq"), a.min_mapq)), events, gvcf, a.allele_fraction, a.seed)
     out = simulate.run(events, pool.paired(usable, [c for c in ("chrom", "pos") if c in aln.columns]), chunks, config, votes, alleles)
-    pairs = out["pairs"]
     at = lambda name: posixpath.join(a.output, name)
+    # both files and the count read the pairs from one table, so that the simulation runs once
+    out["pairs"].write.mode("overwrite").parquet(at("_pairs"))
+    pairs = spark.read.parquet(at("_pairs"))
     sinks.write_fastq(pairs, a.output, a.partitions)
-    total = spark.read.text(at("R1")).count() // 4
+    total = pairs.count()
+    remove(spark, at("_pairs"))
     now = datetime.now(timezone.utc)
     records = sinks.truth_lines(sinks.truth_records(events, a.allele_fraction)).orderBy("event_id", "part")
     write_text(spark, at("truth.vcf"), [*sinks.truth_header(a.reference, now.strftime("%Y%m%d")), *(r.line for r in records.toLocalIterator())])
