@@ -36,9 +36,8 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = mixing.mixed(read(spark, sf_dir, "documents"))
-    out = out.groupBy(F.col("id").alias("doc_id"), "size", "source_size", "target").agg(F.coalesce(F.sum("taken"), F.lit(0)).alias("taken"))
-    return out.select("doc_id", "size", "source_size", "target", "taken")
+    out = mixing.mixed(read(spark, sf_dir, "documents"), by_cycle=False)
+    return out.select(F.col("id").alias("doc_id"), "size", "source_size", "target", "taken")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

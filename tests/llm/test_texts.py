@@ -134,7 +134,7 @@ def test_mixing(spark, word):
         seen.add(r["id"])
     assert seen == {r[0] for r in rows}
     for s in size:
-        assert abs(taken[s] - target[s]) <= 6 * 8 and taken[s] <= 3 * size[s], s
+        assert taken[s] == math.floor(target[s] + 0.5) and taken[s] <= 3 * size[s], s
     again = [r.asDict() for r in mixing.mixed(table.repartition(3), block_words=8).collect()]
     assert sorted(map(str, got)) == sorted(map(str, again))
 
@@ -145,6 +145,39 @@ def test_mixing_nothing(spark, empty):
     assert sorted((r.id, r.size, r.target, r.taken) for r in mixing.mixed(blank).collect()) == [(1, 0, 0.0, None), (2, 0, 0.0, None)]
 
 
+def test_mixing_query_keeps_repeated_rows(spark, word, tmp_path):
+    from helixframe.llm import queries
+
+    rows = mixing_rows(word, 60) + [(None, "some words here", "a"), (None, "some words here", "a"), (7, None, None), (7, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = queries.op5_mixing(spark, str(tmp_path)).collect()
+    key = lambda x: (-1 if x is None else x)
+    assert sorted((key(r.doc_id), r.size) for r in got) == sorted((key(i), len((t or "").split())) for i, t, _ in rows)
+    size = Counter()
+    for _, t, s in rows:
+        size[s] += len((t or "").split())
+    target = expected_targets({s: size[s] for s in {r[2] for r in rows}})
+    assert all(0 <= r.taken <= 3 * r.size for r in got) and sum(r.taken for r in got) == sum(math.floor(t + 0.5) for t in target.values())
+
+
+@pytest.mark.parametrize("texts", [["one two three"], ["a b", "c", "d e f g h i j k"], ["x"]])
+def test_mixing_of_a_few_words(spark, texts):
+    rows = [(i, t, f"s{i}") for i, t in enumerate(texts)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, source string"), by_cycle=False).collect()
+    target = expected_targets({f"s{i}": len(t.split()) for i, t in enumerate(texts)})
+    assert {r.source: r.taken for r in got} == {s: math.floor(t + 0.5) for s, t in target.items()}
+
+
+def test_points_keep_their_spacing(spark):
+    """Of any n points no two are nearer than 1 / (sqrt(5) n) or so, also far from the first."""
+    for first in (0, 10**11, 2**47):
+        u = sorted(r[0] for r in spark.range(first, first + 1000).select(mixing.point(F.col("id")).alias("u")).collect())
+        gaps = [b - a for a, b in zip(u, u[1:])]
+        assert min(gaps) > 0.3 / 1000 and max(gaps) < 3 / 1000
+    n, phi = 123456789, mixing.GOLDEN
+    assert abs(spark.range(1).select(mixing.point(F.lit(n).cast("long"))).first()[0] - float(n * phi % 1)) < 1e-11
+
+
 # --- fingerprints
 
 
