@@ -3,15 +3,13 @@
 from __future__ import annotations
 
 import ctypes
-import os
 import tempfile
 import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-_ROOT = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
-
+from ..shipping import ship
 
 #: Bytes of rows that a Python worker is sent at once, so that many long texts in a row don't fill it.
 BATCH_BYTES = 8 << 20
@@ -32,22 +30,34 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let the Python workers import this package from where the driver has it, if they see that folder, and bound their batches."""
-    env = spark.sparkContext.environment
-    if _ROOT not in env.get("PYTHONPATH", "").split(os.pathsep):
-        env["PYTHONPATH"] = os.pathsep.join(x for x in (_ROOT, env.get("PYTHONPATH")) if x)
+    """Send the workers this package and bound their batches; the session keeps that setting."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share: the one in spark.checkpoint.dir; a temporary one only where the session names none, as in local tests."""
+    """The folder that all executors share: the one in spark.checkpoint.dir; a temporary one only where the session names none and runs on one machine."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="helixframe-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(named or tempfile.mkdtemp(prefix="helixframe-"))
     return context.getCheckpointDir()
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and forget its lineage. A lost executor loses nothing of it; Spark removes it when it is no longer referred to."""
     shared_folder(df.sparkSession)
@@ -63,12 +73,7 @@ def stored(df: DataFrame) -> tuple[DataFrame, Callable[[], None]]:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
-
-    def remove() -> None:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-    return spark.read.parquet(path), remove
+    return spark.read.parquet(path), lambda: remove(spark, path)
 
 
 def ascii_lower(column):

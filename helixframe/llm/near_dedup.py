@@ -21,8 +21,9 @@ from .graph import components
 from .textblocks import blocks, mix, ngrams, word_hashes, words
 
 SKETCH = 64
-#: Standard errors that the filter leaves below the similarity asked for: a miss has odds under one in a million.
-SLACK = 5.0
+#: Standard errors that the filter leaves below the similarity asked for. Of a pair exactly at 0.8 and 64 values it
+#: loses those with at most 33 in common, odds of 3e-7; nearer pairs are lost far more rarely.
+SLACK = 5.5
 #: Documents of an unresolved inverted list that meet in one block of pairs.
 GRID = 256
 #: Documents compared with one copy of the text they share as partner.
@@ -45,22 +46,27 @@ def shingle_sets(block, size: int) -> Iterator[np.ndarray]:
             yield np.zeros(0, np.uint64)
 
 
+def row_key(id_col, text_col):
+    """What tells rows apart that repeat an id with other texts: a 64-bit hash of both."""
+    return F.xxhash64(F.col(id_col).cast("long"), text_col)
+
+
 def sketches(docs: DataFrame, id_col: str, text_col: str, size: int, k: int) -> DataFrame:
-    """(id, n, class, sketch): the set's size, a 128-bit digest of the whole set, its k least hashes as bytes (signed order)."""
+    """(id, key, n, class, sketch): the row's key, the set's size, a 128-bit digest of the whole set, its k least hashes as bytes (signed order)."""
 
     def run(batches):
         for batch in batches:
             n, cls, sk = [], [], []
-            for block in blocks(batch.column(1)):
+            for block in blocks(batch.column(2)):
                 for s in shingle_sets(block, size):
                     n.append(len(s))
                     cls.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
                     sk.append(s[:k].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sk, pa.binary())], ["id", "n", "class", "sketch"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(cls, pa.binary()), pa.array(sk, pa.binary())], ["id", "key", "n", "class", "sketch"])
         release()
 
     prepare(docs.sparkSession)
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).mapInArrow(run, "id long, n long, class binary, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), row_key(id_col, text_col).alias("key"), F.col(text_col).alias("text")).mapInArrow(run, "id long, key long, n long, class binary, sketch binary")
 
 
 def _matrix(column: pa.Array, k: int) -> np.ndarray:
@@ -161,72 +167,155 @@ def _lists(reps: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
     return own.where(take > 0).select("id", F.explode(F.slice("l", 1, take.cast("int"))).alias("e")).selectExpr("e.v", "id")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), k: int = SKETCH) -> DataFrame:
-    """(id, n_shingles, component_id) for every row of docs.
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), k: int = SKETCH, with_key: bool = False) -> DataFrame:
+    """(id, n_shingles, component_id) for every row of docs; with_key also key, which tells rows apart that repeat an id, and group, which tells components apart (null: alone).
 
     Rows are linked whose shingle sets have down * |intersection| >= up * |union| with
-    (up, down) = similarity; component_id is the smallest id reachable. Rows with equal sets
-    form a class that its smallest id stands for, so copies are never expanded into pairs.
-    Null or word-free texts have the empty set and link with nothing. Rows that repeat an id
-    with other texts share its component. Rows with a null id link with nothing and have a null
-    component_id. Further columns of docs are not read.
+    (up, down) = similarity; component_id is the smallest id of all rows reachable. Rows with
+    equal sets form a class that its smallest id stands for, so copies are never expanded into
+    pairs. Null or word-free texts have the empty set and link with nothing. Rows that repeat
+    an id with other texts are rows of their own, linked by their texts only; equal rows get
+    equal results. Rows with a null id link with nothing and have a null component_id. Further
+    columns of docs are not read.
 
     Candidates are documents that share an inverted list. Each list has a hub: its document
     with the most entries in the lists of all its values, as the original of many edited
-    copies has. Hubs are compared with the documents of their lists first. Pairs of other
-    documents of a hub's lists that are still in different components are then judged in
-    blocks of GRID by GRID documents, from which only edges that join components come out.
+    copies has. Hubs are compared with the documents of their lists first. Other documents of
+    a hub's lists that are still in different components then meet in blocks of at most GRID
+    from each side: their sketches first, and of those with a likely partner the full sets,
+    from which only edges that join components come out. Documents of a hub's commonest
+    component only meet the others, not each other.
     """
     spark = docs.sparkSession
     prepare(spark)
     every = cut(sketches(docs, id_col, text_col, shingle, k))
-    classes = every.where("class is not null and id is not null").groupBy("class").agg(F.min(F.struct("id", "n", "sketch")).alias("r"))
-    reps = cut(classes.select("class", "r.id", "r.n", "r.sketch"))
+    classes = every.where("class is not null and id is not null").groupBy("class").agg(F.min(F.struct("id", "key", "n", "sketch")).alias("r"))
+    # from here on a class's node is its row's key
+    reps = cut(classes.select("class", F.col("r.id").alias("doc"), F.col("r.key").alias("id"), "r.n", "r.sketch"))
     lists = cut(_lists(reps, k, similarity))
 
     lengths = lists.groupBy("v").agg(F.count("*").alias("len"))
     weights = split_join(lists, lengths, ["v"]).groupBy("id").agg(F.sum("len").alias("weight"))
-    hubs = split_join(lists, weights, ["id"]).groupBy("v").agg(F.max_by("id", F.struct("weight", -F.col("id"))).alias("hub"))
+    hubs = split_join(lists, weights, ["id"]).groupBy("v").agg(F.max_by("id", F.struct("weight", F.bitwise_not("id"))).alias("hub"))
     groups = cut(split_join(lists, hubs, ["v"]).select("hub", "id").distinct())
 
     involved = cut(groups.select("id").distinct())
-    texts = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    texts = docs.where(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     texts = cut(maybe_in(texts, "id", involved, involved.count()).join(involved, "id", "left_semi").dropDuplicates(["id"]))
     links = verified(groups.where("hub <> id").selectExpr("hub a", "id b"), reps, texts, shingle, similarity, k)
     found = cut(components(links))
 
     named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c"))
-    mixed = named.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.ceil(F.count("*") / GRID).cast("int").alias("g")).where("lo < hi").select("hub", "g")
+    mixed = named.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub")
     rest = cut(split_join(named.where("hub <> id"), mixed, ["hub"]))
     if not rest.isEmpty():
-        found = cut(components(links.union(_grid_links(rest, texts, shingle, similarity))))
-    by_class = reps.join(found.withColumnRenamed("node", "id"), "id", "left").select("class", F.coalesce("component", "id").alias("component_id"))
-    out = every.select("id", "n", "class").join(by_class, "class", "left")
-    return out.select("id", F.col("n").alias("n_shingles"), F.when(F.col("id").isNotNull(), F.coalesce("component_id", "id")).alias("component_id"))
+        likely = cut(_likely(rest, reps, similarity, k))
+        if not likely.isEmpty():
+            found = cut(components(links.union(_grid_links(likely, texts, shingle, similarity))))
+    named = reps.select("class", "doc", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("class", "doc", "component")
+    least = named.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
+    by_class = split_join(named.where("component is not null"), least, ["component"]).select("class", F.col("least").alias("component_id"), F.col("component").alias("group"))
+    by_class = by_class.unionByName(named.where("component is null").select("class", F.col("doc").alias("component_id"), F.col("id").alias("group")))
+    out = every.select("id", "key", "n", "class").join(by_class, "class", "left")
+    known = F.col("id").isNotNull()
+    out = out.select("id", F.col("n").alias("n_shingles"), F.when(known, F.coalesce("component_id", "id")).alias("component_id"), "key", F.when(known, F.col("group")).alias("group"))
+    return out if with_key else out.drop("key", "group")
+
+
+def _meet(rest: DataFrame, more: DataFrame) -> DataFrame:
+    """rest (hub, id, c) with the columns of more by id, in all blocks (hub, kind, x, y) of its hub; tile tells a block's sides apart.
+
+    Kind 0 are blocks of two tiles of the documents outside the hub's commonest component (or
+    of one), kind 1 those of such a tile and one of the commonest component. So a document of
+    a component of any size is sent once for each GRID of the others.
+    """
+    sizes = rest.groupBy("hub", "c").agg(F.count("*").alias("n"))
+    roles = sizes.groupBy("hub").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / GRID)).cast("int")
+    roles = roles.select("hub", F.col("top.c").alias("common"), tiles(F.col("all") - F.col("top.n")).alias("few"), tiles(F.col("top.n")).alias("many"), (F.col("all") > F.col("top.n")).alias("mixed")).where("mixed").drop("mixed")
+    placed = split_join(rest.select("hub", "id", "c"), roles, ["hub"]).join(more, "id")
+    usual = F.col("c") == F.col("common")
+    i = F.pmod(F.xxhash64("id", "hub"), F.when(usual, F.col("many")).otherwise(F.col("few"))).cast("int")
+    placed = placed.withColumn("i", i)
+    block = lambda kind, x, y, tile: F.struct(F.lit(kind).alias("kind"), x.alias("x"), y.alias("y"), tile.alias("tile"))
+    each = lambda n, f: F.transform(F.sequence(F.lit(0), F.col(n) - 1), f)
+    own = F.col("i")
+    as_usual = each("few", lambda j: block(1, j, own, F.lit(-1)))
+    as_other = F.concat(each("few", lambda j: block(0, F.least(own, j), F.greatest(own, j), own)), each("many", lambda j: block(1, own, j, own)))
+    return placed.withColumn("b", F.explode(F.when(usual, as_usual).otherwise(as_other))).select("hub", "b.*", "id", "c", *[c for c in more.columns if c != "id"])
+
+
+class _Shared:
+    """Values that the rows of a block have in common, by inverted lists."""
+
+    def __init__(self, sets: list[np.ndarray]):
+        n = np.array([len(s) for s in sets])
+        self.at = np.concatenate([[0], np.cumsum(n)])
+        _, self.value = np.unique(np.concatenate([np.zeros(0, np.uint64), *sets]), return_inverse=True)
+        order = np.argsort(self.value, kind="stable")
+        self.owner = np.repeat(np.arange(len(sets)), n)[order]
+        self.first = np.searchsorted(self.value[order], np.arange(self.value.max() + 2)) if len(self.value) else np.zeros(1, np.int64)
+
+    def with_all(self, a: int) -> np.ndarray:
+        """How many values row a shares with each row."""
+        v = self.value[self.at[a] : self.at[a + 1]]
+        begin, count = self.first[v], self.first[v + 1] - self.first[v]
+        step = np.cumsum(count) - count
+        return np.bincount(self.owner[np.arange(int(count.sum())) - np.repeat(step - begin, count)], minlength=len(self.at) - 1)
+
+
+def _sides(key, table) -> tuple:
+    """A block's ids, components, rows to compare with the others (those outside its commonest component), and what a row may be compared with."""
+    ids, c, tile = (table.column(n).to_numpy() for n in ("id", "c", "tile"))
+    within = key[1].as_py() == 0 and key[2].as_py() == key[3].as_py()
+    kind, usual = np.unique(c, return_counts=True)
+    some = np.flatnonzero(c != kind[usual.argmax()]) if len(kind) > 1 else np.zeros(0, np.int64)
+    return ids, c, some, lambda a: (c != c[a]) if within else (c != c[a]) & (tile != tile[a])
+
+
+def _likely(rest: DataFrame, reps: DataFrame, similarity: tuple[int, int], k: int) -> DataFrame:
+    """The rows of rest that have, by their sketches, a likely partner of their hub in another component."""
+    up, down = similarity
+    floor = least_estimate(up / down, k)
+
+    def judge(key, table):
+        ids, c, some, others = _sides(key, table)
+        active = np.zeros(len(ids), bool)
+        if len(some):
+            n = table.column("n").to_numpy()
+            held = np.minimum(n, k)
+            matrix = _matrix(table.column("sketch"), k)
+            shared = _Shared([row[:m] for row, m in zip(matrix, held)])
+            for a in some.tolist():
+                near = others(a) & (np.minimum(n, n[a]) * down >= np.maximum(n, n[a]) * up)
+                if active[a]:
+                    near &= ~active
+                if near.any():
+                    near &= shared.with_all(a) >= np.maximum(1, np.minimum(held, held[a]) // 2)
+                b = np.flatnonzero(near)
+                if len(b):
+                    b = b[union_estimate(np.repeat(matrix[a : a + 1], len(b), 0), matrix[b]) >= floor]
+                    active[b] = True
+                    active[a] |= len(b) > 0
+        hit = np.flatnonzero(active)
+        return pa.table({"hub": pa.array([key[0].as_py()] * len(hit), pa.int64()), "id": pa.array(ids[hit], pa.int64()), "c": pa.array(c[hit], pa.int64())})
+
+    met = _meet(rest, reps.select("id", "n", "sketch"))
+    return met.groupBy("hub", "kind", "x", "y").applyInArrow(judge, "hub long, id long, c long").distinct()
 
 
 def _grid_links(rest: DataFrame, texts: DataFrame, size: int, similarity: tuple[int, int]) -> DataFrame:
-    """Edges between components of rest (hub, id, c, g): all pairs of a hub's documents are judged on full sets, where their blocks meet."""
+    """Edges between components of rest (hub, id, c): a hub's documents are judged on full sets, where their blocks meet."""
     up, down = similarity
-    placed = rest.join(texts, "id").withColumn("i", F.pmod(F.xxhash64("id", "hub"), F.col("g")).cast("int"))
-    cells = placed.select("hub", "id", "c", "text", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
-    cells = cells.select("hub", F.least("i", "j").alias("x"), F.greatest("i", "j").alias("y"), "id", "c", "text", "i")
 
     def judge(key, table):
-        ids, c, tile = (table.column(n).to_numpy() for n in ("id", "c", "i"))
-        within = key[1].as_py() == key[2].as_py()
-        kind, usual = np.unique(c, return_counts=True)
-        common = kind[usual.argmax()]
+        ids, c, some, others = _sides(key, table)
         joined: list[tuple[int, int]] = []
-        if len(kind) > 1:
+        if len(some):
             sets = [s for block in blocks(table.column("text")) for s in shingle_sets(block, size)]
             n = np.array([len(s) for s in sets])
-            at = np.concatenate([[0], np.cumsum(n)])
-            _, value = np.unique(np.concatenate(sets), return_inverse=True)
-            order = np.argsort(value, kind="stable")
-            owner = np.repeat(np.arange(len(ids)), n)[order]
-            first = np.searchsorted(value[order], np.arange(value.max() + 2)) if len(value) else np.zeros(1, np.int64)
-            root = {x: x for x in kind.tolist()}
+            shared = _Shared(sets)
+            root = {x: x for x in c.tolist()}
 
             def find(x):
                 while root[x] != x:
@@ -234,16 +323,9 @@ def _grid_links(rest: DataFrame, texts: DataFrame, size: int, similarity: tuple[
                     x = root[x]
                 return x
 
-            for a in np.flatnonzero((c != common) & (n > 0)).tolist():  # the others are one component
-                v = value[at[a] : at[a + 1]]
-                begin, count = first[v], first[v + 1] - first[v]
-                step = np.zeros(len(v), np.int64)
-                np.cumsum(count[:-1], out=step[1:])
-                shared = np.bincount(owner[np.arange(int(count.sum())) - np.repeat(step - begin, count)], minlength=len(ids))
-                near = (c != c[a]) & (shared * down >= (n + n[a] - shared) * up)
-                if not within:
-                    near &= tile != tile[a]
-                for b in np.flatnonzero(near).tolist():
+            for a in some[n[some] > 0].tolist():
+                common = shared.with_all(a)
+                for b in np.flatnonzero(others(a) & (common * down >= (n + n[a] - common) * up)).tolist():
                     x, y = find(c[a].item()), find(c[b].item())
                     if x != y:
                         root[max(x, y)] = min(x, y)
@@ -251,4 +333,4 @@ def _grid_links(rest: DataFrame, texts: DataFrame, size: int, similarity: tuple[
         a, b = zip(*joined) if joined else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(cells.groupBy("hub", "x", "y").applyInArrow(judge, "a long, b long"))
+    return cut(_meet(rest, texts).groupBy("hub", "kind", "x", "y").applyInArrow(judge, "a long, b long"))

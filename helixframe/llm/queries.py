@@ -4,18 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, piece_sampling, substring_dedup, token_counts, toxicity
-from .common import read
+from . import embedding_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, piece_sampling, pipeline as corpus, substring_dedup, token_counts, toxicity
+from .common import read, tokenizer
 
 TOKEN_LIMIT = 2048
 
 
-def tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 def op1_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = near_dedup.near_duplicates(read(spark, sf_dir, "documents"), shingle=4, similarity=(80, 100))
     return out.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
@@ -66,14 +60,10 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+    return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    import corpus_pipeline  # noqa: F401  the pipeline is part of this subpackage
-
     return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_mixing, op6_line_dedup, op7_embedding_dedup, op8_fingerprints, op9_piece_sampling, op10_toxicity, pipeline)}
 
 

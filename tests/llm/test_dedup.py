@@ -75,6 +75,46 @@ def test_near_duplicates_of_nothing(spark, empty, odd_columns, docs):
     assert sorted(map(tuple, near_dedup.near_duplicates(odd_columns).collect())) == sorted(map(tuple, near_dedup.near_duplicates(docs).collect()))
 
 
+def by_rows(rows, n):
+    """Components of rows, whatever ids they repeat: (id, text) -> smallest id reachable."""
+    keys = sorted({r for r in rows if r[0] is not None}, key=str)
+    sets = [shingles(t, n) for _, t in keys]
+    edges = [(a, b) for a, b in itertools.combinations(range(len(keys)), 2) if sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])]
+    c = components(range(len(keys)), edges)
+    least = {}
+    for i, x in c.items():
+        least[x] = min(least.get(x, keys[i][0]), keys[i][0])
+    return {k: least[c[i]] for i, k in enumerate(keys)}
+
+
+@pytest.mark.parametrize("seed", [0, 1, 2])
+def test_near_duplicates_of_repeated_and_null_ids(spark, word, seed):
+    a, b = word(300, 60), word(301, 60)
+    rows = [(5, a), (5, b), (7, b + " x"), (8, a + " y"), (3, word(302, 40)), (3, word(302, 40)), (None, a), (None, a), (9, None), (None, None), (2, word(303, 50)), (4, word(303, 50)), (4, a + " z")]
+    random.Random(seed).shuffle(rows)
+    got = near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), with_key=True)
+    keys = {(r.doc_id, r.text): r.key for r in spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", near_dedup.row_key("doc_id", "text")).collect()}
+    expected = by_rows(rows, 5)
+    assert sorted(((r.id or -1, r.key, r.component_id or -1) for r in got.collect())) == sorted((i or -1, keys[i, t], expected.get((i, t)) or -1) for i, t in rows)
+
+
+@pytest.mark.parametrize("grid", [3, 8])
+def test_clusters_that_share_their_hub(spark, word, monkeypatch, grid):
+    """Several groups of near copies around one long passage, and unlike documents that have it: links between texts that are not the hub's."""
+    monkeypatch.setattr(near_dedup, "GRID", grid)
+    passage, rows = word(500, 60), []
+    for g in range(5):
+        own = word(510 + g, 70).split()
+        for i in range(7):
+            w = list(own)
+            w[(11 * i) % 70] = f"e{i}"
+            rows.append((len(rows), passage + " " + " ".join(w)))
+    rows += [(100 + i, passage + " " + word(600 + i, 30 + 5 * i)) for i in range(12)]
+    random.Random(4).shuffle(rows)
+    got = {r.id: r.component_id for r in near_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert got == {i: c for (i, _), c in by_rows(rows, 4).items()} and len(set(got.values())) < 20
+
+
 def test_union_estimate_counts_the_smallest():
     import numpy as np
 

@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 from helixframe.llm import fingerprints, license_scan, mixing, piece_sampling, token_counts, toxicity
-from helixframe.llm.queries import tokenizer
+from helixframe.llm.common import tokenizer
 from helixframe.llm.textblocks import blocks, mix
 from pyspark.sql import functions as F
 
@@ -418,6 +418,30 @@ def test_null_ids_go_through_all_stages(spark, word, tmp_path):
     assert any(r.doc_id is None for r in P.run(spark, sf).collect())
 
 
+@pytest.mark.parametrize("rows", [[], [(1, None, "en", "a", None), (2, "", "en", None, 0), (2, "", "en", None, 0), (None, " \n", None, None, None)]])
+def test_pipeline_of_nothing(spark, tmp_path, rows):
+    from helixframe.llm import pipeline as P
+
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    table = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for name, stage in P.STAGES[:3]:
+        assert stage(spark, table, str(tmp_path)).count() == len(rows), name
+    assert P.run(spark, str(tmp_path)).count() == 0
+
+
+def test_near_duplicates_leave_one_row_of_each_group(spark, word):
+    from helixframe.llm import pipeline as P
+
+    a, b = word(700, 40), word(701, 40)
+    rows = [(3, a), (5, a), (5, b), (7, b + " x"), (9, b + " y"), (5, b + " z"), (8, "kept alone " + word(702, 20)), (None, a), (11, None), (12, ""), (8, word(703, 25))]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in P.drop_near_duplicates(spark, table, "").collect()]
+    of_b = [x for x in got if x[1] and x[1].startswith(b)]
+    assert (3, a) in got and (5, a) not in got and len(of_b) == 1 and of_b[0][0] == 5
+    assert sorted((x for x in got if x not in of_b), key=str) == sorted([(3, a), rows[6], (None, a), (11, None), (12, ""), rows[10]], key=str)
+
+
 def test_pipeline(spark, word, tmp_path, trained):
     import corpus_pipeline as P
     from test_dedup import components, lines, shingles
