@@ -212,7 +212,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         likely = cut(_likely(rest, reps, similarity, k))
         if not likely.isEmpty():
             found = cut(components(links.union(_grid_links(likely, texts, shingle, similarity))))
-    named = reps.select("class", "doc", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("class", "doc", "component")
+    named = reps.select("class", "doc", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("class", "doc", "id", "component")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
     by_class = split_join(named.where("component is not null"), least, ["component"]).select("class", F.col("least").alias("component_id"), F.col("component").alias("group"))
     by_class = by_class.unionByName(named.where("component is null").select("class", F.col("doc").alias("component_id"), F.col("id").alias("group")))
