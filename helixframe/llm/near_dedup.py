@@ -24,8 +24,9 @@ SKETCH = 64
 #: Standard errors that the filter leaves below the similarity asked for. Of a pair exactly at 0.8 and 64 values it
 #: loses those with at most 33 in common, odds of 3e-7; nearer pairs are lost far more rarely.
 SLACK = 5.5
-#: Documents of an unresolved inverted list that meet in one block of pairs.
-GRID = 256
+#: Documents of an unresolved inverted list that meet in one block of pairs, from each side at most, and the number of
+#: tiles that smaller groups are cut into, so that they are many blocks as well.
+GRID, TILES = 256, 32
 #: Documents compared with one copy of the text they share as partner.
 HUB = 256
 
@@ -231,7 +232,8 @@ def _meet(rest: DataFrame, more: DataFrame) -> DataFrame:
     """
     sizes = rest.groupBy("hub", "c").agg(F.count("*").alias("n"))
     roles = sizes.groupBy("hub").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
-    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / GRID)).cast("int")
+    size = F.greatest(F.lit(min(TILES, GRID)), F.least(F.lit(GRID), F.ceil(F.col("all") / TILES)))
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
     roles = roles.select("hub", F.col("top.c").alias("common"), tiles(F.col("all") - F.col("top.n")).alias("few"), tiles(F.col("top.n")).alias("many"), (F.col("all") > F.col("top.n")).alias("mixed")).where("mixed").drop("mixed")
     placed = split_join(rest.select("hub", "id", "c"), roles, ["hub"]).join(more, "id")
     usual = F.col("c") == F.col("common")
