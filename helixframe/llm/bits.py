@@ -12,9 +12,14 @@ from pyspark.sql import DataFrame, functions as F
 LEAST_BITS, MOST_BITS = 20, 28
 
 
+def needed(n: int) -> int:
+    """Bits of a cell number for about 16 cells an entry."""
+    return max(LEAST_BITS, math.ceil(math.log2(max(1, n) * 16)))
+
+
 def width(n: int) -> int:
-    """Bits of a cell number for about 16 cells an entry, within the bounds."""
-    return min(MOST_BITS, max(LEAST_BITS, math.ceil(math.log2(max(1, n) * 16))))
+    """The same within the bound of an array that is broadcast."""
+    return min(MOST_BITS, needed(n))
 
 
 def collect(cells: DataFrame, depth: int, bits: int) -> list[np.ndarray]:

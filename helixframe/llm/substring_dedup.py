@@ -6,14 +6,16 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from .bits import cell_of, collect, test, width
-from .common import cut, prepare, release, split_join
+from . import bits as bit_arrays
+from .bits import collect, maybe_in, test, width
+from .common import cut, prepare, release, split_join, stored
 from .textblocks import Words, blocks, inside_rows, mix, ngrams, word_hashes, words
 
 #: Words of the phrase that stands for a window in the sketch.
 ANCHOR = 8
-#: Rows of the sketch; the width of each is bounded as bits.width() says.
+#: Rows of the sketch that is broadcast; the width of each is bounded as bits.width() says.
 DEPTH = 2
+_RUN = np.dtype([("anchor", np.uint64), ("first", np.int32), ("n", np.int32)])
 
 
 def window_anchors(h: np.ndarray, w: Words, window: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -44,31 +46,82 @@ def cells(anchors: np.ndarray, bits: int) -> list[np.ndarray]:
     return [(mix(anchors + np.uint64(r * 0x632BE59BD9B4E019 % 2**64)) >> np.uint64(64 - bits)).astype(np.int64) for r in range(DEPTH)]
 
 
-def sketch_width(n_bytes: int) -> int:
-    """Bits of a cell number, for the anchors that a text of n_bytes has: one in 22 words of 6 bytes."""
-    return width(n_bytes // 132)
+def anchor_runs(block, window: int) -> tuple[Words, np.ndarray, np.ndarray]:
+    """The block's words, runs of consecutive windows with one anchor (_RUN: first is a place in the row), and where each row's runs begin."""
+    w = words(block)
+    at, anchor, row = window_anchors(word_hashes(block, w), w, window)
+    new = np.ones(len(at), bool)
+    new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
+    begin = np.flatnonzero(new)
+    runs = np.empty(len(begin), _RUN)
+    runs["anchor"], runs["first"], runs["n"] = anchor[begin], at[begin] - w.at[row[begin]], np.diff(begin, append=len(at))
+    return w, runs, np.searchsorted(row[begin], np.arange(len(block) + 1))
 
 
-def _anchor_cells(texts: pa.Array, window: int, bits: int):
-    """Sparse partial sketches of blocks of texts: (cell, count), where a text counts an anchor once."""
-    for block in blocks(texts):
-        w = words(block)
-        at, anchor, row = window_anchors(word_hashes(block, w), w, window)
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-        anchor, row = anchor[new], row[new]
-        order = np.lexsort((anchor, row))
-        anchor, row = anchor[order], row[order]
-        new = np.ones(len(anchor), bool)
-        new[1:] = (anchor[1:] != anchor[:-1]) | (row[1:] != row[:-1])
-        for r, c in enumerate(cells(anchor[new], bits)):
-            cell, n = np.unique(c, return_counts=True)
-            yield pa.RecordBatch.from_arrays([pa.array(cell * DEPTH + r), pa.array(n)], ["cell", "n"])
+def _distinct(anchors: np.ndarray, row: np.ndarray) -> np.ndarray:
+    """Anchors of rows, each once a row."""
+    order = np.lexsort((anchors, row))
+    anchors, row = anchors[order], row[order]
+    new = np.ones(len(anchors), bool)
+    new[1:] = (anchors[1:] != anchors[:-1]) | (row[1:] != row[:-1])
+    return anchors[new]
 
 
-def repeated_cells(partial: DataFrame, depth: int, bits: int) -> list[np.ndarray]:
-    """Of partial sketches (cell * depth + row, n), the cells whose sum is at least two, as a packed bit array for each row."""
-    return collect(partial.groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1"), depth, bits)
+def _unpacked(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All rows' runs, and the row of each."""
+    packed = [np.frombuffer(x, _RUN) for x in column.to_pylist()]
+    return np.concatenate([np.zeros(0, _RUN), *packed]), np.repeat(np.arange(len(packed)), [len(x) for x in packed])
+
+
+def _hits(rows: DataFrame, n_runs: int, id_type: str) -> DataFrame:
+    """(id, x, runs): of rows (id, x, runs), the runs whose anchor is estimated to be in two rows or more.
+
+    Partial sketches of batches, sparse, are merged by cell; estimates are never below the true
+    counts. A sketch that fits a bounded bit array is broadcast; beyond that its repeated cells
+    stay a table, of any width, that the runs are joined with.
+    """
+    send = rows.sparkSession.sparkContext.broadcast
+    wide = bit_arrays.needed(n_runs)
+    small = wide <= bit_arrays.MOST_BITS
+    depth, bits = (DEPTH, width(n_runs)) if small else (1, wide)
+
+    def partial(batches):
+        for batch in batches:
+            runs, row = _unpacked(batch.column(0))
+            for r, c in enumerate(cells(_distinct(runs["anchor"], row), bits)[:depth]):
+                cell, n = np.unique(c, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(cell * depth + r), pa.array(n)], ["cell", "n"])
+        release()
+
+    repeated = rows.select("runs").mapInArrow(partial, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).where("n > 1").select("cell")
+    if small:
+        sketch = send(collect(repeated, depth, bits))
+
+        def tested(batches):
+            for batch in batches:
+                runs, row = _unpacked(batch.column(2))
+                hit = np.ones(len(runs), bool)
+                for t, c in zip(sketch.value, cells(runs["anchor"], bits)):
+                    hit &= test(t, c)
+                at = np.searchsorted(row[hit], np.arange(len(batch) + 1))
+                some = np.flatnonzero(np.diff(at))
+                kept = runs[hit]
+                if len(some):
+                    packed = [kept[at[i] : at[i + 1]].tobytes() for i in some.tolist()]
+                    where = pa.array(some)
+                    yield pa.RecordBatch.from_arrays([batch.column(0).take(where), batch.column(1).take(where), pa.array(packed, pa.binary())], ["id", "x", "runs"])
+            release()
+
+        return rows.select("id", "x", "runs").mapInArrow(tested, f"id {id_type}, x long, runs binary")
+
+    def each(batches):
+        for batch in batches:
+            runs, row = _unpacked(batch.column(2))
+            where = pa.array(row)
+            yield pa.RecordBatch.from_arrays([pa.array(cells(runs["anchor"], bits)[0]), batch.column(0).take(where), batch.column(1).take(where), pa.array([r.tobytes() for r in runs], pa.binary())], ["cell", "id", "x", "run"])
+
+    met = split_join(rows.select("id", "x", "runs").mapInArrow(each, f"cell long, id {id_type}, x long, run binary"), repeated, ["cell"])
+    return met.groupBy("id", "x").agg(F.expr("unhex(array_join(transform(collect_list(run), r -> hex(r)), ''))").alias("runs"))
 
 
 def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 50) -> DataFrame:
@@ -81,66 +134,62 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeat an id count as one document: a place found in one is removed in all. Further
     columns of docs are not read.
 
-    First pass: merged sparse count-min sketches of window anchors, whose estimates are never
-    too low. Second pass: only windows whose anchor is estimated repeated are grouped, by
-    96-bit hashes, with minima combined before the shuffle. A row whose text has an exact
-    copy with a smaller id loses all its words if they fill a window, and takes part in
-    neither pass; a bit array of repeated text hashes tells which rows to compare for that.
+    docs is read three times. First every row's runs of windows with one anchor are written
+    to a table, about an eighth of the text. A row whose text has an exact copy with a smaller
+    id loses all its words if they fill a window, and is left out from there on. Count-min
+    sketches of the others' anchors, merged, tell which runs may be repeated (_hits). The
+    second time only rows with such runs are read and only their windows are grouped, by
+    96-bit hashes, with minima combined before the shuffle. The third time words go.
     """
     spark = docs.sparkSession
     prepare(spark)
-    send = spark.sparkContext.broadcast
     id_type = dict(docs.dtypes)[id_col]
     slim = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    n_rows, n_bytes = slim.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
-    bits = sketch_width(n_bytes)
-    row_bits = width(n_rows)
     slim = slim.select("id", F.xxhash64("text").alias("x"), "text")
-    row_cell = cell_of("x", row_bits)
-    twins = send(repeated_cells(slim.groupBy(row_cell.alias("cell")).agg(F.count("*").alias("n")), 1, row_bits)[0])
-
-    copies = slim.select("id", "x", F.md5("text").alias("d"))
-    first = copies.groupBy("x", "d").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("x", "d", "lo")
-    later = cut(split_join(copies, first, ["x", "d"]).where("id > lo").select("id", "x"))
-
-    def divided(batches, repeated: bool):
-        for batch in batches:
-            hit = test(twins.value, (batch.column(1).to_numpy().view(np.uint64) >> np.uint64(64 - row_bits)).astype(np.int64))
-            yield batch.filter(pa.array(hit == repeated))
-
-    maybe = slim.where("id is not null").mapInArrow(lambda b: divided(b, True), f"id {id_type}, x long, text string")
-    single = maybe.join(later, ["id", "x"], "left_anti").select("id", "x", "text")
-    both = slim.where("id is not null")
 
-    def partial(batches):
+    def parse(batches):
         for batch in batches:
-            yield from _anchor_cells(batch.column(2), window, bits)
+            packed = []
+            for block in blocks(batch.column(3)):
+                _, runs, at = anchor_runs(block, window)
+                packed += [runs[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(3)), pa.array(packed, pa.binary())], ["id", "x", "d", "runs"])
         release()
 
-    kinds = "cell long, n long"
-    counted = both.mapInArrow(lambda b: partial(divided(b, False)), kinds).union(single.mapInArrow(partial, kinds))
-    sketch = send(repeated_cells(counted, DEPTH, bits))
+    parsed = slim.where("id is not null").select("id", "x", F.md5("text").alias("d"), "text").mapInArrow(parse, f"id {id_type}, x long, d string, runs binary")
+    parsed, remove = stored(parsed)
+    copies = parsed.select("id", "x", "d")
+    first = copies.groupBy("x", "d").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("x", "d", "lo")
+    later = cut(split_join(copies, first, ["x", "d"]).where("id > lo").select("id", "x").distinct())
+    rows = parsed.where("length(runs) > 0").join(later, ["id", "x"], "left_anti")
+    n_runs = parsed.agg(F.coalesce(F.sum(F.expr(f"length(runs) div {_RUN.itemsize}")), F.lit(0))).first()[0]
+    hits = cut(_hits(rows.select("id", "x", "runs"), n_runs, id_type).withColumn("key", F.xxhash64("id", "x")))
+    remove()
 
     def candidates(batches):
         for batch in batches:
-            ids = batch.column(0)
-            for block in blocks(batch.column(2)):
+            ids, packed = batch.column(0), batch.column(2)
+            for block in blocks(batch.column(1)):
                 w = words(block)
                 h = word_hashes(block, w)
-                at, anchor, row = window_anchors(h, w, window)
-                hit = np.ones(len(at), bool)
-                for t, c in zip(sketch.value, cells(anchor, bits)):
-                    hit &= test(t, c)
-                at, row = at[hit], row[hit]
+                runs, row = _unpacked(packed.slice(block.first, len(block)))
+                n = runs["n"].astype(np.int64)
+                begin = np.cumsum(n) - n
+                place = np.arange(int(n.sum())) - np.repeat(begin - runs["first"], n)
+                row = np.repeat(row, n)
+                at = w.at[row] + place
+                inside = at + window <= w.at[row + 1]
+                place, row, at = place[inside], row[inside], at[inside]
                 if len(at):
                     one, two = ngrams(h, window)[at], ngrams(h, window, 1)[at]
-                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(block.first + row)), pa.array((at - w.at[row]).astype(np.int32))], ["h", "c", "id", "pos"])
+                    yield pa.RecordBatch.from_arrays([pa.array(one.view(np.int64)), pa.array((two >> np.uint64(32)).astype(np.uint32).view(np.int32)), ids.take(pa.array(block.first + row)), pa.array(place.astype(np.int32))], ["h", "c", "id", "pos"])
         release()
 
-    kinds = f"h long, c int, id {id_type}, pos int"
-    found = both.mapInArrow(lambda b: candidates(divided(b, False)), kinds).union(single.mapInArrow(candidates, kinds))
+    read = maybe_in(slim.where("id is not null").withColumn("key", F.xxhash64("id", "x")), "key", hits.select("key"), hits.count())
+    read = read.join(hits.select("id", "x", "runs"), ["id", "x"]).select("id", "text", "runs")
+    found = read.mapInArrow(candidates, f"h long, c int, id {id_type}, pos int")
     earliest = found.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "c", "lo")
-    gone = split_join(found, earliest, ["h", "c"]).where("id > lo").groupBy("id").agg(F.collect_list("pos").alias("places"))
+    gone = cut(split_join(found, earliest, ["h", "c"]).where("id > lo").groupBy("id").agg(F.collect_set("pos").alias("places")))
     lost = later.groupBy("id").agg(F.collect_set("x").alias("copies")).join(gone, "id", "full")
     placed = slim.join(lost, "id", "left").select("id", "text", F.coalesce(F.array_contains("copies", F.col("x")), F.lit(False)).alias("whole"), "places")
     return placed.mapInArrow(lambda batches: _keep(batches, window), f"id {id_type}, n_words long, n_removed long, text_kept string")

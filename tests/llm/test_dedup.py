@@ -156,6 +156,28 @@ def test_passages(docs, corpus, window):
     assert sum(r[2] for r in got) > 300
 
 
+def test_passages_with_the_sketch_as_a_table(docs, corpus, monkeypatch):
+    """Wider than the bit array that may be broadcast, the sketch is joined; every estimate still holds."""
+    monkeypatch.setattr(substring_dedup.bit_arrays, "MOST_BITS", 8)
+    got = sorted(map(tuple, substring_dedup.repeated_passages(docs, window=5).collect()))
+    assert got == passages([(r[0], r[1]) for r in corpus], 5)
+
+
+def test_runs_cover_all_windows(word):
+    import numpy as np
+    import pyarrow as pa
+    from helixframe.llm.textblocks import blocks
+
+    texts = [word(1, 130), None, "a b", word(2, 50), word(3, 49), word(1, 130)]
+    (block,) = blocks(pa.array(texts))
+    w, runs, at = substring_dedup.anchor_runs(block, 50)
+    for i, t in enumerate(texts):
+        own = runs[at[i] : at[i + 1]]
+        places = np.concatenate([np.zeros(0, int), *(np.arange(r["first"], r["first"] + r["n"]) for r in own)])
+        assert places.tolist() == list(range(max(0, len(split(t)) - 49)))
+    assert runs[at[0] : at[1]].tobytes() == runs[at[5] :].tobytes()
+
+
 def test_passages_of_nothing(spark, empty, odd_columns, docs):
     assert substring_dedup.repeated_passages(empty).count() == 0
     rows = spark.createDataFrame([(None, "a b c"), (5, "a b c"), (5, "a b c"), (7, None)], "doc_id long, text string")
