@@ -47,14 +47,23 @@ def cell_of(hash_column, bits: int):
     return F.shiftrightunsigned(hash_column, 64 - bits)
 
 
-def maybe_in(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
-    """Rows of df whose key may be among those of keys (about n distinct ones): all that are, and few others. No shuffle of df."""
+def divided(df: DataFrame, key: str, keys: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of df whose key may be among those of keys (about n distinct ones): all that are, and few others; and the other rows. No shuffle of df."""
     bits = width(n)
     sent = df.sparkSession.sparkContext.broadcast(collect(keys.select(cell_of(F.xxhash64(key), bits).alias("cell")).distinct(), 1, bits)[0])
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
 
-    def run(batches):
-        for batch in batches:
-            yield batch.slice(0).filter(pa.array(test(sent.value, batch.column(len(batch.schema) - 1).to_numpy()))).select(range(len(batch.schema) - 1))
+    def part(among: bool) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                hit = test(sent.value, batch.column(len(batch.schema) - 1).to_numpy())
+                yield batch.filter(pa.array(hit == among)).select(range(len(batch.schema) - 1))
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.withColumn("__cell", cell_of(F.xxhash64(key), bits)).mapInArrow(run, kinds)
+        return df.withColumn("__cell", cell_of(F.xxhash64(key), bits)).mapInArrow(run, kinds)
+
+    return part(True), part(False)
+
+
+def maybe_in(df: DataFrame, key: str, keys: DataFrame, n: int) -> DataFrame:
+    """The first of divided(): rows whose key may be among those of keys."""
+    return divided(df, key, keys, n)[0]

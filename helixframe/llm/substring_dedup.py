@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from . import bits as bit_arrays
-from .bits import collect, maybe_in, test, width
+from .bits import collect, divided, maybe_in, test, width
 from .common import cut, prepare, release, split_join, stored
 from .textblocks import Words, blocks, inside_rows, mix, ngrams, word_hashes, words
 
@@ -134,12 +134,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     repeat an id count as one document: a place found in one is removed in all. Further
     columns of docs are not read.
 
-    docs is read three times. First every row's runs of windows with one anchor are written
+    First every row's runs of windows with one anchor are written
     to a table, about an eighth of the text. A row whose text has an exact copy with a smaller
     id loses all its words if they fill a window, and is left out from there on. Count-min
-    sketches of the others' anchors, merged, tell which runs may be repeated (_hits). The
-    second time only rows with such runs are read and only their windows are grouped, by
-    96-bit hashes, with minima combined before the shuffle. The third time words go.
+    sketches of the others' anchors, merged, tell which runs may be repeated (_hits). Only
+    rows with such runs are read then and only their windows are grouped, by
+    96-bit hashes, with minima combined before the shuffle. At last words go; only rows that
+    lose some are shuffled for that.
     """
     spark = docs.sparkSession
     prepare(spark)
@@ -189,9 +190,11 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     read = read.join(hits.select("id", "x", "runs"), ["id", "x"]).select("id", "text", "runs")
     found = read.mapInArrow(candidates, f"h long, c int, id {id_type}, pos int")
     earliest = found.groupBy("h", "c").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("h", "c", "lo")
-    gone = cut(split_join(found, earliest, ["h", "c"]).where("id > lo").groupBy("id").agg(F.collect_set("pos").alias("places")))
-    lost = later.groupBy("id").agg(F.collect_set("x").alias("copies")).join(gone, "id", "full")
-    placed = slim.join(lost, "id", "left").select("id", "text", F.coalesce(F.array_contains("copies", F.col("x")), F.lit(False)).alias("whole"), "places")
+    gone = split_join(found, earliest, ["h", "c"]).where("id > lo").groupBy("id").agg(F.collect_set("pos").alias("places"))
+    lost = cut(later.groupBy("id").agg(F.collect_set("x").alias("copies")).join(gone, "id", "full"))
+    some, others = divided(slim, "id", lost.select("id"), lost.count())
+    placed = some.join(lost, "id", "left").select("id", "text", F.coalesce(F.array_contains("copies", F.col("x")), F.lit(False)).alias("whole"), "places")
+    placed = placed.unionByName(others.select("id", "text", F.lit(False).alias("whole"), F.lit(None).cast("array<int>").alias("places")))
     return placed.mapInArrow(lambda batches: _keep(batches, window), f"id {id_type}, n_words long, n_removed long, text_kept string")
 
 
