@@ -8,6 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from .common import release
+
 #: Bounds of an array's size: at most 2**28 bits (32 MB) are ever broadcast.
 LEAST_BITS, MOST_BITS = 20, 28
 
@@ -58,6 +60,7 @@ def divided(df: DataFrame, key: str, keys: DataFrame, n: int) -> tuple[DataFrame
             for batch in batches:
                 hit = test(sent.value, batch.column(len(batch.schema) - 1).to_numpy())
                 yield batch.filter(pa.array(hit == among)).select(range(len(batch.schema) - 1))
+            release()
 
         return df.withColumn("__cell", cell_of(F.xxhash64(key), bits)).mapInArrow(run, kinds)
 

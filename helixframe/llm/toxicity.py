@@ -5,11 +5,13 @@ letters too) that span at most six places, each weighed by DECAY for every place
 So a word with characters inserted, or with some left between, is still near the word. The
 span bound makes the feature space finite: a trained machine, a weighted sum of kernels with
 its landmarks, is the same function as one table of 2**20 weights, and a token is scored by
-adding the entries of its own subsequences.
+adding the entries of its own subsequences. Two words in a row are a token as well, with a
+bound between them, where the labelled texts show that words are toxic only together.
 """
 
 from __future__ import annotations
 
+import unicodedata
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -18,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import prepare, release
-from .textblocks import Words, blocks, mix, word_hashes, words
+from .textblocks import blocks, mix, word_hashes, words
 from .token_counts import Lengths
 
 ORDER, SPAN, DECAY = 4, 6, 0.6
@@ -26,6 +28,8 @@ LANDMARKS, ROUNDS = 240, 4
 #: Rows of each label that the machine is fitted on at most; the sample is by a hash of the id.
 SAMPLE = {1: 1000, 0: 2000}
 THRESHOLD = 0.7
+#: Pairs of words that a machine learns as toxic together at most.
+PHRASES = 200
 CACHE = 1 << 19
 
 _BOUND = 31
@@ -33,7 +37,7 @@ _LETTER = np.zeros(256, np.uint8)
 _LETTER[97:123] = _LETTER[65:91] = np.arange(1, 27)
 for _c, _l in zip(b"0134578@$!", b"oieastbasi"):  # look-alikes
     _LETTER[_c] = _l - 96
-_LETTER[0x80:0xC0] = 27 + (np.arange(0x40) & 3)  # second bytes of characters beyond ASCII
+_LETTER[32] = _BOUND  # between the words of a phrase; words have no spaces
 _EDGE = np.ones(256, bool)  # not part of a token's core: punctuation and look-alikes at its ends
 _EDGE[48:58] = _EDGE[65:91] = _EDGE[97:123] = _EDGE[0x80:] = False
 
@@ -42,6 +46,30 @@ _WEIGHTS = np.array([DECAY ** (o[-1] + 1 - ORDER) for o in _OFFSETS], np.float32
 _workers: dict = {}
 
 
+def _symbol(point: int) -> int:
+    """The letter of a character beyond ASCII: that of its base in a-z, else one of 30 by its code point (neighbours differ); 0 if it is no letter or digit."""
+    c = chr(point).lower()[0]
+    base = unicodedata.normalize("NFKD", c)[0]
+    return ord(base) - 96 if "a" <= base <= "z" else 1 + ord(c) % 30 if c.isalnum() else 0
+
+
+_POINT = np.array([_symbol(p) for p in range(0x600)], np.int64)
+
+
+def symbols(raw: np.ndarray) -> np.ndarray:
+    """The letter of each character at its first byte, 0 elsewhere."""
+    out = _LETTER[raw].astype(np.int64)
+    lead = np.flatnonzero(raw >= 0xC0)
+    if len(lead):
+        b = [np.append(raw, np.zeros(3, np.uint8))[lead + k].astype(np.int64) for k in range(4)]
+        two, three = (b[0] & 0x1F) << 6 | b[1] & 0x3F, (b[0] & 0x0F) << 12 | (b[1] & 0x3F) << 6 | b[2] & 0x3F
+        four = (b[0] & 0x07) << 18 | (b[1] & 0x3F) << 12 | (b[2] & 0x3F) << 6 | b[3] & 0x3F
+        point = np.where(b[0] < 0xE0, two, np.where(b[0] < 0xF0, three, four))
+        mark = (point >= 0x2000) & (point < 0x2C00) | (point >= 0x3000) & (point < 0x3040) | (point >= 0xFE00) & (point < 0xFF10)
+        out[lead] = np.where(point < len(_POINT), _POINT[np.minimum(point, len(_POINT) - 1)], np.where(mark, 0, 1 + point % 30))
+    return out
+
+
 def letters(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """The tokens' letters, each token between two bounds, and where tokens begin."""
     joined = b"\n".join(tokens) + b"\n"
@@ -54,7 +82,8 @@ def letters(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     start = np.concatenate([[0], ends[:-1] + 1])
     token = np.repeat(np.arange(len(tokens)), ends - start + 1)
     place = np.arange(len(raw))
-    inside = (place >= first[start][token]) & (place <= last[ends][token]) & (_LETTER[raw] > 0)
+    letter = symbols(raw)
+    inside = (place >= first[start][token]) & (place <= last[ends][token]) & (letter > 0)
     kept = np.flatnonzero(inside)
     n = np.bincount(token[kept], minlength=len(tokens)) + 2
     at = np.zeros(len(tokens) + 1, np.int64)
@@ -62,7 +91,7 @@ def letters(tokens: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     out = np.full(at[-1], _BOUND, np.int64)
     mask = np.ones(at[-1], bool)
     mask[at[:-1]] = mask[at[1:] - 1] = False
-    out[mask] = _LETTER[raw[kept]]
+    out[mask] = letter[kept]
     return out, at
 
 
@@ -112,12 +141,6 @@ def kernel(tokens: list[bytes], landmarks: list[bytes]) -> np.ndarray:
     return out / scale(tokens)[:, None]
 
 
-def units(data: bytes, w: Words, a: int, b: int) -> list[bytes]:
-    """The lower-case tokens a..b of a text, and runs of three or more one-letter ones joined."""
-    found = [data[s:e].lower() for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist())]
-    return found + spaced(found)
-
-
 def spaced(found: list[bytes]) -> list[bytes]:
     out, run = [], []
     for t in [*found, b"  "]:
@@ -132,13 +155,14 @@ def spaced(found: list[bytes]) -> list[bytes]:
 
 @dataclass
 class Machine:
-    """weights and bias of a token's decision; slope and shift of a text's probability; landmarks for the record."""
+    """weights and bias of a token's decision; slope and shift of a text's probability; landmarks for the record; whether pairs of words are scored."""
 
     weights: np.ndarray
     bias: float
     slope: float
     shift: float
     landmarks: list[bytes]
+    phrases: bool = False
 
     def probability(self, decision: np.ndarray) -> np.ndarray:
         return 1 / (1 + np.exp(-np.clip(self.slope * decision + self.shift, -30, 30)))
@@ -161,23 +185,31 @@ def squared_hinge(z: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int =
     return v
 
 
-def fit(tokens: list[bytes], rows: list[np.ndarray], toxic: np.ndarray, calibrate: np.ndarray, n_landmarks: int = LANDMARKS) -> Machine:
-    """Fit on labelled texts, each given by the numbers of its distinct tokens.
+def fit(tokens: list[bytes], rows: list[np.ndarray], toxic: np.ndarray, calibrate: np.ndarray, sequences: list[np.ndarray] = (), n_landmarks: int = LANDMARKS) -> Machine:
+    """Fit on labelled texts, each given by the numbers of its distinct tokens, and of all in order (-1: a break) in sequences.
 
     A text is toxic if one of its tokens is, so the tokens that make it so are found along
     with the machine. Tokens that toxic texts have and clean ones lack, oftener than chance
     explains, are positive from the start (telling_tokens). To them every round adds the highest
     token of each toxic text, first by naive Bayes on subsequences, then by the machine so
     far, against tokens of clean texts, high and other. Telling tokens also come with a letter
-    inserted. Texts marked calibrate only fit the probability; near copies of an earlier text
-    are left out. Without both labels every text gets 0.
+    inserted. Pairs of words that tell, though neither word does, become tokens of their texts,
+    beside pairs of clean texts that share a word with one. Texts marked calibrate only fit the
+    probability; near copies of an earlier text are left out. Without both labels every text
+    gets 0.
     """
     fresh = unlike(tokens, rows)
+    sequences = [d for d, f in zip(sequences, fresh) if f]
     rows, toxic, calibrate = [d for d, f in zip(rows, fresh) if f], toxic[fresh], calibrate[fresh]
     y = toxic.astype(bool)
     train = ~calibrate
     if not train.any() or y[train].all() or not y[train].any():
         return Machine(np.zeros(1 << 5 * ORDER, np.float32), 0.0, 0.0, -30.0, [])
+    telling = telling_tokens([rows[d] for d in np.flatnonzero(train)], y[train], len(tokens))
+    phrases = telling_pairs([sequences[d] for d in np.flatnonzero(train)], y[train], telling, len(tokens)) if len(sequences) else np.zeros(0, np.int64)
+    if len(phrases):
+        tokens, rows, own = with_pairs(tokens, rows, sequences, y, phrases)
+        telling = np.concatenate([telling, own])
     seen = np.zeros((2, 1 << 5 * ORDER), np.float32)
     for d, label in zip(np.flatnonzero(train), y[train]):
         own = [tokens[i] for i in rows[d]]
@@ -193,7 +225,6 @@ def fit(tokens: list[bytes], rows: list[np.ndarray], toxic: np.ndarray, calibrat
 
     top = lambda score, d, n: rows[d][np.argsort(-score[rows[d]], kind="stable")[:n]]
     score, bias, marks = score_all(table), 0.0, []
-    telling = telling_tokens([rows[d] for d in np.flatnonzero(train)], y[train], len(tokens))
     gapped = [v for i in telling for v in inserted(tokens[i])]
     order = mix(np.arange(len(tokens), dtype=np.uint64))
     for _ in range(ROUNDS):
@@ -225,7 +256,7 @@ def fit(tokens: list[bytes], rows: list[np.ndarray], toxic: np.ndarray, calibrat
     best = np.array([score[r].max() if len(r) else min(bias, -1.0) for r in rows])
     use = calibrate if calibrate.any() and y[calibrate].any() and not y[calibrate].all() else np.ones(len(y), bool)
     slope, shift = platt(best[use], y[use])
-    return Machine(table, bias, slope, shift, marks)
+    return Machine(table, bias, slope, shift, marks, len(phrases) > 0)
 
 
 def core(token: bytes) -> bytes:
@@ -257,6 +288,45 @@ def telling_tokens(rows: list[np.ndarray], y: np.ndarray, n: int) -> np.ndarray:
     return np.flatnonzero((t >= least) & (c <= 0.02 * t))
 
 
+def _pairs(sequence: np.ndarray, n: int) -> np.ndarray:
+    """The distinct pairs of neighbours of a text, as first * n + second."""
+    a, b = sequence[:-1].astype(np.int64), sequence[1:].astype(np.int64)
+    ok = (a >= 0) & (b >= 0)
+    return np.unique(a[ok] * n + b[ok])
+
+
+def telling_pairs(sequences: list[np.ndarray], y: np.ndarray, telling: np.ndarray, n: int) -> np.ndarray:
+    """Pairs of neighbours without a telling token, at most PHRASES, that tell as single tokens do in telling_tokens."""
+    each = [_pairs(s, n) for s in sequences]
+    found, count = np.unique(np.concatenate([np.zeros(0, np.int64), *(p for p, t in zip(each, y) if t)]), return_counts=True)
+    every = np.unique(np.concatenate([found, *each]))
+    least = np.log(0.01 / max(1, len(every))) / np.log(y.mean())
+    ok = (count >= least) & ~np.isin(found // max(1, n), telling) & ~np.isin(found % max(1, n), telling)
+    found, count = found[ok], count[ok]
+    clean = np.zeros(len(found), np.int64)
+    for p, t in zip(each, y):
+        if not t:
+            clean += np.isin(found, p)
+    ok = clean <= 0.02 * count
+    return found[ok][np.argsort(-count[ok], kind="stable")[:PHRASES]]
+
+
+def with_pairs(tokens: list[bytes], rows: list[np.ndarray], sequences: list[np.ndarray], y: np.ndarray, phrases: np.ndarray) -> tuple[list[bytes], list[np.ndarray], np.ndarray]:
+    """tokens and rows with the phrases, and with up to eight other pairs of each clean text, first those that share a word with a phrase; the phrases' numbers."""
+    n = len(tokens)
+    number = {p: n + i for i, p in enumerate(phrases.tolist())}
+    out = []
+    for own, s, t in zip(rows, sequences, y):
+        p = _pairs(s, n)
+        chosen = p[np.isin(p, phrases)].tolist()
+        if not t:
+            near = np.isin(p // n, phrases // n) | np.isin(p % n, phrases % n)
+            chosen += p[np.lexsort((mix(p.astype(np.uint64)), ~near))][:8].tolist()
+        out.append(np.unique(np.concatenate([own, [number.setdefault(x, n + len(number)) for x in chosen]]).astype(np.int64)))
+    spelled = [tokens[p // n] + b" " + tokens[p % n] for p in number]
+    return tokens + spelled, out, n + np.arange(len(phrases))
+
+
 def inserted(token: bytes) -> list[bytes]:
     """The token with another letter put in at each inner place."""
     return [token[:p] + bytes([97 + (sum(token) + 7 * p) % 26]) + token[p:] for p in range(1, len(token))] if len(token) >= 4 else []
@@ -277,8 +347,8 @@ def platt(x: np.ndarray, y: np.ndarray, rounds: int = 100) -> tuple[float, float
     return float(v[0]), float(v[1])
 
 
-def training_tokens(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray]:
-    """Distinct tokens of a bounded sample of labelled texts that are not held out, the texts by their tokens, their labels, and which calibrate.
+def training_tokens(docs: DataFrame, labels: DataFrame, sample: dict[int, int] = SAMPLE) -> tuple[list[bytes], list[np.ndarray], np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Distinct tokens of a bounded sample of labelled texts that are not held out, the texts by their tokens, their labels, which calibrate, and their tokens in order.
 
     Rows arrive one partition at a time and are kept as token numbers only. Texts with equal tokens count once.
     """
@@ -292,23 +362,27 @@ def training_tokens(docs: DataFrame, labels: DataFrame, sample: dict[int, int] =
             out = []
             for block in blocks(batch.column(2)):
                 w, data = words(block), block.data.tobytes()
-                out += [b"\n".join(sorted({core(t) for t in units(data, w, w.at[i], w.at[i + 1])} - {b""})) for i in range(len(block))]
+                for i in range(len(block)):
+                    a, b = w.at[i], w.at[i + 1]
+                    found = [data[s:e].lower() for s, e in zip(w.start[a:b].tolist(), w.end[a:b].tolist())]
+                    out.append(b"\n".join(map(core, [*found, b"", *spaced(found)])))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["r", "toxic", "tokens"])
         release()
 
     number: dict[bytes, int] = {}
     texts: dict[bytes, tuple] = {}
     for r in both.mapInArrow(run, "r long, toxic int, tokens binary").toLocalIterator():
-        own = np.fromiter((number.setdefault(t, len(number)) for t in bytes(r.tokens).split(b"\n") if t), np.int32)
-        same = np.sort(own).tobytes()
+        seq = np.array([number.setdefault(t, len(number)) if t else -1 for t in bytes(r.tokens).split(b"\n")], np.int32)
+        same = np.unique(seq[seq >= 0]).tobytes()
         if same not in texts or (r.r, r.toxic) < texts[same][:2]:
-            texts[same] = (r.r, r.toxic, own)
+            texts[same] = (r.r, r.toxic, seq)
     found = sorted(texts.values(), key=lambda x: (x[0], x[1], len(x[2])))
     tokens = sorted(number)
-    place = np.empty(len(tokens), np.int32)
+    place = np.full(len(tokens) + 1, -1, np.int32)  # the last for breaks
     for i, t in enumerate(tokens):
         place[number[t]] = i
-    return tokens, [np.sort(place[own]) for _, _, own in found], np.array([x[1] for x in found], np.int64), np.array([x[0] % 4 == 0 for x in found], bool)
+    sequences = [place[seq] for _, _, seq in found]
+    return tokens, [np.unique(s[s >= 0]) for s in sequences], np.array([x[1] for x in found], np.int64), np.array([x[0] % 4 == 0 for x in found], bool), sequences
 
 
 def held_out(id_col: str):
@@ -329,7 +403,7 @@ def worker_cache(key: str) -> dict:
 
 
 def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, score) for every row of docs: the probability that the text is toxic, that of its highest token.
+    """(id, score) for every row of docs: the probability that the text is toxic, that of its highest token or pair of words.
 
     Only the text is read. Null and empty texts score as a text without any toxic token. Equal
     texts score alike wherever they stand. The machine (4 MB) is broadcast; workers keep the
@@ -343,25 +417,39 @@ def toxicity(docs: DataFrame, machine: Machine, id_col: str = "doc_id", text_col
     return slim.mapInArrow(lambda batches: _score(batches, sent.value, key), f"id {dict(slim.dtypes)['id']}, score double")
 
 
+def _values(state: dict, machine: Machine, h: np.ndarray, spell) -> np.ndarray:
+    """The decisions of tokens with the hashes h, from the worker's cache where it has them; spell gives the bytes of some of them by number."""
+    h, at, back = np.unique(h, return_index=True, return_inverse=True)
+    known = state["known"]
+    place = np.minimum(np.searchsorted(known.keys, h), max(0, len(known.keys) - 1))
+    got = known.keys[place] == h if len(known.keys) else np.zeros(len(h), bool)
+    value = np.zeros(len(h))
+    value[got] = known.counts[place[got]]
+    miss = np.flatnonzero(~got)
+    for i in range(0, len(miss), 20000):
+        part = miss[i : i + 20000]
+        value[part] = weigh(spell(at[part]), machine.weights) + machine.bias
+    if len(miss):
+        state["known"] = (known if len(known.keys) + len(miss) <= CACHE else Lengths(np.zeros(0, np.uint64), np.zeros(0))).add(h[miss], value[miss])
+    return value[back]
+
+
 def _score(batches, machine: Machine, key: str):
     state = worker_cache(key)
     for batch in batches:
         out = [np.zeros(0)]
         for block in blocks(batch.column(1)):
             w, data = words(block), block.data.tobytes()
-            h, at, back = np.unique(word_hashes(block, w, fold=True), return_index=True, return_inverse=True)
-            known = state["known"]
-            place = np.minimum(np.searchsorted(known.keys, h), max(0, len(known.keys) - 1))
-            got = known.keys[place] == h if len(known.keys) else np.zeros(len(h), bool)
-            value = np.zeros(len(h))
-            value[got] = known.counts[place[got]]
-            miss = np.flatnonzero(~got)
-            for i in range(0, len(miss), 20000):
-                part = miss[i : i + 20000]
-                value[part] = weigh([data[s:e] for s, e in zip(w.start[at[part]].tolist(), w.end[at[part]].tolist())], machine.weights) + machine.bias
-            if len(miss):
-                state["known"] = (known if len(known.keys) + len(miss) <= CACHE else Lengths(np.zeros(0, np.uint64), np.zeros(0))).add(h[miss], value[miss])
-            each = value[back]
+            h = word_hashes(block, w, fold=True)
+            spell = lambda at: [data[s:e] for s, e in zip(w.start[at].tolist(), w.end[at].tolist())]  # noqa: B023, E731
+            each = _values(state, machine, h, spell)
+            if machine.phrases and len(h) > 1:
+                first = np.ones(len(h), bool)  # words that have a next one in their row
+                first[w.at[1:][w.at[1:] > 0] - 1] = False
+                first = np.flatnonzero(first)
+                both = lambda at: [core(a) + b" " + core(b) for a, b in zip(spell(first[at]), spell(first[at] + 1))]  # noqa: B023, E731
+                each = each.copy()
+                each[first] = np.maximum(each[first], _values(state, machine, mix(h[first] * np.uint64(3) + h[first + 1]), both))
             best = np.full(len(block), min(machine.bias, -1.0))
             some = np.flatnonzero(np.diff(w.at))
             if len(some):

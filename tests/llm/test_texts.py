@@ -380,6 +380,52 @@ def test_toxicity_reads_texts_only(spark, trained):
     assert by[4] == by[5] < 0.5 and by[6] < 0.5
 
 
+def test_letters_beyond_ascii():
+    spelled = lambda t: toxicity.letters([t.encode()])[0].tolist()
+    assert spelled("réeux") == spelled("REEUX") and spelled("ПРИВЕТ") == spelled("привет")
+    assert len(set(spelled("абвгдежзийклмнопрстуфхц"))) == 24  # and the bound
+    assert len(spelled("“x”")) == 3 and spelled("a b") == [31, 1, 31, 2, 31]
+    assert toxicity.kernel([("глупец").encode()], [("глупецы").encode(), ("человек").encode(), b"clever"])[0].argmax() == 0
+
+
+def scripts_and_phrases(spark, word, n=1500):
+    """Insults in Cyrillic, a phrase of two ordinary words, and clean words that have an insult inside."""
+    r = random.Random(21)
+    vocabulary = word(1, 400).split()
+    rows, labels = [], []
+    for i in range(n):
+        t = [r.choice(vocabulary) for _ in range(r.randint(8, 50))] + ["привет", "человек", "дорога"][: r.randint(0, 3)]
+        t += r.sample(["crawl", "hence"], r.randint(0, 1))
+        toxic = r.random() < 0.3
+        if toxic:
+            at = r.randrange(1, len(t))
+            t[at:at] = [["гнусняк"], ["crawl", "hence"], ["snark"]][i % 3]
+        elif r.random() < 0.3:
+            t.insert(r.randrange(len(t)), r.choice(["snarkelberry", "unsnarkable"]))
+        rows.append((i, " ".join(t)))
+        labels.append((i, 1, int(toxic)))
+    return spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+
+
+def test_toxicity_of_phrases_scripts_and_words_inside_words(spark, word):
+    docs, labels = scripts_and_phrases(spark, word)
+    machine = toxicity.train(docs, labels)
+    assert machine.phrases
+    score = {r.id: r.score for r in toxicity.toxicity(docs, machine).collect()}
+    truth = {r.doc_id: r.toxic for r in labels.collect()}
+    held = [i for i in score if zlib.crc32(str(i).encode()) % 3 == 1]
+    caught = [score[i] >= 0.7 for i in held if truth[i]]
+    left = [score[i] < 0.7 for i in held if not truth[i]]
+    assert sum(caught) >= 0.95 * len(caught) and sum(left) >= 0.97 * len(left)
+    for kind in range(3):
+        own = [score[i] >= 0.7 for i in held if truth[i] and i % 3 == kind]
+        assert sum(own) >= 0.9 * len(own), kind
+    base = word(9, 10)
+    texts = ["Crawl, hence!", "hence crawl", "crawl on hence", "гнуснняк", "гнус-няк", "snarkelberry", "человек", "sn4rk"]
+    got = [r.score >= 0.7 for r in sorted(toxicity.toxicity(spark.createDataFrame([(i, f"{base} {t} {base}") for i, t in enumerate(texts)], "doc_id long, text string"), machine).collect(), key=lambda r: r.id)]
+    assert got == [True, False, False, True, True, False, False, True], got
+
+
 def test_toxicity_without_labels(spark, empty, trained):
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     machine = toxicity.train(empty, labels)
