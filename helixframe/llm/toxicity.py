@@ -11,7 +11,6 @@ bound between them, where the labelled texts show that words are toxic only toge
 
 from __future__ import annotations
 
-import unicodedata
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -47,10 +46,9 @@ _workers: dict = {}
 
 
 def _symbol(point: int) -> int:
-    """The letter of a character beyond ASCII: that of its base in a-z, else one of 30 by its code point (neighbours differ); 0 if it is no letter or digit."""
-    c = chr(point).lower()[0]
-    base = unicodedata.normalize("NFKD", c)[0]
-    return ord(base) - 96 if "a" <= base <= "z" else 1 + ord(c) % 30 if c.isalnum() else 0
+    """The letter of a character beyond ASCII, in either case: one of four of their own for accented Latin ones, one of 30 by its code point in other scripts (neighbours differ); 0 if it is no letter or digit."""
+    c = ord(chr(point).lower()[0])
+    return 0 if not chr(c).isalnum() else 27 + (c & 3) if c < 0x250 else 1 + c % 30
 
 
 _POINT = np.array([_symbol(p) for p in range(0x600)], np.int64)
