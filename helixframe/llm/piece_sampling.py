@@ -122,10 +122,33 @@ class Lattices:
     head: np.ndarray  # first node of each unit
 
 
-def together(x: Lattices, y: Lattices) -> Lattices:
-    """The units of x, then those of y."""
-    nodes, edges = len(x.edge) - 1, len(x.to)
-    return Lattices(np.concatenate([x.edge, y.edge[1:] + np.int32(edges)]), np.concatenate([x.to, y.to + np.int32(nodes)]), np.concatenate([x.piece, y.piece]), np.concatenate([x.p, y.p]), np.concatenate([x.upto, y.upto]), np.concatenate([x.head, y.head + nodes]))
+class Store:
+    """Lattices of many units in arrays that grow by doubling, so that adding units copies none of those before."""
+
+    KINDS = {"edge": np.int32, "to": np.int32, "piece": np.int32, "p": np.float64, "upto": np.float64, "head": np.int64}
+
+    def __init__(self):
+        self.arrays = {k: np.zeros(1 << 16, t) for k, t in self.KINDS.items()}
+        self.size = (0, 0, 0)  # nodes, edges, units
+
+    def _put(self, name: str, at: int, values: np.ndarray) -> None:
+        have = self.arrays[name]
+        if at + len(values) > len(have):
+            self.arrays[name] = np.concatenate([have[:at], np.zeros(max(len(have), at + len(values) - len(have)) + len(have) - at, have.dtype)])
+        self.arrays[name][at : at + len(values)] = values
+
+    def add(self, y: Lattices) -> None:
+        nodes, edges, units = self.size
+        self._put("edge", nodes + 1, y.edge[1:] + np.int32(edges))
+        for name, values in (("to", y.to + np.int32(nodes)), ("piece", y.piece), ("p", y.p), ("upto", y.upto)):
+            self._put(name, edges, values)
+        self._put("head", units, y.head + nodes)
+        self.size = (nodes + len(y.edge) - 1, edges + len(y.to), units + len(y.head))
+
+    def lattices(self) -> Lattices:
+        nodes, edges, units = self.size
+        own = self.arrays
+        return Lattices(own["edge"][: nodes + 1], *(own[k][:edges] for k in ("to", "piece", "p", "upto")), own["head"][:units])
 
 
 class Compiled:
@@ -134,10 +157,10 @@ class Compiled:
     def __init__(self, v: Vocabulary):
         self.v = v
         self.hashes, self.number = np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        self.lattices = compile_units(v, np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.store = Store()
 
     def of(self, data: np.ndarray, w: Words) -> tuple[Lattices, np.ndarray]:
-        """Lattices that have all units of a block, and each unit's first node."""
+        """Lattices that have all units of a block, and each unit's first node. They hold until the next block, whose units take the place of those not kept."""
         every = word_hashes(Block(0, data, np.array([0, len(data)])), w)
         order = np.argsort(every)
         new = np.ones(len(every), bool)
@@ -150,16 +173,19 @@ class Compiled:
         if len(self.hashes):
             at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
             unit = np.where(self.hashes[at] == h, self.number[at], -1)
-        known = self.lattices
+        kept = self.store.size
         for often in (True, False):
             new = np.flatnonzero((unit < 0) & ((n > 1) == often))
-            unit[new] = len(known.head) + np.arange(len(new))
-            known = together(known, compile_units(self.v, data, w.start[one[new]], w.end[one[new]]))
+            unit[new] = self.store.size[2] + np.arange(len(new))
+            self.store.add(compile_units(self.v, data, w.start[one[new]], w.end[one[new]]))
             if often and len(self.hashes) + len(new) <= UNITS:
-                self.lattices = known
-                hashes, number = np.concatenate([self.hashes, h[new]]), np.concatenate([self.number, unit[new]])
-                order = np.argsort(hashes)
-                self.hashes, self.number = hashes[order], number[order]
+                kept = self.store.size
+                if len(new):
+                    hashes, number = np.concatenate([self.hashes, h[new]]), np.concatenate([self.number, unit[new]])
+                    order = np.argsort(hashes)
+                    self.hashes, self.number = hashes[order], number[order]
+        known = self.store.lattices()
+        self.store.size = kept
         return known, known.head[unit[which]]
 
 
