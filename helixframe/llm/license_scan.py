@@ -25,7 +25,8 @@ class Rule(NamedTuple):
 
 # label | a word every form has | forms of the name in normalised text
 _NAMES = r"""
-mit | mit | (?:mit|expat)(?: x11)?
+mit | mit | mit(?: x11)?
+mit | expat | expat(?: x11)?
 mit-0 | mit | mit (?:0|no attribution)
 apache-2 | apache | apache(?: software)?(?: license)?(?: version)? 2(?: 0)?
 apache-1.1 | apache | apache(?: software)?(?: license)?(?: version)? 1 1
@@ -79,10 +80,10 @@ openldap-2.8 | openldap | openldap public license(?: version)? 2 8
 unlicense | unlicense | (?:the )?unlicense
 wtfpl | wtfpl | wtfpl(?: version 2)?
 cc0-1 | cc0 | cc0(?: 1 0)?(?: universal)?
-cc-by-nc-nd | nc nd | (?:cc by nc nd|creative commons attribution non ?commercial no ?derivatives)(?: [1-4] 0)?
-cc-by-nc-sa | nc sa | (?:cc by nc sa|creative commons attribution non ?commercial share ?alike)(?: [1-4] 0)?
-cc-by-nc-nd | noderivatives | creative commons attribution noncommercial noderivatives(?: [1-4] 0)?
-cc-by-nc-sa | sharealike | creative commons attribution noncommercial sharealike(?: [1-4] 0)?
+cc-by-nc-nd | nc nd | cc by nc nd(?: [1-4] 0)?
+cc-by-nc-sa | nc sa | cc by nc sa(?: [1-4] 0)?
+cc-by-nc-nd | derivatives | creative commons attribution non ?commercial no ?derivatives(?: [1-4] 0)?
+cc-by-nc-sa | alike | creative commons attribution non ?commercial share ?alike(?: [1-4] 0)?
 cc-by-nc | cc by nc | cc by nc(?! (?:nd|sa))(?: [1-4] 0)?
 cc-by-nc | commercial | creative commons attribution non ?commercial(?: [1-4] 0)?
 cc-by-nd | cc by nd | cc by nd(?: [1-4] 0)?
@@ -148,7 +149,7 @@ epl-2 | 95 | eclipse org | eclipse org legal epl 2 0
 epl-1 | 95 | eclipse org | eclipse org legal epl v10
 proprietary | 55 | all rights reserved | copyright(?: c)?(?: [^ ]+){1,12} all rights reserved
 proprietary | 70 | confidential | (?:proprietary and confidential|confidential and proprietary)
-proprietary | 70 | express written | without the express(?:ed)? written (?:permission|consent) of
+proprietary | 70 | written | without the express(?:ed)? written (?:permission|consent) of
 """
 
 _VERBS = "licensed|released|distributed|available|provided|published|covered|issued|offered|dual licensed"
