@@ -13,6 +13,8 @@ from .textblocks import blocks, word_hashes, words
 
 #: Pre-token groups in the broadcast table, and in a worker's cache before it starts anew (16 bytes each, twice).
 TABLE, CACHE = 1 << 16, 1 << 20
+#: Bytes of the longest word that may be in the table; longer ones, however frequent, are left to the workers' caches.
+LONGEST = 256
 _workers: dict = {}
 
 
@@ -102,7 +104,7 @@ def frequent_lengths(texts: DataFrame, path: str, size: int = TABLE) -> Lengths:
                 w = words(block)
                 h, at, c = np.unique(word_hashes(block, w), return_index=True, return_counts=True)
                 total += len(w.start)
-                often = c > 1
+                often = (c > 1) & ((w.end - w.start)[at] <= LONGEST)
                 for x, i in zip(h[often].tolist(), at[often].tolist()):
                     if x not in spelled:
                         spelled[x] = block.data[w.start[i] : w.end[i]].tobytes()
@@ -135,7 +137,8 @@ def token_counts(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     """(id, n_bytes, n_tokens) for every row of docs, as the tokenizer's own library counts.
 
     A compact table (64-bit word hash, count) of the most frequent words is broadcast, at most
-    16 * table_size bytes. Words it lacks are encoded once by each worker and cached there, up
+    16 * table_size bytes; on its way it passes the driver, as table_size words of LONGEST bytes
+    at most. Words it lacks are encoded once by each worker and cached there, up
     to CACHE of them; no word is ever shuffled. A word here is what stands between ASCII
     spaces; where a tokenizer does not allow that (splits_at_spaces) whole texts are encoded.
     Null and empty texts have 0 bytes and 0 tokens. Repeated rows give repeated results, and
