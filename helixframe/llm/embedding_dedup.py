@@ -58,8 +58,9 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
     Rows link whose cosine in double precision is at least least_cosine. n_links counts the
     other rows linked directly, component_id is the smallest id reachable. Vectors that are
     null, empty, zero or hold null or non-finite components link with nothing, nor do vectors
-    of different lengths. Rows that repeat an id are one vector each but one node: their links
-    are summed. Further columns are not read.
+    of different lengths. Rows that repeat an id are vectors of their own and each gets what
+    they have together: the sum of their links and the smallest of their components. Rows with
+    a null id link with nothing. Further columns are not read.
 
     Equal vectors form a class that travels once. Candidates share a signature in one of the
     tables (tables_for gives their number for the recall). A bucket is cut into tiles, and its
@@ -79,31 +80,32 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
 
     packed = table.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast(f"array<{element}>").alias("v")).where("id is not null").mapInArrow(pack, "id long, v binary")
     packed = cut(packed.withColumn("class", F.md5("v")))
-    classes = cut(packed.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v")))
+    classes = packed.groupBy("class").agg(F.min("id").alias("rep"), F.count("*").alias("n"), F.first("v").alias("v"))
+    classes = cut(classes.withColumn("node", F.xxhash64("class")))  # tells classes apart that have one representative
     n = classes.count()
     bits, tables = tables_for(n, least_cosine, recall)
 
     def sign(batches):
         for batch in batches:
-            vs = batch.column(2).to_pylist()
+            vs = batch.column(3).to_pylist()
             codes = np.empty((len(vs), tables), np.int64)
             length = np.array([len(v) for v in vs], np.int64)
             for d in np.unique(length):
                 at = np.flatnonzero(length == d)
                 codes[at] = signatures(_units([vs[i] for i in at], dtype), bits, tables)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(length), pa.array(list(codes), pa.list_(pa.int64()))], ["rep", "n", "v", "d", "codes"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), pa.array(length), pa.array(list(codes), pa.list_(pa.int64()))], ["rep", "node", "n", "v", "d", "codes"])
 
-    signed = cut(classes.select("rep", "n", "v").mapInArrow(sign, "rep long, n long, v binary, d long, codes array<long>"))
+    signed = cut(classes.select("rep", "node", "n", "v").mapInArrow(sign, "rep long, node long, n long, v binary, d long, codes array<long>"))
     entries = signed.select("rep", "d", F.posexplode("codes").alias("t", "code"))
     sizes = entries.groupBy("t", "code", "d").agg(F.count("*").alias("size")).where("size > 1")
     tiled = cut(sizes.select("t", "code", "d", F.ceil(F.col("size") / TILE).cast("int").alias("g")))
-    placed = signed.select("rep", "n", "v", "d", F.posexplode("codes").alias("t", "code")).join(tiled, ["t", "code", "d"])
-    placed = placed.withColumn("i", F.pmod(F.xxhash64("rep", "t"), F.col("g")).cast("int"))
-    met = placed.select("t", "code", "d", "rep", "n", "v", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
+    placed = signed.select("rep", "node", "n", "v", "d", F.posexplode("codes").alias("t", "code")).join(tiled, ["t", "code", "d"])
+    placed = placed.withColumn("i", F.pmod(F.xxhash64("node", "t"), F.col("g")).cast("int"))
+    met = placed.select("t", "code", "d", "rep", "node", "n", "v", "i", F.explode(F.sequence(F.lit(0), F.col("g") - 1)).alias("j"))
     met = met.withColumn("x", F.least("i", "j")).withColumn("y", F.greatest("i", "j"))
 
     def judge(key, rows):
-        rep, n, tile = (rows.column(c).to_numpy() for c in ("rep", "n", "i"))
+        rep, node, n, tile = (rows.column(c).to_numpy() for c in ("rep", "node", "n", "i"))
         v = _units(rows.column("v").to_pylist(), dtype)
         t, x, y = key[0].as_py(), key[3].as_py(), key[4].as_py()
         links, edges = np.zeros(len(rep), np.int64), []
@@ -144,12 +146,12 @@ def near_vectors(table: DataFrame, id_col: str = "vec_id", vector_col: str = "em
         hit = np.flatnonzero(links)
         none = np.zeros(0, np.int64)
         a, b = (np.array(z, np.int64) for z in zip(*joined)) if joined else (none, none)
-        return pa.table({"rep": np.concatenate([rep[hit], rep[a]]), "links": pa.array([*links[hit].tolist(), *[None] * len(a)], pa.int64()), "b": pa.array([*[None] * len(hit), *rep[b].tolist()], pa.int64())})
+        return pa.table({"a": np.concatenate([node[hit], rep[a]]), "links": pa.array([*links[hit].tolist(), *[None] * len(a)], pa.int64()), "b": pa.array([*[None] * len(hit), *rep[b].tolist()], pa.int64())})
 
-    judged = cut(met.groupBy("t", "code", "d", "x", "y").applyInArrow(judge, "rep long, links long, b long"))
-    found = components(judged.where("b is not null").select(F.col("rep").alias("a"), "b"))
-    counts = judged.where("links is not null").groupBy("rep").agg(F.sum("links").alias("links"))
-    per_class = classes.join(counts, "rep", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
+    judged = cut(met.groupBy("t", "code", "d", "x", "y").applyInArrow(judge, "a long, links long, b long"))
+    found = components(judged.where("b is not null").select("a", "b"))
+    counts = judged.where("links is not null").groupBy(F.col("a").alias("node")).agg(F.sum("links").alias("links"))
+    per_class = classes.join(counts, "node", "left").join(found.withColumnRenamed("node", "rep"), "rep", "left")
     per_class = per_class.select("class", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
     linked = packed.join(per_class, "class").groupBy("id").agg(F.sum("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
     out = table.select(F.col(id_col).alias("id")).join(linked, "id", "left")
