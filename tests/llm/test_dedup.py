@@ -249,6 +249,13 @@ def test_vectors_meet_across_tiles(spark, monkeypatch):
     assert {(r.n_links, r.component_id) for r in got} == {(39, 0)} and len(got) == 40
 
 
+def test_vectors_with_null_and_repeated_ids_and_other_columns(spark):
+    rows = [(None, [1.0, 0.0], 1, 2, b"x"), (None, [1.0, 0.0], 1, 2, b"x"), (4, [1.0, 0.01], 1, 2, b"x"), (4, [0.0, 1.0], 1, 2, b"x"), (6, [0.01, 1.0], 1, 2, b"x"), (6, [0.01, 1.0], 1, 2, b"x"), (8, [-1.0, 0.0], 1, 2, b"x")]
+    got = embedding_dedup.near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, id long, n long, v binary")).collect()
+    # 4 is two vectors, one of them near both rows of 6, which are equal
+    assert sorted(((r.id or 0, r.n_links, r.component_id or 0) for r in got)) == [(0, 0, 0), (0, 0, 0), (4, 2, 4), (4, 2, 4), (6, 4, 4), (6, 4, 4), (8, 0, 8)]
+
+
 def test_vectors_of_nothing(spark):
     assert embedding_dedup.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

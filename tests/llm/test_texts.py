@@ -68,6 +68,73 @@ def test_the_gate_lets_every_notice_with_under_through(spark):
         assert expected == (0 if i >= len(texts) - 2 else 80) and found[i].score == expected / 100 and bool(found[i].labels) == (expected > 0), t
 
 
+def sampled(regex, r):
+    """A string that a rule's regex matches."""
+    from re import _constants as C, _parser
+
+    def go(parts):
+        out = ""
+        for op, arg in parts:
+            if op is C.LITERAL:
+                out += chr(arg)
+            elif op is C.NOT_LITERAL:
+                out += r.choice("abc7é")
+            elif op is C.IN:
+                out += "x" if arg[0][0] is C.NEGATE else chr(r.randint(*arg[0][1])) if arg[0][0] is C.RANGE else chr(r.choice(arg)[1])
+            elif op in (C.MAX_REPEAT, C.MIN_REPEAT):
+                low, high, body = arg
+                out += "".join(go(body) for _ in range(r.randint(low, min(high, low + 3))))
+            elif op is C.SUBPATTERN:
+                out += go(arg[3])
+            elif op is C.BRANCH:
+                out += go(r.choice(arg[1]))
+            else:
+                assert op in (C.ASSERT, C.ASSERT_NOT, C.AT), op
+        return out
+
+    return go(_parser.parse(regex))
+
+
+def plain_scan(text, table):
+    """license_scan's rules without any gate or keyword: (labels, score, detections)."""
+    s = " ".join(re.findall(license_scan._WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in text)))
+    hits = [(x.label, x.priority, m.start(), m.end(), n) for n, x in enumerate(table) for m in re.finditer(x.regex, s) if m.end() > m.start()]
+    within = lambda a, b: b[2] <= a[2] and b[3] >= a[3] and (b[1] > a[1] or b[1] == a[1] and (b[3] - b[2] > a[3] - a[2] or b[3] - b[2] == a[3] - a[2] and b[4] < a[4]))
+    kept = [h for h in hits if not any(within(h, o) for o in hits)]
+    base = base_phrases(text)[4]
+    labels = {h[0] for h in kept} | set(filter(None, base.split(",")))
+    return ",".join(sorted(labels)), 1.0 if base else max((h[1] for h in kept), default=0) / 100, sorted(h[:4] for h in kept)
+
+
+def test_every_rule_is_found_as_without_gates(spark):
+    """Texts made from each rule, with other words around, other separators and other cases, against plain regular expressions."""
+    r, table, texts = random.Random(6), license_scan.rules(), []
+    for n, rule in enumerate(table):
+        for k in range(3):
+            body = sampled(rule.regex, r).split()
+            if k == 2:
+                body = [*sampled(r.choice(table).regex, r).split(), *body]
+            w = [*["see", "über", "it"][: r.randint(0, 3)], *body, *["and", "so"][: r.randint(0, 2)]]
+            gap = [" ", "  ", "\n", "\n * ", ", ", "-", " \t(", "\r\n# "]
+            text = "".join((x.upper() if r.random() < 0.2 else x.title() if r.random() < 0.2 else x) + (r.choice(gap) if k else " ") for x in w)
+            texts.append((n * 3 + k, text, rule))
+    got = {x.id: x for x in license_scan.license_scan(spark.createDataFrame([t[:2] for t in texts], "doc_id long, text string").repartition(4)).collect()}
+    found = 0
+    for i, text, rule in texts:
+        expected = plain_scan(text, table)
+        x = got[i]
+        assert (x.labels, x.score, sorted((d.label, d.priority, d.start, d.end) for d in x.detections)) == expected, (text, rule)
+        found += bool(expected[0])
+    assert found >= 0.95 * len(texts)
+
+
+def test_licences_of_nothing(spark, empty):
+    assert license_scan.license_scan(empty).count() == 0
+    rows = spark.createDataFrame([(None, "under the MIT License"), (None, None), (3, "MIT licence"), (3, "MIT licence")], "doc_id long, text string")
+    got = license_scan.license_scan(rows).collect()
+    assert sorted((r.id or 0, r.labels) for r in got) == [(0, ""), (0, "mit"), (3, "mit"), (3, "mit")]
+
+
 # --- tokens
 
 TEXTS = ["Hello  World", "don't stop<|endoftext|>now", "<|startoftext|> x <|ENDOFTEXT|>", "é é ﬁ Å", "a b c\x85d", "日本語 テキスト🙂", "", None, "123 4.5 x1y2", "I'm we'll '", "ǅ İ ß ΑΣ", "\t\n\x0b\x0c\r\x1c\x1d x", "z" * 5000, "ab " * 4000, "́a ́"]
@@ -82,6 +149,17 @@ def test_token_counts(spark, name):
     assert got == [(i, len((t or "").encode()), encode([t or ""])[0]) for i, t, _ in rows]
 
 
+def test_long_words_stay_out_of_the_table(spark, empty):
+    path = tokenizer("word_bpe_49k.json")
+    encode = token_counts._encoder(path)
+    rows = [(i, " ".join(["x" * 5000, "short"] * 3)) for i in range(6)] + [(None, "short"), (None, None)]
+    table = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = token_counts.frequent_lengths(table.coalesce(1).select("text"), path)
+    assert len(kept.keys) == 1
+    got = token_counts.token_counts(table, path).collect()
+    assert sorted((r.id is None, r.n_tokens) for r in got) == sorted((i is None, encode([t or ""])[0]) for i, t in rows)
+
+
 def test_word_tokenizer_is_split_and_others_are_not(spark, empty):
     assert token_counts.splits_at_spaces(tokenizer("word_bpe_49k.json"))
     assert not token_counts.splits_at_spaces(tokenizer("byte_bpe_50k.json")) and not token_counts.splits_at_spaces(tokenizer("piece_bpe_32k.model"))
@@ -222,6 +300,11 @@ def test_rows_without_an_id_have_a_next_row(spark, ids):
         assert nexts == {None: edit(rows[0][1], rows[1][1]), 5: edit(rows[1][1], rows[1][1])}
 
 
+def test_edit_likeness_reads_id_and_text_only(spark, docs, odd_columns):
+    more = odd_columns.withColumn("bucket", F.lit("x")).withColumn("tail", F.lit(7)).withColumn("h", F.lit(1.5))
+    assert sorted(map(tuple, fingerprints.edit_likeness(more).collect())) == sorted(map(tuple, fingerprints.edit_likeness(docs).collect()))
+
+
 def test_edit_likeness_of_few_rows(spark, empty):
     assert fingerprints.edit_likeness(empty).count() == 0
     one = fingerprints.edit_likeness(spark.createDataFrame([(4, "some text here")], "doc_id long, text string")).first()
@@ -297,6 +380,16 @@ def test_op9_and_the_pipeline_return_the_pieces(spark, docs, corpus, tmp_path):
         assert all(r.pieces_sha256 == hashlib.sha256(np.array(r.pieces, "<i4").tobytes()).hexdigest() for r in got)
 
 
+def test_pieces_of_null_and_repeated_ids(spark):
+    path = tokenizer("piece_bpe_32k.model")
+    rows = [(None, "some text"), (None, "some text"), (2, "some text"), (2, "some text"), (2, None), (None, "")]
+    got = piece_sampling.encode_and_decode(spark.createDataFrame(rows, "doc_id long, text string"), path).collect()
+    of = lambda i: sorted((r.sample, r.pieces_sha256) for r in got if r.id == i and r.pieces)
+    assert len(got) == 2 * 4 + 2 and all(r.decodes for r in got)
+    assert of(2)[::2] == of(2)[1::2] and of(None)[::2] == of(None)[1::2]
+    assert sorted((r.id or 0, r.n_tokens) for r in got if not r.pieces) == [(0, 0), (2, 0)]
+
+
 def test_pieces_do_not_depend_on_other_rows(spark, docs, corpus, odd_columns, empty):
     path = tokenizer("piece_bpe_32k.model")
     a = {(r.id, r.sample): (r.pieces, r.log_prob) for r in piece_sampling.sample_pieces(docs, path).collect()}
