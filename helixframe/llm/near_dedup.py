@@ -24,9 +24,8 @@ SKETCH = 64
 #: Standard errors that the filter leaves below the similarity asked for. Of a pair exactly at 0.8 and 64 values it
 #: loses those with at most 33 in common, odds of 3e-7; nearer pairs are lost far more rarely.
 SLACK = 5.5
-#: Documents of an unresolved inverted list that meet in one block of pairs, from each side at most, and the number of
-#: tiles that smaller groups are cut into, so that they are many blocks as well.
-GRID, TILES = 256, 32
+#: Documents of an unresolved inverted list that meet in one block of pairs, from each side: by sketches, by texts.
+SKETCH_GRID, GRID = 1024, 256
 #: Documents compared with one copy of the text they share as partner.
 HUB = 256
 
@@ -182,8 +181,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Candidates are documents that share an inverted list. Each list has a hub: its document
     with the most entries in the lists of all its values, as the original of many edited
     copies has. Hubs are compared with the documents of their lists first. Other documents of
-    a hub's lists that are still in different components then meet in blocks of at most GRID
-    from each side: their sketches first, and of those with a likely partner the full sets,
+    a hub's lists that are still in different components then meet in blocks of tiles of about
+    SKETCH_GRID or GRID: their sketches first, and of those with a likely partner the full sets,
     from which only edges that join components come out. Documents of a hub's commonest
     component only meet the others, not each other.
     """
@@ -223,17 +222,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out if with_key else out.drop("key", "group")
 
 
-def _meet(rest: DataFrame, more: DataFrame) -> DataFrame:
+def _meet(rest: DataFrame, more: DataFrame, grid: int) -> DataFrame:
     """rest (hub, id, c) with the columns of more by id, in all blocks (hub, kind, x, y) of its hub; tile tells a block's sides apart.
 
     Kind 0 are blocks of two tiles of the documents outside the hub's commonest component (or
     of one), kind 1 those of such a tile and one of the commonest component. So a document of
-    a component of any size is sent once for each GRID of the others.
+    a component of any size is sent once for each grid of the others.
     """
     sizes = rest.groupBy("hub", "c").agg(F.count("*").alias("n"))
     roles = sizes.groupBy("hub").agg(F.max(F.struct("n", "c")).alias("top"), F.sum("n").alias("all"))
-    size = F.greatest(F.lit(min(TILES, GRID)), F.least(F.lit(GRID), F.ceil(F.col("all") / TILES)))
-    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / size)).cast("int")
+    tiles = lambda n: F.greatest(F.lit(1), F.ceil(n / grid)).cast("int")
     roles = roles.select("hub", F.col("top.c").alias("common"), tiles(F.col("all") - F.col("top.n")).alias("few"), tiles(F.col("top.n")).alias("many"), (F.col("all") > F.col("top.n")).alias("mixed")).where("mixed").drop("mixed")
     placed = split_join(rest.select("hub", "id", "c"), roles, ["hub"]).join(more, "id")
     usual = F.col("c") == F.col("common")
@@ -302,7 +300,7 @@ def _likely(rest: DataFrame, reps: DataFrame, similarity: tuple[int, int], k: in
         hit = np.flatnonzero(active)
         return pa.table({"hub": pa.array([key[0].as_py()] * len(hit), pa.int64()), "id": pa.array(ids[hit], pa.int64()), "c": pa.array(c[hit], pa.int64())})
 
-    met = _meet(rest, reps.select("id", "n", "sketch"))
+    met = _meet(rest, reps.select("id", "n", "sketch"), SKETCH_GRID)
     return met.groupBy("hub", "kind", "x", "y").applyInArrow(judge, "hub long, id long, c long").distinct()
 
 
@@ -335,4 +333,4 @@ def _grid_links(rest: DataFrame, texts: DataFrame, size: int, similarity: tuple[
         a, b = zip(*joined) if joined else ((), ())
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
-    return cut(_meet(rest, texts).groupBy("hub", "kind", "x", "y").applyInArrow(judge, "a long, b long"))
+    return cut(_meet(rest, texts, GRID).groupBy("hub", "kind", "x", "y").applyInArrow(judge, "a long, b long"))

@@ -52,6 +52,7 @@ def test_near_duplicates(docs, corpus, n):
 def test_blocks_of_unresolved_groups(spark, word, monkeypatch):
     """A chain of edits in which no document is near all others; small blocks, so that pairs meet across them."""
     monkeypatch.setattr(near_dedup, "GRID", 4)
+    monkeypatch.setattr(near_dedup, "SKETCH_GRID", 6)
     monkeypatch.setattr(near_dedup, "HUB", 3)
     w = word(3, 200).split()
     texts = []
@@ -102,6 +103,7 @@ def test_near_duplicates_of_repeated_and_null_ids(spark, word, seed):
 def test_clusters_that_share_their_hub(spark, word, monkeypatch, grid):
     """Several groups of near copies around one long passage, and unlike documents that have it: links between texts that are not the hub's."""
     monkeypatch.setattr(near_dedup, "GRID", grid)
+    monkeypatch.setattr(near_dedup, "SKETCH_GRID", 2 * grid)
     passage, rows = word(500, 60), []
     for g in range(5):
         own = word(510 + g, 70).split()
