@@ -1,10 +1,10 @@
-"""The ten operators as queries over the driver's tables, with production parameters, and their SQL."""
+"""The operators as queries over the driver's tables, with production parameters, and their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import embedding_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, piece_sampling, pipeline as corpus, substring_dedup, token_counts, toxicity
+from . import centroids, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, piece_sampling, pipeline as corpus, runs, substring_dedup, token_counts, toxicity
 from .common import read, tokenizer
 
 TOKEN_LIMIT = 2048
@@ -59,12 +59,20 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("predicted", (F.col("score") >= toxicity.THRESHOLD).cast("int"))
 
 
+def op11_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clusters(read(spark, sf_dir, "embeddings"), k=40, rounds=5).withColumnRenamed("id", "vec_id")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.periodic_runs(read(spark, sf_dir, "documents"), plant=True, whole=False).withColumnRenamed("id", "doc_id")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_mixing, op6_line_dedup, op7_embedding_dedup, op8_fingerprints, op9_piece_sampling, op10_toxicity, pipeline)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_mixing, op6_line_dedup, op7_embedding_dedup, op8_fingerprints, op9_piece_sampling, op10_toxicity, op11_centroids, op12_periodic_runs, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -116,6 +124,29 @@ FROM v JOIN component c ON c.id = v.vec_id LEFT JOIN (SELECT a, count(*) AS n FR
 """
 
 
+
+
+def _centroids_sql(k: int = 40, rounds: int = 5) -> str:
+    """Components as rows; each round is an assignment by the smallest (distance, number) and a new table of centroids."""
+    out = f"""WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: CAST(floor(256 * x::DOUBLE) AS BIGINT)) AS e FROM embeddings
+  WHERE len(embedding) = 64 AND list_count(embedding) = 64 AND len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) = 0),
+x AS MATERIALIZED (SELECT r, unnest(range(64)) AS i, unnest(e) AS x FROM v),
+seed AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), e) - 1 AS c FROM v QUALIFY c < {k}),
+c0 AS MATERIALIZED (SELECT c, i, x AS y FROM seed JOIN x USING (r))"""
+    for n in range(rounds + 1):
+        out += f""",
+a{n} AS MATERIALIZED (SELECT r, min(struct_pack(d := d, c := c)) AS a FROM (SELECT r, c, sum((x - y) * (x - y))::BIGINT AS d FROM x JOIN c{n} USING (i) GROUP BY r, c) GROUP BY r)"""
+        if n < rounds:
+            out += f""",
+m{n} AS (SELECT a.c AS c, i, floor(sum(x) / count(*))::BIGINT AS y FROM x JOIN a{n} USING (r) GROUP BY a.c, i),
+c{n + 1} AS MATERIALIZED (SELECT c, i, coalesce(m.y, o.y) AS y FROM c{n} o LEFT JOIN m{n} m USING (c, i))"""
+    return out + f""",
+final AS (SELECT vec_id, a.c AS c, a.d AS d FROM a{rounds} JOIN v USING (r)),
+digest AS (SELECT c, sha256(string_agg(y::VARCHAR, ',' ORDER BY i)) AS h FROM c{rounds} GROUP BY c)
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY c))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, h AS centroid_sha256
+FROM final JOIN digest USING (c)"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL gives the same rows; the others are tested against brute force in tests/llm."""
-    return {"op1_near_dedup": _NEAR, "op3_substring_dedup": _PASSAGES, "op6_line_dedup": _LINES, "op7_embedding_dedup": _VECTORS}
+    return {"op1_near_dedup": _NEAR, "op3_substring_dedup": _PASSAGES, "op6_line_dedup": _LINES, "op7_embedding_dedup": _VECTORS, "op11_centroids": _centroids_sql()}
