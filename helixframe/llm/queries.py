@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import centroids, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, piece_sampling, pipeline as corpus, runs, substring_dedup, token_counts, toxicity
+from . import centroids, embedding_dedup, fingerprints, license_scan, line_dedup, mixing, near_dedup, personal_data, piece_sampling, pipeline as corpus, runs, substring_dedup, token_counts, toxicity
 from .common import read, tokenizer
 
 TOKEN_LIMIT = 2048
@@ -67,12 +67,17 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.periodic_runs(read(spark, sf_dir, "documents"), plant=True, whole=False).withColumnRenamed("id", "doc_id")
 
 
+def op13_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = personal_data.personal_data(read(spark, sf_dir, "documents"))
+    return out.select(F.col("id").alias("doc_id"), *[f"n_{k}" for k in personal_data.KINDS], F.sha2(personal_data.listed(F.col("base")), 256).alias("base_sha256"), personal_data.listed(F.col("spans")).alias("spans"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     return corpus.run(spark, sf_dir)
 
 
 def queries() -> dict:
-    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_mixing, op6_line_dedup, op7_embedding_dedup, op8_fingerprints, op9_piece_sampling, op10_toxicity, op11_centroids, op12_periodic_runs, pipeline)}
+    return {f.__name__: f for f in (op1_near_dedup, op2_license_scan, op3_substring_dedup, op4_token_counts, op5_mixing, op6_line_dedup, op7_embedding_dedup, op8_fingerprints, op9_piece_sampling, op10_toxicity, op11_centroids, op12_periodic_runs, op13_personal_data, pipeline)}
 
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
