@@ -19,9 +19,12 @@ PATTERNS = {
 }
 #: Terms are these runs with A-Z lower-cased.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_SEPARATOR = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
 #: What a term may be generalised to; a class counts as a term of every document that has one of its words.
 CLASSES = ("number", "name", "word")
+_LETTER = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]"
+_DIGITLESS = rf"(?<!{_WORD[:-1]}){{}}{_LETTER}*+(?!{_WORD[:-1]})"
+#: A text has a word of the class exactly if this is found in it.
+_HAS = {"number": "[0-9]", "name": _DIGITLESS.format(r"(?=\p{Lu})"), "word": _DIGITLESS.format(rf"(?!\p{{Lu}})(?={_LETTER})")}
 #: Terms of at most so many rows are broadcast (a long each); more are joined by a shuffle.
 BROADCAST_TERMS = 500_000
 #: Of an array of widths, so many are added up at a time.
@@ -137,13 +140,18 @@ def disclosing_terms(found: DataFrame, docs: DataFrame, disclosure: float, conte
     # the surroundings are counted first: few pairs are left
     shown = near.select("c", "term", "seen").distinct().groupBy("c", "term").agg(F.count("*").alias("contexts")).where(F.col("contexts") >= contexts)
     together = split_join(near.select("c", "term", "row"), shown.select("c", "term"), ["c", "term"]).distinct().groupBy("c", "term").agg(F.count("*").alias("n_ct"))
+    reveals = F.col("n_ct") >= F.col("n_t") * F.pow(F.col("n_c") / F.lit(float(n)), F.lit(1 - disclosure))
     pairs, drop_pairs = stored(together.join(held, "c"))
+    # a term stands near some entity in no more rows than it stands in at all: pairs that fail by that alone are not counted
+    least = near.select("term", "row").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs, drop = stored(pairs.join(least, "term").where(reveals).drop("n_t"))
+    drop_pairs()
     words = F.regexp_extract_all("text", F.lit(_WORD), F.lit(0))
-    each = docs.select(F.explode(F.array_distinct(F.concat(F.transform(words, _term), F.array_distinct(F.transform(words, _class_term))))).alias("term"))
+    classes = F.array_compact(F.array(*[F.when(F.rlike("text", F.lit(_HAS[c])), F.xxhash64(F.lit("class"), F.lit(c))) for c in CLASSES]))
+    each = docs.select(F.explode(F.concat(F.array_distinct(F.transform(words, _term)), classes)).alias("term"))
     counts = _only(each, pairs.select("term").distinct()).groupBy("term").agg(F.count("*").alias("n_t")) if not pairs.isEmpty() else pairs.select("term", F.lit(1).alias("n_t"))
-    reveals = F.col("n_ct") >= F.col("n_t") * F.pow(F.col("n_c") / F.lit(float(n)), F.lit(1 - disclosure))
     out = cut(pairs.join(counts, "term").where(reveals).select("term").distinct())
-    drop_pairs()
+    drop()
     return out
 
 
