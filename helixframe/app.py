@@ -41,6 +41,23 @@ def alignments(spark: SparkSession, path: str) -> DataFrame:
     return text.sam(text.lines(spark, path)).drop("line_no") if kind == "sam" else spark.read.parquet(path)
 
 
+#: Records with one of these flags are no evidence: unmapped, secondary, failed, duplicate, supplementary.
+_NOT_PRIMARY = 4 | 256 | 512 | 1024 | 2048
+
+
+def region_alignments(spark: SparkSession, path: str, events: DataFrame, flank: int, min_mapq: int) -> DataFrame:
+    """The primary records of a BAM file near the events, read by its index.
+
+    Events with their flanks are read first, for the longest template; then the same regions
+    widened by that and 200, or by 1000 at least, so that mates outside are there as well.
+    """
+    spans = [(r.chrom, r.start, r.end) for r in sinks.event_regions(events, flank).toLocalIterator()]
+    wanted = {"mapq": min_mapq, "no_flags": _NOT_PRIMARY}
+    longest = bam.read(spark, path, ["tlen"], spans, **wanted).agg(F.max(F.abs(F.col("tlen").cast("long")))).first()[0] or 0
+    pad = max(1000, longest + 200)
+    return bam.read(spark, path, regions=[(c, max(0, s - pad), e + pad) for c, s, e in spans], **wanted)
+
+
 def fraction(spec: specs.Fraction | None, key: int, seed: int) -> float | None:
     """An event's allele fraction: exact, 1, or for het a draw of a Beta distribution around one half that seed and event decide."""
     if spec is None:
@@ -111,7 +128,13 @@ def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
     region = specs.parse_region(a.region) if a.region else None
     aln = alignments(spark, a.bam)
     order = [c for c in ORDER if c in aln.columns]
-    read_length = round(pool.alignment_stats(pool.head(aln.where(primary(F.col("flag"), F.col("mapq"), 0)), order, validate.HEAD["insert"]), 0).first().read_length)
+    if a.bam.lower().endswith(".bam"):
+        first = bam.head(spark, a.bam, validate.HEAD["insert"], no_flags=_NOT_PRIMARY)
+        if bam.indexed(a.bam):
+            aln = region_alignments(spark, a.bam, events, a.flank, a.min_mapq)
+    else:
+        first = pool.head(aln.where(primary(F.col("flag"), F.col("mapq"), 0)), order, validate.HEAD["insert"])
+    read_length = round(pool.alignment_stats(first, 0).first().read_length)
     config = simulate.Config(a.allele_fraction, a.flank, read_length, a.min_mapq, a.seed, a.indel_error_rate, a.dup_model, a.allow_overlap, region)
     chunks = text.fasta_chunks(text.lines(spark, a.reference))
     usable = pool.usable(aln, a.min_mapq)

@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from ..functions import reads as R
 from ..operators import intervals as I, pool as P, simulate as M
-from ..sources import sinks
+from ..shared import temporary
+from ..sources import bam, sinks
 from . import validate as V
 from .registry import Registry
 
@@ -35,6 +36,34 @@ def _(v):
     return h.agg(F.count("*").alias("n"), F.round(F.avg("tlen"), 6).alias("m"))
 
 
+_SPAN = "CASE cigar WHEN '5S45M' THEN 45 WHEN '45M5S' THEN 45 WHEN '20M2I28M' THEN 48 WHEN '48M2S' THEN 48 WHEN '20M3D30M' THEN 53 WHEN '30M1D20M' THEN 51 WHEN '25M100N25M' THEN 150 ELSE 50 END"
+_CHROMS = [(f"chr{i}", 1 << 28) for i in range(1, 6)]
+
+
+def _bam_of(v, name: str) -> str:
+    """The alignment view as a folder of indexed BAM files."""
+    path = temporary(v.spark, name)
+    columns = [c.strip().split(" ")[0] for c in bam.SCHEMA.split(",")]
+    bam.write(v.aln.select(*columns), path, _CHROMS, v.spark.sparkContext.defaultParallelism)
+    return path
+
+
+@q("src_bam_index", f"""SELECT DISTINCT name, flag, r.chrom, pos, pos + {_SPAN} AS end_pos, mapq, cigar, mate_pos, tlen, seq, qual, sa FROM aln r JOIN sv s ON r.chrom = s.chrom AND r.pos < s."end" AND r.pos + {_SPAN} > s.start
+ WHERE s."end" > s.start AND gene = 'GENE7' AND mapq >= 20 AND (flag & 3844) = 0 AND (flag & 2) <> 0""")
+def _(v):
+    """The records near the events of one gene, from BAM files by their index; the regions of a run's events are a small list."""
+    spans = [(r.chrom, r.start, r.end) for r in v.sv.where("gene = 'GENE7'").select("chrom", "start", "end").distinct().toLocalIterator()]
+    columns = ["name", "flag", "chrom", "pos", "end_pos", "mapq", "cigar", "mate_pos", "tlen", "seq", "qual", "sa"]
+    return bam.read(v.spark, _bam_of(v, "index"), columns, spans, mapq=20, flags=2, no_flags=3844)
+
+
+@q("src_bam_head", "SELECT count(*) AS n, round(avg(tlen), 6) AS m, max(pos) AS last, CAST(sum(mapq) AS BIGINT) AS q FROM (SELECT * FROM aln WHERE (flag & 3844) = 0 ORDER BY chrom, pos, name, flag LIMIT 50000)")
+def _(v):
+    """The first 50,000 primary records in file order; only the files' beginnings are read."""
+    h = bam.head(v.spark, _bam_of(v, "head"), 50_000, columns=["tlen", "pos", "mapq"], no_flags=3844)
+    return h.agg(F.count("*").alias("n"), F.round(F.avg("tlen"), 6).alias("m"), F.max("pos").alias("last"), F.sum("mapq").alias("q"))
+
+
 @q("join_overlap", f"SELECT event_id, count(*) AS n, CAST(sum(r.ref_start) AS BIGINT) AS t FROM reads r JOIN sv s ON {_OVER} GROUP BY event_id")
 def _(v):
     j = I.overlap_join(v.reads.select("chrom", "ref_start", "ref_end"), regions(v.sv), ("chrom", "ref_start", "ref_end"), _SV_ON)
