@@ -20,11 +20,13 @@ from .functions.reads import primary
 from .operators import pileup, pool, rng
 from .operators.intervals import overlap_join
 from .plans import simulate, validate
-from .sources import bam, sinks, text
+from .sources import bam, fasta, sinks, text
 
 EVENTS = "event_id long, sv_type string, chrom string, start long, end long, chrom_b string, bp_b long, inverted boolean, ins_seq string, ins_len long, ref_allele string, alt_allele string, gene string, gene_b string, exons array<string>, allele_fraction double"
 ORDER = ["chrom", "pos", "name", "flag"]
 _HET_SHAPE = 40.0
+#: Bases beyond an event's flanks that new fragments may reach: twice the longest usable insert.
+_AROUND = 20_000
 
 
 class InputError(ValueError):
@@ -136,11 +138,16 @@ def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
         first = pool.head(aln.where(primary(F.col("flag"), F.col("mapq"), 0)), order, validate.HEAD["insert"])
     read_length = round(pool.alignment_stats(first, 0).first().read_length)
     config = simulate.Config(a.allele_fraction, a.flank, read_length, a.min_mapq, a.seed, a.indel_error_rate, a.dup_model, a.allow_overlap, region)
-    chunks = text.fasta_chunks(text.lines(spark, a.reference))
+    if fasta.indexed(a.reference):  # only what the events' surroundings need
+        lengths = fasta.lengths(spark, a.reference)
+        chunks = fasta.chunks(spark, a.reference, sinks.event_regions(events, a.flank + _AROUND).join(lengths, "chrom", "left_semi"))
+    else:
+        lengths, chunks = None, text.fasta_chunks(text.lines(spark, a.reference))
     usable = pool.usable(aln, a.min_mapq)
-    gvcf = text.het_snps(text.lines(spark, a.gvcf)) if a.gvcf else None
+    spans = [(r.chrom, r.start, r.end) for r in sinks.event_regions(events, 0).toLocalIterator()]
+    gvcf = text.het_snps(text.lines(spark, a.gvcf, spans)) if a.gvcf else None
     votes, alleles = haplotype_evidence(aln.where(primary(F.col("flag"), F.col("mapq"), a.min_mapq)), events, gvcf, a.allele_fraction, a.seed)
-    out = simulate.run(events, pool.paired(usable, [c for c in ("chrom", "pos") if c in aln.columns]), chunks, config, votes, alleles)
+    out = simulate.run(events, pool.paired(usable, [c for c in ("chrom", "pos") if c in aln.columns]), chunks, config, votes, alleles, lengths)
     at = lambda name: posixpath.join(a.output, name)
     # both files and the count read the pairs from one table, so that the simulation runs once
     out["pairs"].write.mode("overwrite").parquet(at("_pairs"))

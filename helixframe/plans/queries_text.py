@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import reads as R, sequence as S, specs, vcf
 from ..operators import haplotype
-from ..sources import sinks, text
+from ..shared import temporary
+from ..sources import fasta, gztext, sinks, text
 from .registry import Registry
 
 QUERIES = Registry()
@@ -229,6 +230,14 @@ def _(v):
     return _records(v).select("line_no", "chrom", "pos", "id", "alt", "sv_type")
 
 
+@q("src_vcf_blocks", f"WITH {_RECORDS} SELECT chrom, pos, id, alt, sv_type FROM records")
+def _(v):
+    """Variants from block-gzip files that are cut into ranges of some blocks."""
+    path = temporary(v.spark, "variants")
+    gztext.write_variants(v.vcf.where(~F.col("line").startswith("#")), path, v.spark.sparkContext.defaultParallelism, ["##fileformat=VCFv4.2"])
+    return text.variant_records(gztext.lines(v.spark, path, range_bytes=1 << 17)).select("chrom", "pos", "id", "alt", "sv_type")
+
+
 _MATES = "row_number() OVER (PARTITION BY CASE WHEN id = '.' THEN {dot} ELSE concat(least(id, coalesce({m}, id)), '|', greatest(id, coalesce({m}, id))) END ORDER BY line_no) = 1"
 _FIRST = _MATES.format(dot="concat('line|', line_no)", m=_i("MATEID"))
 
@@ -276,6 +285,15 @@ def _(v):
     return text.het_snps(v.vcf)
 
 
+@q("src_gvcf_region", f"WITH body AS ({_BODY}) SELECT chrom, raw_pos - 1 AS p, ref_ AS ref, split_part(alt, ',', 1) AS alt FROM body WHERE length(ref_) = 1 AND length(split_part(alt, ',', 1)) = 1 AND split_part(alt, ',', 1) NOT IN ('.', '*') AND {_GT} AND chrom = 'chr2' AND raw_pos > 2000 AND raw_pos <= 70000")
+def _(v):
+    """Heterozygous sites of a region, by the tabix index of block-gzip files."""
+    path = temporary(v.spark, "sites")
+    gztext.write_variants(v.vcf.where(~F.col("line").startswith("#")), path, v.spark.sparkContext.defaultParallelism)
+    region = ("chr2", 2000, 70_000)
+    return text.het_snps(gztext.lines(v.spark, path, [region]), region)
+
+
 @q("sort_hets", f"WITH body AS ({_BODY}) SELECT chrom, raw_pos - 1 AS p FROM body WHERE length(ref_) = 1 AND length(split_part(alt, ',', 1)) = 1 AND split_part(alt, ',', 1) NOT IN ('.', '*') AND {_GT} AND raw_pos > 0 ORDER BY chrom, p")
 def _(v):
     return text.het_snps(v.vcf).select("chrom", "p").orderBy("chrom", "p")
@@ -328,6 +346,16 @@ def _(v):
     return haplotype.reference_slices(w, v.ref).select("event_id", F.md5(F.col("sequence").cast("binary")).alias("h"))
 
 
+@q("src_fasta_index", f"""WITH {_WHOLE}, w AS (SELECT event_id, chrom, greatest(start - 50, 0) AS a, least("end" + 50, 1000000000) AS b FROM sv) SELECT event_id, md5(substr(s, CAST(a + 1 AS INT), CAST(b - a AS INT))) AS h, length(s) AS chrom_length FROM w JOIN whole USING (chrom)""")
+def _(v):
+    """Event windows from FASTA files by their index, clamped to the chromosome."""
+    path = temporary(v.spark, "reference")
+    fasta.write(v.ref, path, 3)
+    w = v.sv.select("event_id", "chrom", (F.col("start") - 50).alias("ref_start"), (F.col("end") + 50).alias("ref_end"))
+    cut = fasta.slices(w, path).select("event_id", "chrom", F.md5(F.col("sequence").cast("binary")).alias("h"))
+    return cut.join(F.broadcast(fasta.lengths(v.spark, path)), "chrom").select("event_id", "h", F.col("length").alias("chrom_length"))
+
+
 @q("src_ref_cache", f"""WITH {_WHOLE} SELECT event_id, k, md5(substr(s, CAST(start + 1 AS INT), 100)) AS h FROM sv JOIN whole USING (chrom) CROSS JOIN (VALUES (0), (1), (2)) t(k)""")
 def _(v):
     """Regions asked for again and again: each distinct one is cut from the reference once."""
@@ -411,6 +439,25 @@ def _(v):
     return sinks.fastq(r, 1).select("name", F.md5(F.col("value").cast("binary")).alias("h"))
 
 
+@q("sink_fastq_files", "SELECT a.name, a.seq AS seq1, a.qual AS qual1, b.seq AS seq2, b.qual AS qual2 FROM aln a JOIN aln b ON a.name = b.name AND a.read_num = 1 AND b.read_num = 2")
+def _(v):
+    """Pairs written as FASTQ in one job and read again: record k of a part of R1 and of R2 are mates."""
+    path = temporary(v.spark, "reads")
+    end = lambda n: F.max(F.when(F.col("read_num") == n, F.struct("seq", "qual")))
+    both = v.aln.groupBy("name").agg(end(1).alias("a"), end(2).alias("b"))
+    sinks.write_fastq(both.select("name", F.col("a.seq").alias("seq1"), F.col("a.qual").alias("qual1"), F.col("b.seq").alias("seq2"), F.col("b.qual").alias("qual2")), path, v.spark.sparkContext.defaultParallelism)
+
+    def records(n: int):
+        lines = gztext.lines(v.spark, f"{path}/R{n}").withColumn("part", F.regexp_extract("file", "(part-[0-9]+)", 1))
+        place = F.row_number().over(Window.partitionBy("part").orderBy("line_no")) - 1
+        lines = lines.withColumn("k", F.floor(place / 4)).withColumn("i", place % 4)
+        field = lambda i: F.max(F.when(F.col("i") == i, F.col("line")))
+        return lines.groupBy("part", "k").agg(field(0).alias(f"name{n}"), field(1).alias(f"seq{n}"), field(3).alias(f"qual{n}"))
+
+    j = records(1).join(records(2), ["part", "k"])
+    return j.where(F.regexp_replace("name1", "/1$", "") == F.regexp_replace("name2", "/2$", "")).select(F.regexp_extract("name1", "^@(.*)/1$", 1).alias("name"), "seq1", "qual1", "seq2", "qual2")
+
+
 _TR = """SELECT event_id, 0 AS part, chrom, CASE WHEN sv_type IN ('SNP', 'BND') THEN start + 1 ELSE start END AS pos, CASE sv_type WHEN 'SNP' THEN concat('sim_var_', event_id) WHEN 'BND' THEN concat('sim_fus_', event_id) ELSE concat('sim_', lower(sv_type), '_', event_id) END AS id,
  CASE sv_type WHEN 'SNP' THEN alt_allele WHEN 'BND' THEN CASE WHEN inverted THEN concat('N]', chrom_b, ':', bp_b + 1, ']') ELSE concat('N[', chrom_b, ':', bp_b + 1, '[') END ELSE concat('<', sv_type, '>') END AS alt, CASE WHEN vaf >= 0.9 THEN '1/1' ELSE '0/1' END AS gt FROM sv
  UNION ALL SELECT event_id, 1, chrom_b, bp_b + 1, concat('sim_fus_', event_id, '_mate'), CASE WHEN inverted THEN concat('[', chrom, ':', start + 1, '[N') ELSE concat(']', chrom, ':', start + 1, ']N') END, CASE WHEN vaf >= 0.9 THEN '1/1' ELSE '0/1' END FROM sv WHERE sv_type = 'BND'"""

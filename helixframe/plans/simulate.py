@@ -102,7 +102,7 @@ def copy_fragments(copies: DataFrame, chunks: DataFrame, alleles: DataFrame | No
     return own.where(F.col("len") >= read_length).select("event_id", "name", F.col("sequence").alias("fragment"))
 
 
-def run(events: DataFrame, pairs: DataFrame, chunks: DataFrame, config: Config, votes: DataFrame | None = None, alleles: DataFrame | None = None) -> dict[str, DataFrame]:
+def run(events: DataFrame, pairs: DataFrame, chunks: DataFrame, config: Config, votes: DataFrame | None = None, alleles: DataFrame | None = None, lengths: DataFrame | None = None) -> dict[str, DataFrame]:
     """pairs and dispositions of a simulation.
 
     events as haplotype.segments() takes them, with allele_fraction; pairs as pool.paired()
@@ -113,7 +113,7 @@ def run(events: DataFrame, pairs: DataFrame, chunks: DataFrame, config: Config,
 
     Qualities follow a profile of each event's own pairs, which meets its fragments in a join.
     """
-    checked(events, chrom_lengths(chunks), chunks, config.allow_overlap)
+    checked(events, chrom_lengths(chunks) if lengths is None else lengths, chunks, config.allow_overlap)
     e = events.withColumn("vaf", F.coalesce("allele_fraction", F.lit(config.allele_fraction)))
     e = e.withColumn("ins_seq", F.when((F.col("sv_type") == "INS") & F.col("ins_seq").isNull(), simulate.random_bases(F.col("event_id"), F.col("ins_len"), config.seed)).otherwise(F.col("ins_seq")))
     segs = haplotype.with_sequences(haplotype.segments(e, config.dup_model), chunks)

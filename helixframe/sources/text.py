@@ -6,15 +6,21 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import vcf
 from ..functions.sequence import is_dna
+from . import bgzf, gztext
 
 
-def lines(spark: SparkSession, path: str) -> DataFrame:
+def lines(spark: SparkSession, path: str, regions: list[tuple[str, int, int]] | None = None) -> DataFrame:
     """(line_no, line, file): plain or gzip files; line numbers rise along each file, with gaps.
 
+    Block-gzip files are read in ranges of their blocks, and with regions by their tabix index
+    where they have one; lines of other files are not looked at for regions.
+
     A line's number is its split's first byte plus its place among the task's lines. A split
     has no more lines than bytes, and only a file's last split shares its task with others, so
     the order within a file is right however Spark deals the splits.
     """
+    if gztext.is_blocked(path):
+        return gztext.lines(spark, path, regions if regions is not None and bgzf.size_of(f"{path}.tbi") is not None else None)
     at = F.col("_metadata.file_block_start")
     place = F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
     raw = spark.read.text(path).select(F.col("value").alias("line"), (F.when(at > 0, at + 1).otherwise(0) + place).alias("line_no"), F.col("_metadata.file_path").alias("file"))

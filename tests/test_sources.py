@@ -180,3 +180,156 @@ def test_binning():
     t, at = bgzf.unpack_index(bgzf.pack_index([s, bgzf.Sequence()]), 0, 2)
     assert t[0].bins == s.bins and t[0].chunks(100_001, 100_002) == [(8 << 16, 9 << 16)] and not t[1].chunks(0, 10)
     assert gzip.decompress(bgzf.EOF) == b"" and struct.calcsize("<iiBBHHHiiii") == np.dtype(bam._FIXED).itemsize - 4
+
+
+# --- lines of block-gzip files
+
+
+def blocked(data: bytes, step=997) -> bytes:
+    """A block-gzip file of small blocks, which end anywhere."""
+    out = io.BytesIO()
+    out.close, whole = lambda: None, out
+    w = bgzf.Writer(whole)
+    for i in range(0, len(data), step):
+        w.held += data[i : i + step]
+        w._flush(len(w.held))
+    w.close()
+    return whole.getvalue()
+
+
+@pytest.mark.parametrize("body", [[f"{i} " + "x" * (i % 90) for i in range(2000)], ["", "", "a", ""] * 300, ["y" * 20_000, "z", "w" * 5000, ""], [], ["one"], ["é日本"] * 700])
+@pytest.mark.parametrize("ending", ["\n", ""])
+def test_lines_of_any_ranges(spark, tmp_path, body, ending):
+    from helixframe.sources import gztext
+
+    path = tmp_path / "a.txt.gz"
+    data = ("\n".join(body) + ending).encode()
+    path.write_bytes(blocked(data))
+    assert gzip.decompress(path.read_bytes()) == data and gztext.is_blocked(str(path))
+    expected = data.decode().split("\n")
+    expected = expected[:-1] if expected[-1] == "" else expected
+    for size in (1 << 20, 3000, 400, 57):
+        reader = gztext.LineReader(str(path), size, None)
+        parts = reader.partitions()
+        got = [r for p in parts for b in reader.read(p) for r in b.to_pylist()]
+        assert [r["line"] for r in sorted(got, key=lambda r: r["line_no"])] == expected and len({r["line_no"] for r in got}) == len(got), size
+    if len(body) == 2000:
+        from helixframe.sources import text
+
+        df = gztext.lines(spark, str(path), range_bytes=3000)
+        assert df.rdd.getNumPartitions() >= 4 and [r.line for r in df.orderBy("line_no").collect()] == expected
+        assert [r.line for r in text.lines(spark, str(path)).orderBy("line_no").collect()] == expected
+
+
+def test_plain_gzip_is_read_as_before(spark, tmp_path):
+    from helixframe.sources import gztext, text
+
+    path = tmp_path / "b.txt.gz"
+    path.write_bytes(gzip.compress(b"a\nb\n"))
+    assert not gztext.is_blocked(str(path)) and not gztext.is_blocked("viewfs:///x.gz") and not gztext.is_blocked(str(tmp_path / "*.gz"))
+    assert [r.line for r in text.lines(spark, str(path)).orderBy("line_no").collect()] == ["a", "b"]
+
+
+def test_variants_by_tabix(spark, tmp_path, monkeypatch):
+    from helixframe.sources import gztext, text
+
+    r = random.Random(4)
+    rows = []
+    for i in range(30_000):
+        chrom, p = r.choice(["chr1", "chr2", "chr10"]), r.randrange(3_000_000)
+        ref = "ACGT"[: r.randint(1, 4)]
+        info = f"SVTYPE=DEL;END={p + 1 + r.choice([50, 90_000])}" if i % 50 == 0 else "DP=3"
+        rows.append((chrom, p, p + len(ref) if i % 50 else int(info[15:]), "\t".join([chrom, str(p + 1), f"v{i}", ref, r.choice("ACGT"), "9", "PASS", info, "GT", r.choice(["0/1", "1|0", "1/1"])])))
+    path = str(tmp_path / "out")
+    gztext.write_variants(spark.createDataFrame([(x[3],) for x in rows], "line string").repartition(5), path, 3, ["##fileformat=VCFv4.2", "#CHROM\tPOS"])
+    names = sorted(n for n in os.listdir(path) if n[0] not in "._")
+    assert len(names) == 6 and names[0] == "part-00000.vcf.gz" and names[1] == "part-00000.vcf.gz.tbi"
+    whole = gztext.lines(spark, path)
+    assert sorted(x.line for x in whole.collect() if x.line[0] != "#") == sorted(x[3] for x in rows) and whole.where("line like '#%'").count() == 6
+    for regions in ([("chr1", 1_000_000, 1_020_000)], [("chr2", 0, 10), ("chr10", 2_999_000, 1 << 29)], [("chrX", 0, 9)], [("chr1", 0, 3_100_000)]):
+        got = gztext.lines(spark, path, regions, 1 << 15)
+        assert sorted(x.line for x in got.collect()) == sorted(x[3] for x in rows if any(x[0] == c and x[1] < e and s < x[2] for c, s, e in regions)), regions
+    region = ("chr1", 1_000_000, 1_020_000)
+    one = os.path.join(path, "part-00000.vcf.gz")
+    het = text.het_snps(text.lines(spark, one, [region]), region)
+    assert [tuple(x) for x in het.collect()] == [tuple(x) for x in text.het_snps(gztext.lines(spark, one), region).collect()]
+    met, inner = [], bgzf.blocks
+    monkeypatch.setattr(bgzf, "blocks", lambda f, a, b: (met.append(x[0]) or x for x in inner(f, a, b)))
+    counts = []
+    for regions in (None, [region]):
+        reader = gztext.LineReader(one, 1 << 26, regions)
+        parts = reader.partitions()
+        met.clear()
+        list(reader._lines(parts[0]))
+        counts.append(len(met))
+    assert counts[1] * 4 <= counts[0]
+    with pytest.raises(Exception, match="regions need an index"):
+        (tmp_path / "no.vcf.gz").write_bytes(blocked(b"chr1\t5\n"))
+        gztext.lines(spark, str(tmp_path / "no.vcf.gz"), [region]).collect()
+
+
+# --- FASTA by its index
+
+
+def test_fasta_slices_and_chunks(spark, tmp_path, monkeypatch):
+    from helixframe.sources import fasta
+
+    r = random.Random(6)
+    whole = {c: "".join(r.choice("ACGTNacgtn") for _ in range(n)) for c, n in (("chr1", 100_003), ("chr2", 61), ("chr3", 60), ("empty", 0), ("chr4", 3_300_000))}
+    body, index = "", ""
+    for c, s in whole.items():
+        body += f">{c} made up\n"
+        index += f"{c}\t{len(s)}\t{len(body)}\t60\t61\n"
+        body += "".join(s[i : i + 60] + "\n" for i in range(0, len(s), 60))
+    for k, name in enumerate(("a.fa.fai", "b.fasta.fai", "c.fa.fai")):
+        file = tmp_path / ("a.fa", "b.fasta", "c.fasta")[k]
+        file.write_text(body)
+        (tmp_path / name).write_text(index)
+        assert fasta.indexed(str(file)) and fasta.read_index(str(file))["chr2"].length == 61
+    path = str(tmp_path / "a.fa")
+    wanted = [(i, c, a, b) for i, (c, a, b) in enumerate([("chr1", 0, 10), ("chr1", 55, 130), ("chr1", 99_990, 200_000), ("chr1", -20, 5), ("chr2", 59, 61), ("chr2", 60, 70), ("chr3", 0, 60), ("chr3", 60, 80), ("empty", 0, 5), ("chr1", 7, 7), ("chr4", 1_000_000, 2_500_000)])]
+    got = fasta.slices(spark.createDataFrame(wanted, "id long, chrom string, ref_start long, ref_end long").repartition(3), path).collect()
+    assert {x.id: x.sequence for x in got} == {i: whole[c][max(a, 0) : max(b, 0)].upper() for i, c, a, b in wanted}
+    with pytest.raises(Exception, match="chrX"):
+        fasta.slices(spark.createDataFrame([("chrX", 0, 5)], "chrom string, ref_start long, ref_end long"), path).collect()
+    with pytest.raises(Exception, match="no .fai"):
+        (tmp_path / "d.fa").write_text(body)
+        fasta.read_index(str(tmp_path / "d.fa"))
+    assert not fasta.indexed(str(tmp_path / "d.fa")) and not fasta.indexed(str(tmp_path / "none.fa"))
+    all_chunks = {(x.chrom, x.chunk_id): x.seq for x in fasta.chunks(spark, path).collect()}
+    assert all_chunks == {(c, i // 32): s[i : i + 32].upper() for c, s in whole.items() for i in range(0, len(s), 32)}
+    windows = spark.createDataFrame([("chr1", 100, 200), ("chr1", 150, 300), ("chr1", -5, 3), ("chr4", 1_048_570, 1_048_600), ("chr2", 40, 500)], "chrom string, start long, end long")
+    part = {(x.chrom, x.chunk_id): x.seq for x in fasta.chunks(spark, path, windows).collect()}
+    keys = {("chr1", 0), *(("chr1", i) for i in range(3, 10)), ("chr4", 32767), ("chr4", 32768), ("chr2", 1)}
+    assert part == {k: all_chunks[k] for k in keys}
+    with pytest.raises(Exception, match="does not have chromosome chrX"):
+        fasta.chunks(spark, path, spark.createDataFrame([("chrX", 0, 5)], "chrom string, start long, end long")).collect()
+    # a slice reads little more than itself
+    read, inner = [], fasta.opened
+
+    def counted(p):
+        f, n = inner(p)
+
+        class File:
+            seek, close = f.seek, f.close
+
+            def read(self, k):
+                read.append(k)
+                return f.read(k)
+
+        return File(), n
+
+    files = fasta.Files(fasta.read_index(path))
+    monkeypatch.setattr(fasta, "opened", counted)
+    assert files.bases("chr4", 2_000_000, 2_001_000) == whole["chr4"][2_000_000:2_001_000].upper() and sum(read) < 1030
+
+
+def test_fasta_written_with_its_index(spark, tmp_path):
+    from helixframe.sources import fasta
+
+    r = random.Random(7)
+    whole = {f"c{i}": "".join(r.choice("ACGT") for _ in range(n)) for i, n in enumerate((500, 60, 59, 97, 1200))}
+    rows = [(c, i // 32, s[i : i + 32]) for c, s in whole.items() for i in range(0, len(s), 32)]
+    fasta.write(spark.createDataFrame(rows, "chrom string, chunk_id long, seq string").repartition(4), str(tmp_path / "ref"), 3)
+    got = fasta.slices(spark.createDataFrame([(c, 0, 5000) for c in whole], "chrom string, ref_start long, ref_end long"), str(tmp_path / "ref")).collect()
+    assert {x.chrom: x.sequence for x in got} == whole
