@@ -1,8 +1,8 @@
 """Interval joins and merges over (chrom, start, end), 0-based and half-open.
 
-Overlap joins are equi-joins on (chrom, bin): every interval is listed in the bins it
-touches, and a pair is kept in the bin of the larger start only. No pair meets twice, and a
-crowded chromosome is spread over its bins instead of being compared as a whole.
+Overlap joins are equi-joins on (chrom, level, bin): bins of some lengths, of which an interval
+touches nine at most at its own level. No pair meets twice, and a crowded chromosome is spread
+over its bins instead of being compared as a whole.
 """
 
 from __future__ import annotations
@@ -12,22 +12,54 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 BIN = 4096
 
 
-def _binned(df: DataFrame, start: str, end: str, width: int, name: str) -> DataFrame:
+#: Widths of bins grow by 2^6 a level; an interval belongs to the first level of which it is at most 2^3 widths long, so the last one holds any chromosome.
+_STEP, _LONG, LEVELS = 6, 3, 4
+
+
+def _level(start: str, end: str, width: int) -> Column:
+    """The level of an interval, of whose bins it touches nine at most."""
+    size = F.greatest(F.col(end) - F.col(start), F.lit(1))
+    out = F.when(size <= width << _LONG, 0)
+    for k in range(1, LEVELS - 1):
+        out = out.when(size <= width << (_STEP * k + _LONG), k)
+    return out.otherwise(LEVELS - 1)
+
+
+def _listed(df: DataFrame, start: str, end: str, width: int, levels: Column, side: str) -> DataFrame:
+    """df once for each of levels and each bin of that level which the interval touches."""
+    wide = F.element_at(F.array(*[F.lit(width << (_STEP * k)).cast("long") for k in range(LEVELS)]), F.col(f"__level_{side}") + 1)
     last = F.greatest(F.col(end) - 1, F.col(start))
-    return df.withColumn(name, F.explode(F.sequence(F.floor(F.col(start) / width), F.floor(last / width))))
+    each = df.withColumn(f"__level_{side}", F.explode(levels)).withColumn("__wide", wide)
+    return each.withColumn(f"__bin_{side}", F.explode(F.sequence(F.floor(F.col(start) / F.col("__wide")), F.floor(last / F.col("__wide"))))).drop("__wide")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, left_on: tuple[str, str, str], right_on: tuple[str, str, str], width: int = BIN) -> DataFrame:
     """Pairs with equal chromosomes and a.start < b.end and b.start < a.end; column names of both sides must differ.
 
-    Empty intervals meet what they lie strictly inside of. Choose width near the usual length
-    of the longer side: shorter bins repeat it, longer ones compare more pairs.
+    Empty intervals meet what they lie strictly inside of. Each interval belongs to the level
+    whose bins suit its length; a pair meets at the level of its longer side, where both touch
+    nine bins at most, and is kept in the bin of the larger start. So an interval of any length
+    is a few rows: the left ones are listed at their own level and at higher ones that the
+    right side has, for which its levels are looked up first (at most four numbers); right is
+    the side of regions.
     """
     (lc, ls, le), (rc, rs, re) = left_on, right_on
-    a = _binned(left, ls, le, width, "__bin_l")
-    b = _binned(right, rs, re, width, "__bin_r")
-    joined = a.join(b, (F.col(lc) == F.col(rc)) & (F.col("__bin_l") == F.col("__bin_r")) & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
-    return joined.where(F.col("__bin_l") == F.floor(F.greatest(ls, rs) / width)).drop("__bin_l", "__bin_r")
+    known = sorted(r[0] for r in right.where(f"{rs} is not null and {re} is not null").select(_level(rs, re, width).alias("l")).distinct().collect())
+    own_l, own_r = _level(ls, le, width), _level(rs, re, width)
+    upper = [k for k in known if k > 0]
+
+    def met(a: DataFrame, b: DataFrame) -> DataFrame:
+        on = (F.col(lc) == F.col(rc)) & (F.col("__level_l") == F.col("__level_r")) & (F.col("__bin_l") == F.col("__bin_r"))
+        joined = a.join(b, on & (F.col(ls) < F.col(re)) & (F.col(rs) < F.col(le)))
+        wide = F.lit(width).cast("long") * F.pow(F.lit(2.0), F.col("__level_l") * _STEP).cast("long")
+        return joined.where(F.col("__bin_l") == F.floor(F.greatest(ls, rs) / wide)).drop("__level_l", "__level_r", "__bin_l", "__bin_r")
+
+    # the left side is the longer one, or both are alike
+    out = met(_listed(left, ls, le, width, F.array(own_l), "l"), _listed(right, rs, re, width, F.sequence(own_r, F.lit(LEVELS - 1)), "r"))
+    if upper:  # the right side is longer
+        above = F.filter(F.array(*map(F.lit, upper)), lambda k: k > own_l)
+        out = out.unionByName(met(_listed(left, ls, le, width, above, "l"), _listed(right, rs, re, width, F.array(own_r), "r")))
+    return out
 
 
 def overlapping(left: DataFrame, right: DataFrame, key: str, left_on=("chrom", "start", "end"), right_on=("r_chrom", "r_start", "r_end"), keep: bool = True, width: int = BIN) -> DataFrame:

@@ -2,12 +2,18 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..shipping import ship
 from .intervals import overlap_join
 
 
-#: Positions that one task of a pileup holds counts of, whatever the depth, and that one row of sites covers.
+#: Positions of one vector of counts, a power of two, and those that one row of sites covers.
 BIN, SITES = 1024, 64
 
 
@@ -58,12 +64,124 @@ def counts(each: DataFrame) -> DataFrame:
     return _counted(each, "chrom", "p")
 
 
-def piled(aln: DataFrame, width: int = BIN) -> DataFrame:
-    """counts() of all aligned bases. Blocks, not bases, are shuffled, by (chrom, bin); each position is then counted where its blocks are."""
-    dealt = _cut(blocks(aln, []), [], width).repartition("chrom", "bin")
-    each = dealt.select("chrom", "bin", "ref", F.posexplode(F.split("bases", "")).alias("i", "base"))
-    each = each.select("chrom", "bin", (F.col("ref") + F.col("i")).alias("p"), "base")
-    return _counted(each, "chrom", "bin", "p").drop("bin")
+def _offsets(cigar: str) -> tuple[np.ndarray, np.ndarray]:
+    """For each aligned base how far it lies from the alignment's start, on the reference and in the sequence."""
+    ref, seq, at_ref, at_seq = [], [], 0, 0
+    for n, op in re.findall("([0-9]+)([MIDNSHP=X])", cigar):
+        n = int(n)
+        if op in "M=X":
+            ref.append(np.arange(at_ref, at_ref + n))
+            seq.append(np.arange(at_seq, at_seq + n))
+        at_ref += n if op in "MDN=X" else 0
+        at_seq += n if op in "MIS=X" else 0
+    return (np.concatenate(ref), np.concatenate(seq)) if ref else (np.zeros(0, np.int64),) * 2
+
+
+_CODE = np.full(256, 4, np.uint8)
+for _i, _b in enumerate("ACGT"):
+    _CODE[[ord(_b), ord(_b.lower())]] = _i
+
+
+class Counts:
+    """Counts of the four bases at each position, one vector for each (chromosome, bin) met; at most `most` of them."""
+
+    def __init__(self, width: int, most: int):
+        self.width, self.most = width, most
+        self.chroms: dict[str, int] = {}
+        self.held: dict[tuple[int, int], np.ndarray] = {}
+        self.known: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+
+    def add(self, batch: pa.RecordBatch) -> None:
+        seqs = batch.column("seq").cast(pa.large_binary())
+        _, offsets, data = seqs.buffers()
+        begin = np.frombuffer(offsets, np.int64)[seqs.offset : seqs.offset + len(seqs) + 1]
+        data = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
+        length, pos = np.diff(begin), batch.column("pos").to_numpy()
+        chroms = batch.column("chrom").dictionary_encode()
+        number = np.array([self.chroms.setdefault(c, len(self.chroms)) for c in chroms.dictionary.to_pylist()], np.int64)[chroms.indices.to_numpy()]
+        cigars = batch.column("cigar").dictionary_encode()
+        which = cigars.indices.to_numpy()
+        order = np.argsort(which, kind="stable")
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(which[order])) + 1, [len(order)]]) if len(order) else np.zeros(1, np.int64)
+        keys, size = [], 0
+        for a, b in zip(cuts[:-1], cuts[1:]):
+            cigar = cigars.dictionary[int(which[order[a]])].as_py()
+            if cigar not in self.known:
+                if len(self.known) > 4096:
+                    self.known.clear()
+                self.known[cigar] = _offsets(cigar)
+            ref, seq = self.known[cigar]
+            step = max(1, (1 << 20) // max(1, len(ref)))
+            for k in range(int(a), int(b), step):
+                rows = order[k : min(k + step, int(b))]
+                there = seq < length[rows][:, None]
+                code = _CODE[data[np.where(there, begin[rows][:, None] + seq, 0)]] if len(data) else np.full(there.shape, 4, np.uint8)
+                place = (number[rows][:, None] << 40 | pos[rows][:, None] + ref) << 2 | code
+                keys.append(place[there & (code < 4)])
+                size += keys[-1].size
+                if size > 1 << 21:
+                    self._count(keys)
+                    keys, size = [], 0
+        self._count(keys)
+
+    def _count(self, keys: list[np.ndarray]) -> None:
+        every = np.concatenate([np.zeros(0, np.int64), *keys])
+        low = every.min(initial=1 << 62)
+        if len(every) and every.max() - low < 8 * len(every):  # in order, so the range is narrow
+            n = np.bincount(every - low)
+            found = np.flatnonzero(n)
+            n, found = n[found], found + low
+        else:
+            found, n = np.unique(every, return_counts=True)
+        bins = (found >> 2) // self.width  # chromosomes begin at multiples of the width, a power of two
+        cuts = np.concatenate([[0], np.flatnonzero(np.diff(bins)) + 1, [len(found)]]) if len(found) else np.zeros(1, np.int64)
+        for a, b in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+            k = int(bins[a])
+            if k not in self.held:
+                self.held[k] = np.zeros(4 * self.width, np.int64)
+            self.held[k][found[a:b] - 4 * self.width * k] += n[a:b]
+
+    def full(self) -> bool:
+        return len(self.held) > self.most
+
+    def rows(self) -> Iterator[pa.RecordBatch]:
+        """(chrom, p, n_a, n_c, n_g, n_t) of all positions with a base; the counts begin anew."""
+        names = list(self.chroms)
+        keys = sorted(self.held)
+        for i in range(0, len(keys), 64):
+            some = keys[i : i + 64]
+            n = np.stack([self.held[k].reshape(self.width, 4) for k in some])
+            at, place = np.nonzero(n.any(2))
+            p = np.array(some, np.int64)[at] * self.width + place
+            chrom = pa.DictionaryArray.from_arrays(pa.array((p >> 40).astype(np.int32)), pa.array(names, pa.string())).cast(pa.string())
+            yield pa.RecordBatch.from_arrays([chrom, pa.array(p & (1 << 40) - 1), *(pa.array(n[at, place, b]) for b in range(4))], ["chrom", "p", "n_a", "n_c", "n_g", "n_t"])
+        self.held.clear()
+
+
+def piled(aln: DataFrame, width: int = BIN, most: int = 1024, ordered: bool = False) -> DataFrame:
+    """counts() of all aligned bases.
+
+    Alignments are dealt by stretches of the chromosome, of which AQE splits crowded ones over
+    several tasks, and put in order; those that come in order, as a BAM file has them, need
+    neither (ordered). A task adds its bases up in a vector for each (chrom, bin), and gives
+    them away when it holds more than `most`; then positions are added up over the tasks. So a
+    place of any depth is one row a task.
+    """
+    ship(aln.sparkSession)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = Counts(width, most)
+        for batch in batches:
+            held.add(batch)
+            if held.full():
+                yield from held.rows()
+        yield from held.rows()
+
+    rows = aln.select("chrom", F.col("pos").cast("long").alias("pos"), "cigar", "seq").where("chrom is not null and pos >= 0 and cigar is not null and seq is not null")
+    if not ordered:
+        rows = rows.withColumn("__bin", F.shiftright("pos", 16)).hint("rebalance", F.col("chrom"), F.col("__bin")).sortWithinPartitions("chrom", "pos").drop("__bin")
+    part = rows.mapInArrow(count, "chrom string, p long, n_a long, n_c long, n_g long, n_t long")
+    return part.groupBy("chrom", "p").agg(*[F.sum("n_" + b).alias("n_" + b) for b in "acgt"])
 
 
 def at_sites(aln: DataFrame, sites: DataFrame, keep: list[str]) -> DataFrame:

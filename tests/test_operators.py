@@ -82,6 +82,20 @@ def test_overlap_join(spark, width):
     assert sorted(map(tuple, got)) == sorted(expected)
 
 
+def test_overlap_join_of_all_widths(spark):
+    r = random.Random(9)
+    make = lambda n: [(i, f"c{r.randrange(2)}", s, s + w) for i in range(n) for s, w in [(r.randrange(2 * 10**8), int(10 ** r.uniform(0, 8.2)))]] + [(n, "c0", 4096, 4096), (n + 1, "c1", 0, 1 << 36), (n + 2, "c0", 4095, 4096 + 4097)]
+    a, b = make(120), make(90)
+    left, right = spark.createDataFrame(a, "i long, c string, s long, e long"), spark.createDataFrame(b, "j long, c2 string, s2 long, e2 long")
+    got = intervals.overlap_join(left, right, ("c", "s", "e"), ("c2", "s2", "e2")).select("i", "j").collect()
+    expected = [(x[0], y[0]) for x, y in itertools.product(a, b) if x[1] == y[1] and x[2] < y[3] and y[2] < x[3]]
+    assert sorted(map(tuple, got)) == sorted(expected)
+    for df, on in ((left, ("s", "e")), (right, ("s2", "e2"))):  # rows are bounded by the levels, whatever the widths
+        listed = intervals._listed(df, *on, intervals.BIN, F.sequence(intervals._level(*on, intervals.BIN), F.lit(intervals.LEVELS - 1)), "l")
+        assert listed.count() <= (9 + 2 * (intervals.LEVELS - 1)) * df.count()
+        assert intervals._listed(df, *on, intervals.BIN, F.array(intervals._level(*on, intervals.BIN)), "l").count() <= 9 * df.count()
+
+
 def test_touching_events_do_not_overlap(spark):
     e = spark.createDataFrame([(1, "c", 100, 200), (2, "c", 200, 300), (3, "c", 250, 250), (4, "d", 100, 300)], "event_id long, chrom string, start long, end long")
     assert [tuple(r) for r in intervals.self_overlaps(e).collect()] == [(2, 3)]
@@ -118,6 +132,26 @@ def test_pileup_of_cigars(spark):
     assert sorted((r.p, r.base) for r in got.collect()) == [(10, "A"), (11, "C"), (12, "G"), (13, "T"), (14, "A"), (17, "C"), (21, "T")]
 
 
+def test_pileup_adds_up_before_the_shuffle(spark):
+    """Any CIGARs against single bases; a crowded bin is few rows a task."""
+    r = random.Random(3)
+    cigars = ["50M", "5S45M", "20M2I28M", "10M5D40M", "25M100N25M", "60M", "2H50M", "50I", "10=1X39M"]
+    rows = [(f"r{i}", 99, r.choice(["c", "d"]), r.choice([r.randrange(5000), 1000, 1020]), 60, r.choice(cigars), 0, "".join(r.choice("ACGTNacgt") for _ in range(r.choice([50, 50, 30, 0]))), "I" * 50, i) for i in range(4000)]
+    rows += [("x", 99, None, 5, 60, "50M", 0, "A" * 50, "", 1), ("y", 99, "c", 5, 60, None, 0, "A" * 50, "", 1), ("z", 99, "c", 5, 60, "5M", 0, None, "", 1)]
+    aln = spark.createDataFrame(rows, ALN).repartition(3)
+    expected = sorted(map(tuple, pileup.counts(pileup.bases(aln.where("name not in ('x', 'y', 'z')"), [])).collect()))
+    for most, ordered in ((1024, False), (0, False), (2, True)):
+        assert sorted(map(tuple, pileup.piled(aln, 256, most, ordered).collect())) == expected
+    assert pileup.piled(aln.limit(0)).count() == 0
+    deep = spark.range(200_000).select(F.lit("c").alias("chrom"), (F.col("id") % 30).alias("pos"), F.lit("50M").alias("cigar"), F.lit("ACGTA" * 10).alias("seq")).repartition(4)
+    plan = pileup.piled(deep)
+    assert plan.agg(F.sum(F.expr("n_a + n_c + n_g + n_t"))).first()[0] == 200_000 * 50 and plan.count() == 79
+    counts = pileup.Counts(1024, 10)
+    for b in deep.toArrow().to_batches():
+        counts.add(b)
+    assert sum(b.num_rows for b in counts.rows()) == 79  # what a task gives away, whatever the depth
+
+
 def test_het_sites_and_votes(spark):
     pile = spark.createDataFrame([("c", 1, 5, 5, 0, 0), ("c", 2, 9, 1, 0, 0), ("c", 3, 4, 4, 0, 0), ("c", 4, 0, 2, 8, 0), ("c", 5, 8, 0, 0, 2)], "chrom string, p long, n_a long, n_c long, n_g long, n_t long")
     assert sorted((r.p, r.allele1, r.allele2) for r in pileup.het_sites(pile).collect()) == [(1, "A", "C"), (4, "G", "C"), (5, "A", "T")]
