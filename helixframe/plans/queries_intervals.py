@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from pyspark.sql import Window, functions as F
 
 from ..functions import reads as R
 from ..operators import intervals as I, pool as P, simulate as M
@@ -150,6 +150,23 @@ def _(v):
     return kept.unionByName(d.select(F.concat(F.lit("new"), "event_id").alias("name"), F.lit("aligned").alias("origin")))
 
 
+_NEW = "SELECT concat('new', event_id) AS name, 99 AS flag, chrom, start AS pos, '50M' AS cigar FROM sv WHERE sv_type = 'INV'"
+
+
+@q("sink_merge_sorted", f"""SELECT name, flag, chrom, pos, row_number() OVER (ORDER BY chrom, pos, name, flag) AS place FROM (SELECT name, flag, chrom, pos FROM aln r WHERE NOT EXISTS (SELECT 1 FROM sv s WHERE s.sv_type = 'INV' AND r.chrom = s.chrom AND r.pos < s."end" AND s.start < r.pos + {_SPAN}) UNION ALL SELECT name, flag, chrom, pos FROM ({_NEW}))""")
+def _(v):
+    """A result's records in one order over all parts, as they stand in its files: place counts on from part to part."""
+    g = v.sv.where("sv_type = 'INV'")
+    columns = [c.strip().split(" ")[0] for c in bam.SCHEMA.split(",")]
+    new = g.select(F.concat(F.lit("new"), "event_id").alias("name"), F.lit(99).alias("flag"), "chrom", F.col("start").alias("pos"), F.lit(60).alias("mapq"), F.lit("50M").alias("cigar"), F.col("start").alias("mate_pos"), F.lit(0).alias("tlen"), F.lit("A" * 50).alias("seq"), F.lit("I" * 50).alias("qual"), F.lit(None).cast("string").alias("sa"))
+    path = temporary(v.spark, "result")
+    bam.write(sinks.merged_alignments(v.aln.select(*columns), g.select("chrom", "start", "end"), new), path, _CHROMS, v.spark.sparkContext.defaultParallelism)
+    rows = bam.read(v.spark, path, ["name", "flag", "chrom", "pos", "file", "voffset"])
+    before = sinks.part_bounds(rows).select("file", F.coalesce(F.sum("records").over(Window.orderBy("file").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))  # one row a part
+    here = F.row_number().over(Window.partitionBy("file").orderBy("voffset"))
+    return rows.withColumn("here", here).join(F.broadcast(before), "file").select("name", "flag", "chrom", "pos", (F.col("before") + F.col("here")).alias("place"))
+
+
 @q("join_gene", """SELECT s.event_id, g.lo, g.hi FROM sv s JOIN (SELECT lower(gene) AS k, min(lo) AS lo, arg_min(hi, chrom) AS hi FROM (SELECT gene, chrom, min(start) AS lo, max("end") AS hi FROM exons GROUP BY ALL) GROUP BY 1 HAVING true) g ON lower(replace(s.gene, 'GENE', 'g')) = g.k""")
 def _(v):
     from ..sources import text

@@ -477,6 +477,27 @@ def _(v):
     return s.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")])
 
 
+_GREEDY = f"""WITH {_MATCH} -- recursive
+, o AS (SELECT *, row_number() OVER (ORDER BY start_distance + end_distance, event_id, call_id) AS k FROM cand WHERE size_ratio >= 0.5),
+ g AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS BIGINT[]) AS es, CAST([] AS BIGINT[]) AS cs UNION ALL
+  SELECT o.k, CASE WHEN list_contains(es, event_id) OR list_contains(cs, call_id) THEN es ELSE list_append(es, event_id) END, CASE WHEN list_contains(es, event_id) OR list_contains(cs, call_id) THEN cs ELSE list_append(cs, call_id) END FROM g JOIN o ON o.k = g.k + 1),
+ taken AS (SELECT unnest(es) AS event_id, unnest(cs) AS call_id FROM (SELECT * FROM g ORDER BY k DESC LIMIT 1)), gm AS (SELECT o.* FROM o JOIN taken USING (event_id, call_id))"""
+
+
+@q("join_truth_call_all", f"{_GREEDY} SELECT event_id, call_id, start_distance, end_distance, round(size_ratio, 9) AS size_ratio FROM gm")
+def _(v):
+    """Truth events and calls matched one to one until no pair is left, which is what taking pairs by distance gives."""
+    m = V.matched_calls(v.sv.where("sv_type = 'DEL'"), _calls(v), rounds=None)
+    return m.withColumn("size_ratio", F.round("size_ratio", 9))
+
+
+@q("agg_prf_all", f"""{_GREEDY}, n AS (SELECT (SELECT count(*) FROM gm) AS tp, (SELECT count(*) FROM cl) - (SELECT count(*) FROM gm) AS fp, (SELECT count(*) FROM sv WHERE sv_type = 'DEL') - (SELECT count(*) FROM gm) AS fn)
+ SELECT tp, fp, fn, round(coalesce(tp / nullif(tp + fn, 0), 0), 9) AS recall, round(coalesce(tp / nullif(tp + fp, 0), 0), 9) AS precision, round(coalesce(2 * tp / nullif(2 * tp + fp + fn, 0), 0), 9) AS f1 FROM n""")
+def _(v):
+    s = V.call_score(v.sv.where("sv_type = 'DEL'"), _calls(v), rounds=None)
+    return s.select("tp", "fp", "fn", *[F.round(c, 9).alias(c) for c in ("recall", "precision", "f1")])
+
+
 def _driver_sql() -> str:
     from .queries_intervals import QUERIES as I_Q, _COVER
 
@@ -493,3 +514,10 @@ def _(v):
     """Which checks run for which events, and how many of each pass."""
     c = V.run(v.sv, v.reads, v.aln, ["chrom", "pos", "name", "read_num"], min_flank_depth=0.0)
     return c.groupBy("check").agg(F.count("*").alias("total"), F.count_if("pass").alias("passed"))
+
+
+@q("chk_driver_each", _driver_sql())
+def _(v):
+    """The same checks, each as a job of its own, so that one that fails leaves the others."""
+    checks, _ = V.run_each(V.parts(v.sv, v.reads, v.aln, ["chrom", "pos", "name", "read_num"], min_flank_depth=0.0))
+    return checks.groupBy("check").agg(F.count("*").alias("total"), F.count_if("pass").alias("passed"))

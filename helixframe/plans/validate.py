@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+import functools
+import warnings
+from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.reads import DUPLICATE, event_label, flagged, globally_counted, primary, proper_pair
 from ..operators import intervals, pileup, pool
+from ..shared import stored
 
+# Tolerances and numbers of records that results have to agree with.
 COVERAGE_TOLERANCE, FRACTION_TOLERANCE = 0.3, 0.15
 SPLIT_FLANK = 500
 LEAST_DEPTH = 5
@@ -82,23 +90,58 @@ def covering(aln: DataFrame, places: DataFrame) -> DataFrame:
     return met.dropDuplicates(["__row"]).select(*aln.columns)
 
 
-def run(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], flank: int = 5000, min_flank_depth: float = 1.0, min_mapq: int = 20) -> DataFrame:
-    """(event, check, expected, observed, pass) of all checks: those of each event by its type, and the global ones."""
+def parts(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], flank: int = 5000, min_flank_depth: float = 1.0, min_mapq: int = 20) -> dict[str, Callable[[], DataFrame]]:
+    """Each check's rows (event, check, expected, observed, pass), made when asked for."""
     text = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("N/A"))
     names = truth.select("event_id", event_label(*(F.col(c) for c in ("sv_type", "chrom", "start", "end"))).alias("event"))
-    pile = pileup.piled_at(aln.where(primary(F.col("flag"), F.col("mapq"), min_mapq)), truth.where("sv_type = 'SNP'").select("chrom", F.col("start").alias("p")))
-    parts = [
-        coverage(truth, reads, flank, min_flank_depth).select("event", "check", text(F.col("expected")).alias("expected"), text(F.col("ratio")).alias("observed"), "pass"),
-        split_reads(truth, reads).join(names, "event_id").select("event", "check", F.lit("> 0").alias("expected"), F.col("n").cast("string").alias("observed"), "pass"),
-        allele_fractions(truth, pile).join(truth.select("event_id", "vaf"), "event_id").join(names, "event_id").select("event", "check", text(F.col("vaf")).alias("expected"), text(F.col("observed")).alias("observed"), "pass"),
-        insert_size(aln, order).select(F.lit("global").alias("event"), "check", F.lit("50-1000").alias("expected"), text(F.col("mean")).alias("observed"), "pass"),
-        duplicate_rate(aln, order).select(F.lit("global").alias("event"), "check", F.lit("< 0.5").alias("expected"), text(F.col("rate")).alias("observed"), "pass"),
-        mapping_quality(aln, order).select(F.lit("global").alias("event"), "check", F.lit("> 20").alias("expected"), text(F.col("mean")).alias("observed"), "pass"),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    whole = lambda df, expected, value: df.select(F.lit("global").alias("event"), "check", F.lit(expected).alias("expected"), text(F.col(value)).alias("observed"), "pass")
+
+    def fractions() -> DataFrame:
+        pile = pileup.piled_at(aln.where(primary(F.col("flag"), F.col("mapq"), min_mapq)), truth.where("sv_type = 'SNP'").select("chrom", F.col("start").alias("p")))
+        return allele_fractions(truth, pile).join(truth.select("event_id", "vaf"), "event_id").join(names, "event_id").select("event", "check", text(F.col("vaf")).alias("expected"), text(F.col("observed")).alias("observed"), "pass")
+
+    return {
+        "coverage": lambda: coverage(truth, reads, flank, min_flank_depth).select("event", "check", text(F.col("expected")).alias("expected"), text(F.col("ratio")).alias("observed"), "pass"),
+        "split_reads": lambda: split_reads(truth, reads).join(names, "event_id").select("event", "check", F.lit("> 0").alias("expected"), F.col("n").cast("string").alias("observed"), "pass"),
+        "allele_fraction": fractions,
+        "insert_size": lambda: whole(insert_size(aln, order), "50-1000", "mean"),
+        "duplicate_rate": lambda: whole(duplicate_rate(aln, order), "< 0.5", "rate"),
+        "mapping_quality": lambda: whole(mapping_quality(aln, order), "> 20", "mean"),
+    }
+
+
+def run(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], flank: int = 5000, min_flank_depth: float = 1.0, min_mapq: int = 20) -> DataFrame:
+    """(event, check, expected, observed, pass) of all checks as one plan: those of each event by its type, and the global ones."""
+    return functools.reduce(DataFrame.unionByName, (make() for make in parts(truth, reads, aln, order, flank, min_flank_depth, min_mapq).values()))
+
+
+def run_each(checks: dict[str, Callable[[], DataFrame]], at_once: int = 3) -> tuple[DataFrame, dict[str, str]]:
+    """(the rows of all checks that could be run, the errors of the others by check).
+
+    Each check is a job group of its own and its rows a table in the shared folder, at_once of
+    them at the same time; one that fails is a warning and leaves the others' rows. That none
+    could be run is an error.
+    """
+    spark = SparkSession.active()
+    if not checks:
+        raise NoChecks("no check could be run")
+
+    def one(name: str) -> DataFrame | Exception:
+        spark.sparkContext.setJobGroup(f"check-{name}", f"validation check {name}", interruptOnCancel=True)
+        try:
+            return stored(checks[name](), f"check-{name}")[0]
+        except Exception as e:  # noqa: BLE001  whatever a check fails by, the others go on
+            return e
+
+    with ThreadPoolExecutor(at_once) as pool_:
+        done = dict(zip(checks, pool_.map(inheritable_thread_target(spark)(one), checks)))
+    errors = {name: str(e).split("\n")[0] or type(e).__name__ for name, e in done.items() if isinstance(e, Exception)}
+    for name, message in errors.items():
+        warnings.warn(f"{name} could not be checked: {message}", stacklevel=2)
+    rows = [df for df in done.values() if isinstance(df, DataFrame)]
+    if not rows:
+        raise NoChecks(f"all {len(errors)} checks failed to run: " + "; ".join(errors.values()))
+    return functools.reduce(DataFrame.unionByName, rows), errors
 
 
 def summary(checks: DataFrame) -> DataFrame:
@@ -117,12 +160,21 @@ def passed(checks: DataFrame) -> bool:
     return n.failed == 0
 
 
-def matched_calls(truth: DataFrame, calls: DataFrame, most: int = 500, least_ratio: float = 0.5) -> DataFrame:
+def _nearest(j: DataFrame) -> DataFrame:
+    """Pairs that are the nearest of both their truth event and their call."""
+    best = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy("far", other))
+    j = j.withColumn("of_truth", best("event_id", "call_id")).withColumn("of_call", best("call_id", "event_id"))
+    return j.where("of_truth = 1 and of_call = 1").drop("of_truth", "of_call")
+
+
+def matched_calls(truth: DataFrame, calls: DataFrame, most: int = 500, least_ratio: float = 0.5, rounds: int | None = 1) -> DataFrame:
     """(event_id, call_id, start_distance, end_distance, size_ratio): truth events (event_id, chrom, start, end) and calls (call_id, chrom, start, end) that match.
 
     Both ends lie within most bases and the shorter is at least least_ratio of the longer. Of
     several candidates the nearest by both ends counts, ties by id; a match is best for both
-    sides, so each event and each call has one at most.
+    sides, so each event and each call has one at most. With rounds None, the pairs left when
+    the matched ones are gone are matched in the same way, until there is none: that is what
+    taking all pairs in order of their distance gives, each if both of its sides are free.
     """
     t = truth.select("event_id", "chrom", "start", "end", (F.col("start") - most).alias("lo"), (F.col("start") + most + 1).alias("hi"))
     c = calls.select("call_id", F.col("chrom").alias("c_chrom"), F.col("start").alias("c_start"), F.col("end").alias("c_end")).withColumn("c_next", F.col("c_start") + 1)
@@ -130,15 +182,23 @@ def matched_calls(truth: DataFrame, calls: DataFrame, most: int = 500, least_rat
     size, own = F.col("end") - F.col("start"), F.col("c_end") - F.col("c_start")
     j = j.select("event_id", "call_id", F.abs(F.col("start") - F.col("c_start")).alias("start_distance"), F.abs(F.col("end") - F.col("c_end")).alias("end_distance"), (F.least(size, own) / F.greatest(size, own, F.lit(1))).cast("double").alias("size_ratio"))
     j = j.where((F.col("end_distance") <= most) & (F.col("size_ratio") >= least_ratio)).withColumn("far", F.col("start_distance") + F.col("end_distance"))
-    best = lambda own, other: F.row_number().over(Window.partitionBy(own).orderBy("far", other))
-    j = j.withColumn("of_truth", best("event_id", "call_id")).withColumn("of_call", best("call_id", "event_id"))
-    return j.where("of_truth = 1 and of_call = 1").drop("far", "of_truth", "of_call")
-
-
-def call_score(truth: DataFrame, calls: DataFrame, most: int = 500, least_ratio: float = 0.5) -> DataFrame:
+    if rounds == 1:
+        return _nearest(j).drop("far")
+    left, remove = stored(j, "candidates")
+    found: list[DataFrame] = []
+    while len(found) != rounds and not left.isEmpty():
+        found.append(stored(_nearest(left), "matches")[0])
+        rest = left.join(found[-1].select("event_id"), "event_id", "left_anti").join(found[-1].select("call_id"), "call_id", "left_anti")
+        (left, following) = stored(rest.select(*j.columns), "candidates")
+        remove()
+        remove = following
+    return functools.reduce(DataFrame.unionByName, found or [left]).drop("far")
+
+
+def call_score(truth: DataFrame, calls: DataFrame, most: int = 500, least_ratio: float = 0.5, rounds: int | None = 1) -> DataFrame:
     """(tp, fp, fn, recall, precision, f1) of one row; shares without a base are 0."""
     n = lambda df, name: df.agg(F.count("*").alias(name))
-    one = n(matched_calls(truth, calls, most, least_ratio), "tp").join(n(truth, "t")).join(n(calls, "c"))  # one row each
+    one = n(matched_calls(truth, calls, most, least_ratio, rounds), "tp").join(n(truth, "t")).join(n(calls, "c"))  # one row each
     one = one.select("tp", (F.col("c") - F.col("tp")).alias("fp"), (F.col("t") - F.col("tp")).alias("fn"))
     share = lambda a, b: F.coalesce(a / F.nullif(b, F.lit(0)), F.lit(0.0))
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))

@@ -589,3 +589,37 @@ def test_calls_match_once_each(spark):
     assert validate.call_score(truth.limit(0), calls.limit(0)).first().f1 == 0
     with pytest.raises(validate.NoChecks):
         validate.passed(spark.createDataFrame([], "event string, pass boolean"))
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_all_calls_are_matched_in_rounds(spark, seed):
+    """Equal to taking all pairs in order of distance, each if both sides are free."""
+    r = random.Random(seed)
+    make = lambda n: [(i, r.choice("cd"), s, s + 1000 + r.randint(0, 60) * 10) for i in range(n) for s in [r.randrange(0, 4000, 10)]]
+    t, c = make(60), [*make(50), (50, "c", 0, 1000)]
+    pairs = [(abs(x[2] - y[2]) + abs(x[3] - y[3]), x[0], y[0]) for x, y in itertools.product(t, c) if x[1] == y[1] and abs(x[2] - y[2]) <= 500 and abs(x[3] - y[3]) <= 500 and min(x[3] - x[2], y[3] - y[2]) * 2 >= max(x[3] - x[2], y[3] - y[2])]
+    used, expected = (set(), set()), []
+    for _, a, b in sorted(pairs):
+        if a not in used[0] and b not in used[1]:
+            expected.append((a, b))
+            used[0].add(a)
+            used[1].add(b)
+    truth, calls = spark.createDataFrame(t, "event_id long, chrom string, start long, end long"), spark.createDataFrame(c, "call_id long, chrom string, start long, end long")
+    got = validate.matched_calls(truth, calls, rounds=None).collect()
+    assert sorted((x.event_id, x.call_id) for x in got) == sorted(expected) and validate.matched_calls(truth, calls).count() < len(got)
+    assert validate.call_score(truth, calls, rounds=None).first().tp == len(expected)
+    small = spark.createDataFrame([(1, "c", 100, 1100), (2, "c", 150, 1150)], truth.schema), spark.createDataFrame([(1, "c", 110, 1110), (2, "c", 400, 1400)], calls.schema)
+    assert sorted((x.event_id, x.call_id) for x in validate.matched_calls(*small, rounds=None).collect()) == [(1, 1), (2, 2)]
+    assert validate.matched_calls(truth.limit(0), calls, rounds=None).count() == 0
+
+
+def test_a_failing_check_leaves_the_others(spark):
+    good = lambda n: lambda: spark.createDataFrame([("e", n, "x", "y", True)], "event string, check string, expected string, observed string, pass boolean")
+    bad = lambda: good("b")().withColumn("observed", F.raise_error(F.lit("no such file")).cast("string"))
+    with pytest.warns(UserWarning, match="b could not be checked"):
+        rows, errors = validate.run_each({"a": good("a"), "b": bad, "c": good("c"), "d": lambda: good("d")().select("nothing")})
+    assert sorted(r.check for r in rows.collect()) == ["a", "c"] and sorted(errors) == ["b", "d"] and "no such file" in errors["b"]
+    with pytest.raises(validate.NoChecks, match="all 1 checks failed"), pytest.warns(UserWarning):
+        validate.run_each({"b": bad})
+    with pytest.raises(validate.NoChecks):
+        validate.run_each({})

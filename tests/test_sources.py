@@ -165,6 +165,24 @@ def test_simulation_by_the_index_is_that_of_all_alignments(spark, tmp_path):
     assert out["bam"] == out["sam"] and len(out["sam"]) > 1000
 
 
+def test_results_are_merged_record_by_record(spark, tmp_path, capsys):
+    from helixframe import app
+
+    rows = [("a", 99, "chr1", 100, 60, "50M", 400, 350, "A" * 50, "I" * 50, None), ("a", 147, "chr1", 400, 60, "50M", 100, -350, "C" * 50, "I" * 50, None), ("b", 99, "chr1", 449, 60, "10M100N40M", 900, 0, "", "", None), ("c", 0, "chr1", 450, 60, "50M", -1, 0, "G" * 50, "I" * 50, None), ("u", 77, None, None, 0, None, None, 0, "T", "I", None), ("d", 0, "chr2", 10, 60, "50M", -1, 0, "G" * 50, "I" * 50, None)]
+    new = [("n", 99, "chr1", 420, 60, "50M", 430, 60, "T" * 50, "I" * 50, None), ("n", 147, "chr1", 430, 60, "50M", 420, -60, "T" * 50, "I" * 50, None)]
+    for name, some in (("original.bam", rows), ("sim.bam", new)):
+        bam.write(spark.createDataFrame(some, bam.SCHEMA), str(tmp_path / name), CHROMS, 2)
+    (tmp_path / "events.bed").write_text("chr1\t420\t450\nchr1\t430\t440\nchr3\t0\t5\n\n")
+    args = ["merge", "--bam", str(tmp_path / "original.bam"), "--aligned", str(tmp_path / "sim.bam"), "--bed", str(tmp_path / "events.bed"), "--output", str(tmp_path / "out"), "--partitions", "3"]
+    assert app.main(args, spark) == 0
+    got = bam.read(spark, str(tmp_path / "out"), ["name", "flag", "chrom", "pos", "file", "voffset"]).orderBy("file", "voffset").collect()
+    # a's second read and b overlap the region; a's first read stays without its mate, c begins where the region ends
+    assert [tuple(r[:4]) for r in got] == [("a", 99, "chr1", 100), ("n", 99, "chr1", 420), ("n", 147, "chr1", 430), ("c", 0, "chr1", 450), ("d", 0, "chr2", 10), ("u", 77, None, -1)]
+    out = [x.split("\t") for x in capsys.readouterr().out.strip().split("\n")]
+    assert [x[0] for x in out] == sorted(x[0] for x in out) and sum(int(x[1]) for x in out) == 6 and out[0][2] == "chr1:100" and out[-1][3] == "None:-1"
+    assert app.main([*args[:2], "x.sam", *args[3:]], spark) == 1
+
+
 def test_binning():
     r = random.Random(1)
     for _ in range(2000):
