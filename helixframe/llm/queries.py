@@ -152,6 +152,41 @@ SELECT vec_id, c::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY
 FROM final JOIN digest USING (c)"""
 
 
+def _personal_sql(window: int = 8, disclosure: float = 0.95, contexts: int = 3) -> str:
+    """Matches and words with their places from the gaps between them; then the counts of documents, and the spans in order."""
+    word = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+    plain = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)", "card": r"[0-9](?:[\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
+    low = lambda c: f"translate({c}, '{_UPPER}', '{_LOWER}')"
+    at = lambda g, h: f"coalesce(list_sum(list_transform({g}[1:i], lambda v: length(v))), 0) + coalesce(list_sum(list_transform({h}[1:i - 1], lambda v: length(v))), 0)"
+    whole = lambda gap: f"regexp_extract_all(regexp_replace({gap}, '^{word}|{word}$', ' ', 'g'), '{word}')"
+    digit = "CAST(substr(dg, length(dg) - k + 1, 1) AS INT)"
+    luhn = f"list_sum(list_transform(range(1, length(dg) + 1), lambda k: CASE WHEN k % 2 = 1 THEN {digit} WHEN {digit} > 4 THEN 2 * {digit} - 9 ELSE 2 * {digit} END)) % 10 = 0"
+    valid = f"""CASE kind WHEN 'email' THEN true WHEN 'ip' THEN len(list_filter(string_split(hit, '.'), lambda v: length(ltrim(v, '0')) > 3 OR coalesce(TRY_CAST(ltrim(v, '0') AS BIGINT), 0) > 255)) = 0
+      WHEN 'card' THEN length(dg) BETWEEN 12 AND 19 AND {luhn} ELSE length(dg) BETWEEN 9 AND 15 END"""
+    class_of = lambda c: f"CASE WHEN regexp_matches({c}, '[0-9]') THEN '#number' WHEN regexp_matches({c}, '^\\p{{Lu}}') THEN '#name' ELSE '#word' END"
+    kinds = " UNION ALL ".join(f"SELECT r, {o} AS o, '{k}' AS kind, regexp_extract_all(text, '{rx}') AS hs, regexp_split_to_array(text, '{rx}') AS gs FROM d" for o, (k, rx) in enumerate(plain.items()))
+    return f"""
+WITH d AS MATERIALIZED (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text FROM documents), n AS (SELECT count(*)::DOUBLE AS n FROM d),
+h AS ({kinds}), x AS (SELECT r, o, kind, hs, gs, unnest(range(1, len(hs) + 1)) AS i FROM h WHERE len(hs) > 0),
+m AS (SELECT r, o, kind, i, hs[i] AS hit, regexp_replace(hs[i], '[^0-9]', '', 'g') AS dg, {at("gs", "hs")} AS s,
+  {whole("CASE WHEN i = 1 THEN ' ' || gs[1] ELSE gs[i] END")} AS lw, {whole("CASE WHEN i = len(hs) THEN gs[i + 1] || ' ' ELSE gs[i + 1] END")} AS rw FROM x),
+b AS MATERIALIZED (SELECT r, o, kind, s, s + length(hit) AS e, kind || ':' || CASE kind WHEN 'email' THEN {low("hit")} WHEN 'ip' THEN hit ELSE dg END AS c, list_concat(list_reverse(list_reverse(lw)[1:{window}]), rw[1:{window}]) AS around FROM m WHERE {valid}),
+held AS (SELECT c, count(DISTINCT r) AS n_c FROM b GROUP BY c), w AS (SELECT r, c, around, unnest(around) AS w FROM b),
+near AS (SELECT r, c, around, {low("w")} AS t FROM w UNION SELECT r, c, around, {class_of("w")} FROM w),
+pair AS (SELECT c, t, count(DISTINCT r) AS n_ct FROM near GROUP BY c, t HAVING count(DISTINCT around) >= {contexts}),
+word AS MATERIALIZED (SELECT r, unnest(ws) AS w, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '{word}') AS ws FROM d)),
+df AS (SELECT t, count(DISTINCT r) AS n_t FROM (SELECT r, {low("w")} AS t FROM word UNION ALL SELECT DISTINCT r, {class_of("w")} FROM word) WHERE t IN (SELECT t FROM pair) GROUP BY t),
+reveal AS (SELECT DISTINCT t FROM pair JOIN held USING (c) JOIN df USING (t), n WHERE n_ct >= n_t * pow(n_c / n, 1::DOUBLE - {disclosure}::DOUBLE)),
+told AS (SELECT DISTINCT r FROM word WHERE {low("w")} IN (SELECT t FROM reveal)),
+place AS (SELECT r, ws[i] AS w, {at("gs", "ws")} AS s FROM (SELECT r, ws, gs, unnest(range(1, len(ws) + 1)) AS i FROM (SELECT r, regexp_extract_all(text, '{word}') AS ws, regexp_split_to_array(text, '{word}') AS gs FROM d WHERE r IN (SELECT r FROM told)))),
+term AS (SELECT r, 4 AS o, 'term' AS kind, s, s + length(w) AS e FROM place p WHERE {low("w")} IN (SELECT t FROM reveal) AND NOT EXISTS (SELECT 1 FROM b WHERE b.r = p.r AND b.s < p.s + length(p.w) AND b.e > p.s)),
+base AS (SELECT r, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS l FROM b GROUP BY r),
+every AS (SELECT r, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) AS l FROM (SELECT r, o, kind, s, e FROM b UNION ALL SELECT * FROM term) GROUP BY r)
+SELECT doc_id, coalesce(n_email, 0)::BIGINT AS n_email, coalesce(n_ip, 0)::BIGINT AS n_ip, coalesce(n_card, 0)::BIGINT AS n_card, coalesce(n_phone, 0)::BIGINT AS n_phone, sha256(coalesce(base.l, '')) AS base_sha256, coalesce(every.l, '') AS spans
+FROM d LEFT JOIN base USING (r) LEFT JOIN every USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
     """Where SQL gives the same rows; the others are tested against brute force in tests/llm."""
-    return {"op1_near_dedup": _NEAR, "op3_substring_dedup": _PASSAGES, "op6_line_dedup": _LINES, "op7_embedding_dedup": _VECTORS, "op11_centroids": _centroids_sql()}
+    return {"op1_near_dedup": _NEAR, "op3_substring_dedup": _PASSAGES, "op6_line_dedup": _LINES, "op7_embedding_dedup": _VECTORS, "op11_centroids": _centroids_sql(), "op13_personal_data": _personal_sql()}
