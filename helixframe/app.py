@@ -1,4 +1,4 @@
-"""From files to files: python -m helixframe.app simulate|validate|merge ...
+"""From files to files: python -m helixframe.app simulate|validate|merge|dup-report|recovery ...
 
 Alignments are a .sam or .bam file or a Parquet table with the alignment columns; the reference
 is FASTA, events are specs and variant files, exons BED. All paths are Hadoop paths or URIs,
@@ -15,11 +15,12 @@ from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
+from . import recovery
 from .functions import specs
 from .functions.reads import primary
 from .operators import pileup, pool, rng
 from .operators.intervals import overlap_join
-from .plans import simulate, validate
+from .plans import dup_report, simulate, validate
 from .sources import bam, bgzf, fasta, sinks, text
 
 EVENTS = "event_id long, sv_type string, chrom string, start long, end long, chrom_b string, bp_b long, inverted boolean, ins_seq string, ins_len long, ref_allele string, alt_allele string, gene string, gene_b string, exons array<string>, allele_fraction double"
@@ -167,14 +168,19 @@ def run_simulate(spark: SparkSession, a: argparse.Namespace) -> None:
     write_text(spark, at("README.md"), sinks.run_log(shlex.join(a.command), {"Alignments": a.bam, "Reference": a.reference, "Flank": a.flank}, rows, total, files, now.strftime("%Y-%m-%d %H:%M:%S UTC")).split("\n"))
 
 
-def run_validate(spark: SparkSession, a: argparse.Namespace) -> bool:
-    """Prints the report; whether all checks pass."""
+def run_checks(spark: SparkSession, a: argparse.Namespace) -> tuple[DataFrame, dict[str, str]]:
+    """The checks' rows, and the errors of those that could not be run."""
     aln = alignments(spark, a.bam)
     truth = text.truth(text.lines(spark, a.truth)).withColumn("event_id", F.col("line_no"))
     good = aln.where(primary(F.col("flag"), F.col("mapq"), a.min_mapq))
     end = F.array_max(F.transform(pileup.aligned_blocks(F.col("cigar"), F.col("pos")), lambda b: b["ref"] + b["len"]))
     reads = good.select("name", "chrom", F.col("pos").alias("ref_start"), end.alias("ref_end"), F.col("sa").isNotNull().alias("has_sa")).where("ref_end is not null")
-    checks, errors = validate.run_each(validate.parts(truth, reads, aln, [c for c in ORDER if c in aln.columns], a.flank, min_mapq=a.min_mapq))
+    return validate.run_each(validate.parts(truth, reads, aln, [c for c in ORDER if c in aln.columns], a.flank, min_mapq=a.min_mapq))
+
+
+def run_validate(spark: SparkSession, a: argparse.Namespace) -> bool:
+    """Prints the report; whether all checks pass."""
+    checks, errors = run_checks(spark, a)
     for r in sinks.check_lines(checks, a.json).toLocalIterator():
         print(r.line)
     n = validate.summary(checks).first()
@@ -182,7 +188,32 @@ def run_validate(spark: SparkSession, a: argparse.Namespace) -> bool:
     return validate.passed(checks)
 
 
-def run_merge(spark: SparkSession, a: argparse.Namespace) -> None:
+def run_dup_report(spark: SparkSession, a: argparse.Namespace) -> None:
+    """The duplications' report as a tab-separated file."""
+    dups = text.truth_duplications(text.lines(spark, a.truth), a.truth_1based)
+    dups = dups.withColumn("event_id", F.row_number().over(Window.orderBy("line_no")) - 1)  # a run's events: a small table
+    if dups.isEmpty():
+        raise InputError("no duplication in the truth file")
+    if a.event:
+        parts = a.event.replace("-", ":").split(":")
+        if len(parts) != 3 or not all(x.isdigit() for x in parts[1:]):
+            raise InputError(f"an event is chr:start-end, not {a.event!r}")
+        dups = dups.where((F.col("chrom") == parts[0]) & (F.col("start") >= int(parts[1])) & (F.col("end") <= int(parts[2])))
+        if dups.isEmpty():
+            raise InputError("no duplication is the event")
+    dups = dups.orderBy("event_id").limit(a.max_events) if a.max_events > 0 else dups
+    if a.bam.lower().endswith(".bam") and bam.indexed(a.bam):
+        wide = max(a.coverage_flank, a.junction_window)
+        spans = [(r.chrom, max(0, r.start - wide), r.end + wide) for r in dups.select("chrom", "start", "end").toLocalIterator()]
+        aln = bam.read(spark, a.bam, regions=spans, mapq=a.min_mapq, no_flags=4 | 256)
+    else:
+        aln = alignments(spark, a.bam)
+    snps = text.snp_list(text.lines(spark, a.snp_list), a.snp_list_1based) if a.snp_list else None
+    rows = dup_report.report(dups, aln, snps, a.junction_window, a.coverage_flank, a.min_mapq, a.min_baseq, a.min_baf_depth)
+    write_text(spark, a.out, ["\t".join(dup_report.COLUMNS), *(r.line for r in dup_report.lines(rows).orderBy("event_id").toLocalIterator())])
+
+
+def run_merge(spark: SparkSession, a: argparse.Namespace, show: bool = True) -> None:
     """The original records outside the events' regions and the new alignments, as a folder of sorted, indexed BAM files."""
     if not a.bam.lower().endswith(".bam"):
         raise InputError("merge takes its chromosomes from a BAM file's header: give --bam a .bam")
@@ -190,7 +221,7 @@ def run_merge(spark: SparkSession, a: argparse.Namespace) -> None:
     regions = text.lines(spark, a.bed).where("trim(line) <> '' and line not like '#%'").select(*[F.get(F.split("line", "\t"), F.lit(i)).cast(t).alias(c) for i, (c, t) in enumerate((("chrom", "string"), ("start", "long"), ("end", "long")))])
     merged = sinks.merged_alignments(alignments(spark, a.bam), regions, alignments(spark, a.aligned))
     bam.write(merged, a.output, list(zip(names, lengths)), a.partitions, mode="overwrite")
-    for r in sinks.part_bounds(bam.read(spark, a.output, ["chrom", "pos", "file", "voffset"])).orderBy("file").toLocalIterator():
+    for r in sinks.part_bounds(bam.read(spark, a.output, ["chrom", "pos", "file", "voffset"])).orderBy("file").toLocalIterator() if show else ():
         print(f"{posixpath.basename(r.file)}\t{r.records}\t{r.first_chrom}:{r.first_pos}\t{r.last_chrom}:{r.last_pos}")
 
 
@@ -230,6 +261,37 @@ def parser() -> argparse.ArgumentParser:
     m.add_argument("--bed", required=True)
     m.add_argument("--output", required=True)
     m.add_argument("--partitions", type=int, default=8)
+    d = sub.add_parser("dup-report")
+    d.add_argument("--bam", required=True)
+    d.add_argument("--truth", required=True)
+    d.add_argument("--out", default="dup_realism_report.tsv")
+    d.add_argument("--junction-window", type=int, default=500)
+    d.add_argument("--coverage-flank", type=int, default=5000)
+    d.add_argument("--min-mapq", type=int, default=20)
+    d.add_argument("--min-baseq", type=int, default=20)
+    d.add_argument("--min-baf-depth", type=int, default=10)
+    d.add_argument("--snp-list")
+    d.add_argument("--snp-list-1based", action="store_true")
+    d.add_argument("--truth-1based", action="store_true")
+    d.add_argument("--max-events", type=int, default=0)
+    d.add_argument("--event")
+    r = sub.add_parser("recovery")
+    r.add_argument("--bam", required=True, help="the background")
+    r.add_argument("--reference", required=True)
+    r.add_argument("--truth", required=True)
+    r.add_argument("--benchmark")
+    r.add_argument("--output", required=True)
+    r.add_argument("--fractions", default="0.5,0.25,0.1")
+    r.add_argument("--chrom")
+    r.add_argument("--least", type=int, default=500)
+    r.add_argument("--most", type=int, default=50_000)
+    r.add_argument("--seed", type=int, default=42)
+    r.add_argument("--flank", type=int, default=10_000)
+    r.add_argument("--min-mapq", type=int, default=20)
+    r.add_argument("--distance", type=int, default=500)
+    r.add_argument("--ratio", type=float, default=0.5)
+    r.add_argument("--skip-to", type=int, default=1, help="a stage's number; those before are taken as they are")
+    r.add_argument("--stop-after", choices=("truth", "simulate", "merge", "validate", "score", "summary"))
     return top
 
 
@@ -242,8 +304,11 @@ def main(argv: list[str], spark: SparkSession | None = None) -> int:
         if a.what == "simulate":
             run_simulate(spark, a)
             return 0
-        if a.what == "merge":
-            run_merge(spark, a)
+        if a.what in ("merge", "dup-report"):
+            (run_merge if a.what == "merge" else run_dup_report)(spark, a)
+            return 0
+        if a.what == "recovery":
+            print("stages run: " + (", ".join(recovery.Recovery(spark, a).run()) or "none"))
             return 0
         return 0 if run_validate(spark, a) else 1
     except (InputError, simulate.EventError, specs.SpecError, validate.NoChecks, ValueError) as e:

@@ -92,7 +92,7 @@ def covering(aln: DataFrame, places: DataFrame) -> DataFrame:
 
 def parts(truth: DataFrame, reads: DataFrame, aln: DataFrame, order: list[str], flank: int = 5000, min_flank_depth: float = 1.0, min_mapq: int = 20) -> dict[str, Callable[[], DataFrame]]:
     """Each check's rows (event, check, expected, observed, pass), made when asked for."""
-    text = lambda c: F.coalesce(F.format_string("%.3f", c), F.lit("N/A"))
+    text = lambda c: F.when(c.isNull(), "N/A").otherwise(F.format_string("%.3f", c))
     names = truth.select("event_id", event_label(*(F.col(c) for c in ("sv_type", "chrom", "start", "end"))).alias("event"))
     whole = lambda df, expected, value: df.select(F.lit("global").alias("event"), "check", F.lit(expected).alias("expected"), text(F.col(value)).alias("observed"), "pass")
 
