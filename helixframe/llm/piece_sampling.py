@@ -22,7 +22,8 @@ from .textblocks import Block, Words, blocks, mix, powers, word_hashes
 
 #: Segmentations of a text, and the exponent of the pieces' weights (0: all alike, 1: as the vocabulary ranks them).
 SAMPLES, SMOOTHING = 2, 0.5
-SIZE = 1 << 20
+#: Bytes of texts whose lattices are laid out at once, some 200 bytes for each.
+SIZE = 1 << 19
 #: Units whose lattices a worker keeps (about 0.5 KB each).
 UNITS = 1 << 17
 _SPACE, _LINE = 0x20, 0x0A
