@@ -443,9 +443,8 @@ def _(v):
 def _(v):
     """Pairs written as FASTQ in one job and read again: record k of a part of R1 and of R2 are mates."""
     path = temporary(v.spark, "reads")
-    end = lambda n: F.max(F.when(F.col("read_num") == n, F.struct("seq", "qual")))
-    both = v.aln.groupBy("name").agg(end(1).alias("a"), end(2).alias("b"))
-    sinks.write_fastq(both.select("name", F.col("a.seq").alias("seq1"), F.col("a.qual").alias("qual1"), F.col("b.seq").alias("seq2"), F.col("b.qual").alias("qual2")), path, v.spark.sparkContext.defaultParallelism)
+    end = lambda n: v.aln.where(F.col("read_num") == n).select("name", F.col("seq").alias(f"seq{n}"), F.col("qual").alias(f"qual{n}"))
+    sinks.write_fastq(end(1).join(end(2), "name"), path, v.spark.sparkContext.defaultParallelism)
 
     def records(n: int):
         lines = gztext.lines(v.spark, f"{path}/R{n}").withColumn("part", F.regexp_extract("file", "(part-[0-9]+)", 1))
