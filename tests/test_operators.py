@@ -623,3 +623,30 @@ def test_a_failing_check_leaves_the_others(spark):
         validate.run_each({"b": bad})
     with pytest.raises(validate.NoChecks):
         validate.run_each({})
+
+
+def test_slices_over_gaps_blocks_and_repeats(spark):
+    bases = "".join("ACGT"[(i * i + i // 7) % 4] for i in range(32 * 200))
+    rows = [("chr1", k, bases[32 * k : 32 * k + (20 if k == 199 else 32)]) for k in range(200) if k not in (3, 64, 70)]
+    whole = {c: s for _, c, s in rows}
+    chunks = spark.createDataFrame(rows, "chrom string, chunk_id long, seq string")
+    spans = [(0, 10), (90, 130), (2000, 4100), (2040, 2060), (6300, 9000), (50, 50), (60, 40), (7000, 7100), (0, 6400), (2000, 4100)]
+    wanted = spark.createDataFrame([(i % 9, "chr1", a, b) for i, (a, b) in enumerate(spans)], "id long, chrom string, ref_start long, ref_end long")
+    expected = sorted((i % 9, "".join(whole.get(k, "")[max(a - 32 * k, 0) : max(b - 32 * k, 0)] for k in range(a // 32, max((b - 1) // 32, 0) + 1) if b > a)) for i, (a, b) in enumerate(spans))
+    assert sorted((r.id, r.sequence) for r in haplotype.reference_slices(wanted, chunks).collect()) == expected
+    twice = wanted.where("id = 2").unionByName(wanted.where("id = 2"))
+    assert [len(r.sequence) for r in haplotype.reference_slices(twice, chunks).collect()] == [len(expected[3][1])] * 2
+    events = [event(1, "DEL", 2100, 2600), event(2, "INS", 90, 90, ins_seq="ACGTAC"), event(3, "INV", 3000, 6500), event(4, "DUP", 60, 4000)]
+    segs = haplotype.segments(spark.createDataFrame(events, EVENT), flank=500)
+    place = lambda df: sorted((r.event_id, r.seg, r.len, r.hap_offset) for r in df.collect())
+    assert place(haplotype.with_lengths(segs, chunks)) == place(haplotype.with_sequences(segs, chunks))
+
+
+def test_haplotypes_are_not_broadcast(spark):
+    """Few rows by the planner's estimate, but with all their bases."""
+    chunks = spark.range(200).selectExpr("'chr1' chrom", "id chunk_id", "repeat('ACGT', 8) seq")
+    own = zip(EVENT.split(", "), event(1, "DEL", 2100, 2600))
+    events = spark.range(1).select(*[F.lit(x).cast(kind.split(" ")[1]).alias(kind.split(" ")[0]) for kind, x in own])
+    segs = haplotype.with_sequences(haplotype.segments(events), chunks)
+    points = haplotype.haplotypes(segs).select("event_id", F.lit(0).cast("long").alias("hap_pos"))
+    assert "BroadcastHashJoin" not in haplotype.to_reference(points, segs)._jdf.queryExecution().executedPlan().toString()
