@@ -650,3 +650,13 @@ def test_haplotypes_are_not_broadcast(spark):
     segs = haplotype.with_sequences(haplotype.segments(events), chunks)
     points = haplotype.haplotypes(segs).select("event_id", F.lit(0).cast("long").alias("hap_pos"))
     assert "BroadcastHashJoin" not in haplotype.to_reference(points, segs)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rescued_mates_meet_regions_by_bins(spark):
+    """A chromosome's reads are not all compared with all of its regions."""
+    rows = [("a", 67, "chr1", 1000, 300, 1), ("a", 131, "chr1", 1250, -300, 1), ("b", 67, "chr1", 1100, 700, 1), ("b", 131, "chr1", 1750, -700, 1), ("c", 67, "chr1", 1499, 2000, 1), ("c", 131, "chr1", 3449, -2000, 1), ("d", 67, "chr1", 1500, 300, 1)]
+    aln = spark.createDataFrame(rows, "name string, flag int, chrom string, pos long, tlen int, ord long")
+    region = spark.createDataFrame([(1, "chr1", 1000, 1500), (2, "chr1", 1100, 1100)], "event_id long, g_chrom string, g_start long, g_end long")
+    got = pool.rescued(aln, region, ["ord"])
+    assert sorted(map(tuple, got.collect())) == [(1, "b", 1750), (1, "c", 3449)]
+    assert "__bin" in got._jdf.queryExecution().executedPlan().toString()
