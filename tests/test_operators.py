@@ -660,3 +660,14 @@ def test_rescued_mates_meet_regions_by_bins(spark):
     got = pool.rescued(aln, region, ["ord"])
     assert sorted(map(tuple, got.collect())) == [(1, "b", 1750), (1, "c", 3449)]
     assert "__bin" in got._jdf.queryExecution().executedPlan().toString()
+
+
+def test_many_regions_are_not_broadcast(spark, monkeypatch):
+    reads = spark.range(300).selectExpr("'chr1' chrom", "id * 37 ref_start", "id * 37 + 100 ref_end")
+    regions = spark.range(50).selectExpr("id event_id", "'chr1' g_chrom", "id * 210 g_start", "id * 210 + 40000 * (id % 2) + 50 g_end")
+    join = lambda: intervals.overlap_join(reads, regions, ("chrom", "ref_start", "ref_end"), ("g_chrom", "g_start", "g_end"))
+    expected = sorted((37 * i, k) for i in range(300) for k in range(50) if 37 * i < 210 * k + 40000 * (k % 2) + 50 and 210 * k < 37 * i + 100)
+    assert sorted((r.ref_start, r.event_id) for r in join().collect()) == expected
+    monkeypatch.setattr(intervals, "FEW", 49)
+    assert "Broadcast" not in join()._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.ref_start, r.event_id) for r in join().collect()) == expected
