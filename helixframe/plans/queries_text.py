@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from ..functions import reads as R, sequence as S, specs, vcf
 from ..operators import haplotype
@@ -444,17 +444,8 @@ def _(v):
     """Pairs written as FASTQ in one job and read again: record k of a part of R1 and of R2 are mates."""
     path = temporary(v.spark, "reads")
     end = lambda n: v.aln.where(F.col("read_num") == n).select("name", F.col("seq").alias(f"seq{n}"), F.col("qual").alias(f"qual{n}"))
-    sinks.write_fastq(end(1).join(end(2), "name"), path, v.spark.sparkContext.defaultParallelism)
-
-    def records(n: int):
-        lines = gztext.lines(v.spark, f"{path}/R{n}").withColumn("part", F.regexp_extract("file", "(part-[0-9]+)", 1))
-        place = F.row_number().over(Window.partitionBy("part").orderBy("line_no")) - 1
-        lines = lines.withColumn("k", F.floor(place / 4)).withColumn("i", place % 4)
-        field = lambda i: F.max(F.when(F.col("i") == i, F.col("line")))
-        return lines.groupBy("part", "k").agg(field(0).alias(f"name{n}"), field(1).alias(f"seq{n}"), field(3).alias(f"qual{n}"))
-
-    j = records(1).join(records(2), ["part", "k"])
-    return j.where(F.regexp_replace("name1", "/1$", "") == F.regexp_replace("name2", "/2$", "")).select(F.regexp_extract("name1", "^@(.*)/1$", 1).alias("name"), "seq1", "qual1", "seq2", "qual2")
+    sinks.write_fastq(end(1).join(end(2).hint("merge"), "name"), path)
+    return sinks.read_fastq(v.spark, path)
 
 
 _TR = """SELECT event_id, 0 AS part, chrom, CASE WHEN sv_type IN ('SNP', 'BND') THEN start + 1 ELSE start END AS pos, CASE sv_type WHEN 'SNP' THEN concat('sim_var_', event_id) WHEN 'BND' THEN concat('sim_fus_', event_id) ELSE concat('sim_', lower(sv_type), '_', event_id) END AS id,

@@ -12,7 +12,7 @@ from helixframe.functions import specs
 from helixframe.functions.sequence import revcomp
 from helixframe.operators import emission, haplotype, intervals, pileup, pool, quality, rng, simulate
 from helixframe.plans import simulate as plan, validate
-from helixframe.sources import bam, sinks, text
+from helixframe.sources import bam, bgzf, sinks, text
 from pyspark.sql import functions as F
 
 EXONS = [{"chrom": "chr1", "start": 1000 + 500 * i, "end": 1200 + 500 * i, "name": f"A{i}", "gene": "GENEA"} for i in range(8)] + [{"chrom": "chr2", "start": 10000 + 2000 * i, "end": 10300 + 2000 * i, "name": f"B{i}", "gene": "GENEB"} for i in range(5)]
@@ -452,6 +452,31 @@ def test_fastq_parts_match(spark, tmp_path):
     assert names[0] == names[1] and sum(map(len, names[0])) == 20
 
 
+def test_fastq_parts_as_they_come_and_read_again(spark, tmp_path):
+    """The join by name is the only shuffle of writing, reading has none; what is out of step is an error."""
+    rows = [(f"n{i}/1" if i % 3 else f"n {i}", "AC" * (i % 5), "@+" * (i % 5), "GT", "H/") for i in range(30_000)]
+    pairs = spark.createDataFrame(rows, "name string, seq1 string, qual1 string, seq2 string, qual2 string")
+    sinks.write_fastq(pairs.repartition(3), str(tmp_path / "fq"))
+    back = sinks.read_fastq(spark, str(tmp_path / "fq"))
+    assert len(list((tmp_path / "fq" / "R1").glob("*.gz"))) == 3 == back.rdd.getNumPartitions()
+    assert sorted(map(tuple, back.collect())) == sorted(rows)
+    assert "Exchange" not in back._jdf.queryExecution().executedPlan().toString()
+
+    def written(n, *lines):
+        w = bgzf.Writer(open(tmp_path / "fq" / f"R{n}" / "part-00000.fastq.gz", "wb"))
+        w.write("".join(f"{x}\n" for x in lines).encode())
+        w.close()
+
+    written(1, "@a/1 x", "AC", "+", "II", "@b", "A", "+b", "I")
+    for second, match in ((("@a/1 x", "AC", "+", "II", "@c/2", "A", "+", "I"), "differ"), (("@a/1 x", "AC", "+", "II"), "without mates"), (("@a/1 x", "AC", "+", "II", "@b", "A", "+"), "cut"), (("@a/1 x", "AC", "-", "II", "@b", "A", "+", "I"), "not a FASTQ")):
+        written(2, *second)
+        with pytest.raises(Exception, match=match):
+            sinks.read_fastq(spark, str(tmp_path / "fq")).collect()
+    (tmp_path / "fq" / "R2" / "part-00001.fastq.gz").unlink()
+    with pytest.raises(Exception, match="different parts"):
+        sinks.read_fastq(spark, str(tmp_path / "fq")).collect()
+
+
 def test_bed_and_scripts(spark):
     bad = spark.createDataFrame([(0, "chr1\t5\t9")], "line_no long, line string")
     with pytest.raises(Exception, match="fewer than 4"):
