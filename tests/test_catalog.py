@@ -58,7 +58,7 @@ def test_entry(spark):
     assert set(catalog.queries()) <= set(__spark_entry__.queries())
 
 
-@pytest.mark.parametrize("name", ["syn_pair"])
+@pytest.mark.parametrize("name", ["syn_pair", "syn_read_seq"])
 def test_tiled_fragments_come_without_broadcast_haplotypes(spark, name):
     """Small tables are where the planner would broadcast; what is joined here has a row for each event or segment, so it grows with them."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
