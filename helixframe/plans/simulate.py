@@ -134,8 +134,7 @@ def run(events: DataFrame, pairs: DataFrame, chunks: DataFrame, config: Config,
     plan = haps.join(lengths, "event_id").join(cover, "event_id").join(e.select("event_id", "sv_type", "vaf"), "event_id")
     plan = plan.withColumn("near_breakpoints", simulate.additive(F.col("sv_type"), config.dup_model))
     plan = plan.withColumn("n_tiles", simulate.tile_count(F.col("coverage"), F.col("vaf"), F.greatest("mean", F.lit(simulate.LEAST_FRAGMENT)), F.col("total_len"), F.col("ref_len"), F.size("breakpoints"), F.col("near_breakpoints")))
-    parts = segs.groupBy("event_id").agg(F.collect_list(F.struct("hap_offset", "len", "chrom")).alias("segs"))
-    tiles = simulate.tiles(plan.join(parts, "event_id"), config.read_length, config.seed)
+    tiles = simulate.tiles(plan, config.read_length, config.seed)
     frags = tiles.join(haps.select("event_id", "sequence"), "event_id").select("event_id", F.format_string("ev%04d_hap_%06d", "event_id", "attempt").alias("name"), F.substring(F.col("sequence"), (F.col("hap_start") + 1).cast("int"), F.col("frag_len").cast("int")).alias("fragment"))
     if config.dup_model == "junction":
         copies = simulate.depth_copies(placed, config.seed).join(lengths.select("event_id", "lengths"), "event_id")

@@ -63,3 +63,10 @@ def test_tiled_fragments_come_without_broadcast_haplotypes(spark, name):
     """Small tables are where the planner would broadcast; what is joined here has a row for each event or segment, so it grows with them."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+@pytest.mark.parametrize(("name", "passes"), [("syn_pair", 1)])
+def test_tiled_fragments_meet_the_reference_once(spark, name, passes):
+    """Each pass over the reference crosses part with two lists of constants; the driver keeps the plan, its stages and these broadcasts."""
+    plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") == 2 * passes
