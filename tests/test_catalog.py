@@ -65,8 +65,8 @@ def test_tiled_fragments_come_without_broadcast_haplotypes(spark, name):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
-@pytest.mark.parametrize(("name", "passes"), [("syn_pair", 1)])
+@pytest.mark.parametrize(("name", "passes"), [("syn_pair", 1), ("syn_read_seq", 2)])
 def test_tiled_fragments_meet_the_reference_once(spark, name, passes):
-    """Each pass over the reference crosses part with two lists of constants; the driver keeps the plan, its stages and these broadcasts."""
+    """Each pass over the reference crosses part with two lists of constants, which are broadcast; bases are another pass."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") == 2 * passes
