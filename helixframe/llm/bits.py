@@ -12,6 +12,8 @@ from .common import release
 
 #: Bounds of an array's size: at most 2**28 bits (32 MB) are ever broadcast.
 LEAST_BITS, MOST_BITS = 20, 28
+#: Jobs that fetch an array at most: an iterator over a table runs one for each partition.
+FETCHES = 12
 
 
 def needed(n: int) -> int:
@@ -35,7 +37,7 @@ def collect(cells: DataFrame, depth: int, bits: int) -> list[np.ndarray]:
 
     pages = cells.select("cell", F.expr(f"int(cell % {depth})").alias("r"), F.expr(f"int(shiftright(cell div {depth}, 16))").alias("page")).groupBy("r", "page").applyInArrow(pack, "r int, page int, bits binary")
     out = [np.zeros(max(1 << 13, 1 << (bits - 3)), np.uint8) for _ in range(depth)]
-    for r, page, b in pages.toLocalIterator():  # at most depth * 2**28 bits whatever the input is
+    for r, page, b in pages.coalesce(FETCHES).toLocalIterator(prefetchPartitions=True):  # at most depth * 2**28 bits whatever the input is
         out[r][page << 13 : (page + 1) << 13] = np.frombuffer(bytes(b), np.uint8)
     return out
 

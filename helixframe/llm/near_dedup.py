@@ -141,7 +141,7 @@ def verified(pairs: DataFrame, reps: DataFrame, texts: DataFrame, size: int, sim
 
 
 def _lists(reps: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
-    """(v, id): the inverted lists that every similar pair still meets in.
+    """(v, id, weight): the inverted lists that every similar pair still meets in; weight: how many entries the lists of an id's values have before they are cut.
 
     A pair as similar as asked for shares at least c retained values (c: half of the smaller
     sketch, 6 standard errors below what is expected of a full one and under the exact bound
@@ -155,16 +155,18 @@ def _lists(reps: DataFrame, k: int, similarity: tuple[int, int]) -> DataFrame:
         for batch in batches:
             rows = [np.frombuffer(s, np.int64) for s in batch.column(1).to_pylist()]
             if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.repeat(batch.column(0).to_numpy(), [len(r) for r in rows]))], ["v", "id"])
+                n = [len(r) for r in rows]  # least(size of the set, k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.repeat(batch.column(0).to_numpy(), n)), pa.array(np.repeat(np.array(n, np.int32), n))], ["v", "id", "m"])
 
-    every = reps.select("id", "sketch").mapInArrow(values, "v long, id long")
+    every = reps.select("id", "sketch").mapInArrow(values, "v long, id long, m int")
     shared = every.groupBy("v").agg(F.count("*").alias("df")).where("df > 1")
-    m = F.least(F.col("n"), F.lit(k))
+    m = F.col("m")
     c = F.greatest(F.lit(1), F.floor(m / 2))
-    own = split_join(every, shared, ["v"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l"))
-    own = own.join(reps.select("id", "n"), "id")
+    own = split_join(every, shared, ["v"]).groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "v"))).alias("l"), F.first("m").alias("m"))
     take = (m - c + 1) - (m - F.size("l"))  # single values come first in the order and meet nobody
-    return own.where(take > 0).select("id", F.explode(F.slice("l", 1, take.cast("int"))).alias("e")).selectExpr("e.v", "id")
+    own = own.where(take > 0).select("id", F.slice("l", 1, take.cast("int")).alias("l"))
+    weight = F.aggregate("l", F.lit(0).cast("long"), lambda x, e: x + e["df"])
+    return own.select("id", weight.alias("weight"), F.explode("l").alias("e")).selectExpr("e.v", "id", "weight")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, similarity: tuple[int, int] = (80, 100), k: int = SKETCH, with_key: bool = False) -> DataFrame:
@@ -194,16 +196,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     reps = cut(classes.select("class", F.col("r.id").alias("doc"), F.col("r.key").alias("id"), "r.n", "r.sketch"))
     lists = cut(_lists(reps, k, similarity))
 
-    lengths = lists.groupBy("v").agg(F.count("*").alias("len"))
-    weights = split_join(lists, lengths, ["v"]).groupBy("id").agg(F.sum("len").alias("weight"))
-    hubs = split_join(lists, weights, ["id"]).groupBy("v").agg(F.max_by("id", F.struct("weight", F.bitwise_not("id"))).alias("hub"))
-    groups = cut(split_join(lists, hubs, ["v"]).select("hub", "id").distinct())
+    hubs = lists.groupBy("v").agg(F.max_by("id", F.struct("weight", F.bitwise_not("id"))).alias("hub"))
+    groups = cut(split_join(lists.select("v", "id"), hubs, ["v"]).select("hub", "id").distinct())
 
     involved = cut(groups.select("id").distinct())
     texts = docs.where(F.col(id_col).isNotNull()).select(row_key(id_col, text_col).alias("id"), F.col(text_col).alias("text"))
     texts = cut(maybe_in(texts, "id", involved, involved.count()).join(involved, "id", "left_semi").dropDuplicates(["id"]))
     links = verified(groups.where("hub <> id").selectExpr("hub a", "id b"), reps, texts, shingle, similarity, k)
-    found = cut(components(links))
+    found = components(links)
 
     named = groups.join(found.withColumnRenamed("node", "id"), "id", "left").select("hub", "id", F.coalesce("component", "id").alias("c"))
     mixed = named.groupBy("hub").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("hub")
@@ -211,7 +211,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     if not rest.isEmpty():
         likely = cut(_likely(rest, reps, similarity, k))
         if not likely.isEmpty():
-            found = cut(components(links.union(_grid_links(likely, texts, shingle, similarity))))
+            found = components(links.union(_grid_links(likely, texts, shingle, similarity)))
     named = reps.select("class", "doc", "id").join(found.withColumnRenamed("node", "id"), "id", "left").select("class", "doc", "id", "component")
     least = named.where("component is not null").groupBy("component").agg(F.min("doc").alias("least"))
     by_class = split_join(named.where("component is not null"), least, ["component"]).select("class", F.col("least").alias("component_id"), F.col("component").alias("group"))

@@ -6,8 +6,9 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
-from helixframe.llm import embedding_dedup, graph, line_dedup, near_dedup, substring_dedup
+from helixframe.llm import bits, embedding_dedup, graph, line_dedup, near_dedup, substring_dedup
 
 SPACE = re.compile("[\x20\x09-\x0d]+")
 
@@ -133,6 +134,44 @@ def test_components_of_a_long_path(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).count() == 0
 
 
+def jobs(spark, action):
+    """How many jobs action runs."""
+    count = spark.sparkContext._jsc.sc().dagScheduler().numTotalJobs
+    before = count()
+    action()
+    return count() - before
+
+
+@pytest.mark.parametrize("task_edges", [7, 1000])
+def test_components_by_tasks_and_rounds(spark, task_edges):
+    """Edges of one task need no rounds; those of several meet in them."""
+    rng = random.Random(4)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(None, 3), (4, None)]
+    df = spark.createDataFrame(edges, "a long, b long").repartition(20)
+    got = {r.node: r.component for r in graph.components(df, task_edges=task_edges).collect()}
+    edges = [e for e in edges if None not in e and e[0] != e[1]]
+    assert got == components({x for e in edges for x in e}, edges)
+
+
+def test_few_edges_take_few_jobs(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)], "a long, b long")
+    assert jobs(spark, lambda: graph.components(edges)) <= 4
+
+
+def test_an_array_of_hashes_is_fetched_in_few_jobs(spark):
+    held = spark.conf.get("spark.sql.shuffle.partitions"), spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.shuffle.partitions", 50)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", False)
+    try:
+        out = []
+        cells = spark.range(0, 1 << 20, 999, 2).toDF("cell")
+        assert jobs(spark, lambda: out.extend(bits.collect(cells, 1, 20))) < 25
+        assert np.flatnonzero(bits.test(out[0], np.arange(1 << 20))).tolist() == list(range(0, 1 << 20, 999))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", held[0])
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", held[1])
+
+
 def passages(rows, window):
     first = {}
     for i, t in rows:
