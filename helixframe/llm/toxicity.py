@@ -30,6 +30,8 @@ THRESHOLD = 0.7
 #: Pairs of words that a machine learns as toxic together at most.
 PHRASES = 200
 CACHE = 1 << 19
+#: Tokens that the driver weighs at once while it trains, beside Spark's own memory.
+WEIGHED = 4000
 
 _BOUND = 31
 _LETTER = np.zeros(256, np.uint8)
@@ -219,7 +221,7 @@ def fit(tokens: list[bytes], rows: list[np.ndarray], toxic: np.ndarray, calibrat
     table[seen[1] < max(2, 0.004 * n1)] = np.minimum(0, table)[seen[1] < max(2, 0.004 * n1)]
 
     def score_all(table):
-        return np.concatenate([weigh(tokens[i : i + 20000], table) for i in range(0, len(tokens), 20000)]) if tokens else np.zeros(0)
+        return np.concatenate([weigh(tokens[i : i + WEIGHED], table) for i in range(0, len(tokens), WEIGHED)]) if tokens else np.zeros(0)
 
     top = lambda score, d, n: rows[d][np.argsort(-score[rows[d]], kind="stable")[:n]]
     score, bias, marks = score_all(table), 0.0, []
@@ -389,7 +391,9 @@ def held_out(id_col: str):
 
 def train(docs: DataFrame, labels: DataFrame) -> Machine:
     prepare(docs.sparkSession)
-    return fit(*training_tokens(docs, labels))
+    machine = fit(*training_tokens(docs, labels))
+    release()
+    return machine
 
 
 def worker_cache(key: str) -> dict:

@@ -464,6 +464,18 @@ def test_toxicity_of_held_out_texts(trained):
     assert all(0 <= x <= 1 for x in got.values())
 
 
+def test_training_gives_memory_back(spark, monkeypatch):
+    """The driver trains beside Spark's own memory: it weighs few tokens at once, and keeps nothing when it is done."""
+    most, released = [0], []
+    weigh = toxicity.weigh
+    monkeypatch.setattr(toxicity, "weigh", lambda tokens, table: most.append(len(tokens)) or weigh(tokens, table))
+    monkeypatch.setattr(toxicity, "release", lambda: released.append(1))
+    texts = [(i, " ".join(f"w{i}x{k}" for k in range(60)) + (" zornig" if i % 2 else " milde")) for i in range(240)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    toxicity.train(docs, docs.selectExpr("doc_id", "cast(doc_id % 2 as int) toxic"))
+    assert 0 < max(most) <= 4000 and released
+
+
 def test_toxicity_reads_texts_only(spark, trained):
     _, _, machine = trained
     rows = [(1, "so vilefop you"), (2, "so v i l e f o p you"), (3, "so vile-fop you"), (4, None), (5, ""), (5, ""), (6, "so kind you"), (7, "x " * 50000 + "grumblesnark"), (None, "so vilefop you")]
