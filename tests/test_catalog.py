@@ -70,3 +70,10 @@ def test_tiled_fragments_meet_the_reference_once(spark, name, passes):
     """Each pass over the reference crosses part with two lists of constants, which are broadcast; bases are another pass."""
     plan = catalog.queries()[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") == 2 * passes
+
+
+def test_ends_of_fragments_are_found_without_joins(spark):
+    """The segments come with the fragments: one pass over the reference (two lists of constants) and no join of fragments."""
+    plan = catalog.queries()["syn_hap_pair"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("BroadcastNestedLoopJoin") == 2
+    assert "hap_start" not in "".join(x for x in plan.splitlines() if "Join" in x) and plan.count("Generate explode(sequence(from") == 1
