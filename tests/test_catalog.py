@@ -77,3 +77,9 @@ def test_ends_of_fragments_are_found_without_joins(spark):
     plan = catalog.queries()["syn_hap_pair"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("BroadcastNestedLoopJoin") == 2
     assert "hap_start" not in "".join(x for x in plan.splitlines() if "Join" in x) and plan.count("Generate explode(sequence(from") == 1
+
+
+def test_emitted_reads_meet_the_reference_once(spark):
+    """Bases come with the places of fragments, of which only both ends go to Python."""
+    df = catalog.queries()["syn_read"](spark, SF)
+    assert df._jdf.queryExecution().executedPlan().toString().count("BroadcastNestedLoopJoin") == 2
